@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, packing, token_counts
+from . import decontaminate, line_dedup, packing, quality_rules, token_counts
 from .textkit import documents
 
 #: Fixed value: the vocabulary that the contracts name.
@@ -39,6 +39,43 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules.apply_rules(documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+OP5_SQL = r"""
+WITH t AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), l AS (
+  SELECT doc_id, count(*) AS n_text_lines, count(*) - count(DISTINCT x) AS n_dup_lines
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM t) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY doc_id
+), win AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM t WHERE len(w) >= 3)
+), rep AS (
+  SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM win WHERE n > 1) GROUP BY doc_id
+), m AS (
+  SELECT doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+         length(text) - length(regexp_replace(text, '[#*$%&|<>]+', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+         coalesce(n_text_lines, 0) AS n_text_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM t LEFT JOIN l USING (doc_id) LEFT JOIN rep USING (doc_id)
+), r AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+         CASE WHEN word_chars > 0 THEN n_symbols / CAST(word_chars AS DOUBLE) ELSE 0 END AS sr, CASE WHEN n_text_lines > 0 THEN n_dup_lines / CAST(n_text_lines AS DOUBLE) ELSE 0 END AS dr,
+         CASE WHEN n_words > 0 THEN n_repeat_words / CAST(n_words AS DOUBLE) ELSE 0 END AS rr, CASE WHEN n_words > 0 THEN word_chars / CAST(n_words AS DOUBLE) ELSE 0 END AS wl
+  FROM m
+), q AS (
+  SELECT lang, source, quantile_disc(sr, [0.25, 0.75]) AS sr_q, quantile_disc(dr, [0.25, 0.75]) AS dr_q, quantile_disc(rr, [0.25, 0.75]) AS rr_q, quantile_disc(wl, [0.25, 0.75]) AS wl_q
+  FROM r WHERE NOT base_failed GROUP BY lang, source
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT coalesce(sr > greatest(0.05, sr_q[2] + 3 * (sr_q[2] - sr_q[1])) OR dr > greatest(0.30, dr_q[2] + 3 * (dr_q[2] - dr_q[1]))
+         OR rr > greatest(0.20, rr_q[2] + 3 * (rr_q[2] - rr_q[1])) OR wl > greatest(12.0, wl_q[2] + 3 * (wl_q[2] - wl_q[1])) OR wl < least(2.5, wl_q[1] - 3 * (wl_q[2] - wl_q[1])), false) AS kept
+FROM r LEFT JOIN q ON r.lang IS NOT DISTINCT FROM q.lang AND r.source IS NOT DISTINCT FROM q.source
+"""
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     out = decontaminate.find_contamination(documents(spark, sf_dir).select("doc_id", "text"), benchmark)
@@ -85,4 +122,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL, "op7_decontamination": OP7_SQL}
+    return {"op4_line_dedup": OP4_SQL, "op5_quality_rules": OP5_SQL, "op7_decontamination": OP7_SQL}
