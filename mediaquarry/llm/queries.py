@@ -8,13 +8,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, packing, quality_rules, token_counts
+from . import decontaminate, line_dedup, packing, quality_classifier, quality_rules, token_counts, toxicity
+from .linear import held_out
 from .textkit import documents
 
 #: Fixed value: the vocabulary that the contracts name.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _classified(scored: DataFrame, least: float) -> DataFrame:
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return _classified(quality_classifier.classify(documents(spark, sf_dir), labels), 0.7)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), TOKENIZER)
 
@@ -113,6 +123,11 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return _classified(toxicity.score_toxicity(documents(spark, sf_dir), labels), 0.3)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), TOKENIZER)
 
