@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, packing, quality_classifier, quality_rules, token_counts, toxicity
+from . import decontaminate, line_dedup, minhash, packing, quality_classifier, quality_rules, token_counts, toxicity
 from .linear import held_out
 from .textkit import documents
 
@@ -86,6 +86,10 @@ FROM r LEFT JOIN q ON r.lang IS NOT DISTINCT FROM q.lang AND r.source IS NOT DIS
 """
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     out = decontaminate.find_contamination(documents(spark, sf_dir).select("doc_id", "text"), benchmark)
