@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import crc_mod, text_slices
+from .textkit import crc_mod, map_rows, text_slices
 
 #: Rows with this remainder of crc32(doc_id) modulo FOLDS are held out.
 FOLDS, HELD_OUT = 4, 2
@@ -66,13 +66,12 @@ def collect_features(docs: DataFrame, chosen: DataFrame, features: Features) ->
 
 
 def score(docs: DataFrame, weights: np.ndarray, bias: float, features: Features) -> DataFrame:
-    """doc_id and the model's probability of each whole text; a text without features gets that of the bias."""
+    """Adds the model's probability of each whole text as ``score``; a text without features gets that of the bias."""
 
-    def run(batches):
-        for batch in batches:
-            out = np.zeros(batch.num_rows)
-            for i, n, buf, offs in text_slices(batch):
-                out[i : i + n] = sigmoid(dots(weights, *features(buf, offs)) + bias)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["doc_id", "score"])
+    def run(batch):
+        out = np.zeros(batch.num_rows)
+        for i, n, buf, offs in text_slices(batch):
+            out[i : i + n] = sigmoid(dots(weights, *features(buf, offs)) + bias)
+        return [pa.array(out)]
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return map_rows(docs, "score double", run)

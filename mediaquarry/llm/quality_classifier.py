@@ -108,7 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, epochs: int
 
 
 def classify(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> DataFrame:
-    """doc_id and the probability that the text is of good quality, for every row.
+    """Adds the probability that the text is of good quality, as ``score``, to every row.
 
     Null and empty texts have no features and get the bias's probability.  Without labels all scores are 0.5.
     Other columns of the tables are not looked at.

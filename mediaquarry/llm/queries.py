@@ -22,7 +22,7 @@ def _classified(scored: DataFrame, least: float) -> DataFrame:
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return _classified(quality_classifier.classify(documents(spark, sf_dir), labels), 0.7)
+    return _classified(quality_classifier.classify(documents(spark, sf_dir).select("doc_id", "text"), labels), 0.7)
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +129,7 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return _classified(toxicity.score_toxicity(documents(spark, sf_dir), labels), 0.3)
+    return _classified(toxicity.score_toxicity(documents(spark, sf_dir).select("doc_id", "text"), labels), 0.3)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

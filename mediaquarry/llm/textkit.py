@@ -10,11 +10,13 @@ import sys
 import tempfile
 import types
 import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The white space of all operators, and an odd multiplier for prefix hashes modulo 2**64.
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -175,3 +177,42 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def map_rows(docs: DataFrame, added: str, run) -> DataFrame:
+    """All columns of ``docs``, whatever their names, and those of the DDL ``added``.
+
+    ``run`` takes a record batch with the columns of ``docs`` in order and returns arrays for the new ones.
+    """
+    names = docs.columns
+    new = T.StructType.fromDDL(added)
+    kinds = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate([*docs.schema, *new])])
+
+    def work(batches):
+        for batch in batches:
+            if batch.num_rows:
+                batch = pa.RecordBatch.from_arrays(batch.columns, names=names)
+                yield pa.RecordBatch.from_arrays(batch.columns + run(batch), names=[f"c{i}" for i in range(len(names) + len(new))])
+
+    return docs.mapInArrow(work, kinds).toDF(*names, *new.names)
+
+
+def dense_counts(rows: DataFrame, cells: int, count, part: int = 1 << 16) -> np.ndarray:
+    """Adds up tables of ``cells`` counters: ``count(table, batch)`` fills a task's own, which is sent once in parts."""
+
+    def fill(batches):
+        table = np.zeros(cells, np.int64)
+        for batch in batches:
+            count(table, batch)
+        parts = [zlib.compress(table[i : i + part].tobytes(), 1) for i in range(0, cells, part)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["part", "cells"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(zlib.decompress(x.as_py()), np.int64) for x in table["cells"])
+        return pa.table({"part": [table["part"][0].as_py()], "cells": [zlib.compress(total.tobytes(), 1)]}, schema=pa.schema([("part", pa.int32()), ("cells", pa.binary())]))
+
+    out = np.zeros(cells, np.int64)
+    for r in rows.mapInArrow(fill, "part int, cells binary").groupBy("part").applyInArrow(add, "part int, cells binary").toLocalIterator():
+        x = np.frombuffer(zlib.decompress(bytes(r["cells"])), np.int64)
+        out[r["part"] * part : r["part"] * part + len(x)] = x
+    return out

@@ -156,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVE_DOCS, unla
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, positives: int = POSITIVE_DOCS, unlabelled: int = UNLABELLED_DOCS) -> DataFrame:
-    """doc_id and the probability that the text is toxic, for every row.
+    """Adds the probability that the text is toxic, as ``score``, to every row.
 
     Null and empty texts have no features and get the bias's probability, as do all texts where no toxic
     example is known.
