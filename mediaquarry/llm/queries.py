@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, minhash, packing, quality_classifier, quality_rules, token_counts, toxicity
+from . import brown_lm, decontaminate, line_dedup, minhash, packing, quality_classifier, quality_rules, token_counts, toxicity
 from .linear import held_out
 from .textkit import documents
 
@@ -25,6 +25,11 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(quality_classifier.classify(documents(spark, sf_dir).select("doc_id", "text"), labels), 0.7)
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = brown_lm.score_texts(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), TOKENIZER)
 
