@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown_lm, decontaminate, line_dedup, minhash, packing, quality_classifier, quality_rules, token_counts, toxicity
+from . import brown_lm, decontaminate, line_dedup, minhash, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, toxicity
 from .linear import held_out
 from .textkit import documents
 
@@ -132,6 +132,11 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.dedup_spans(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return _classified(toxicity.score_toxicity(documents(spark, sf_dir).select("doc_id", "text"), labels), 0.3)
