@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import operator
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,10 +44,8 @@ def search(index: DataFrame, lengths: DataFrame, terms: list[str], limit: int) -
 
 def phrase_match(docs: DataFrame, phrase: list[str]) -> DataFrame:
     """Documents with the words one after another."""
-    w = tokens(F.col("text"))
-    tests = lambda i: functools.reduce(operator.and_, [F.get("w", i + k) == t for k, t in enumerate(phrase)])
-    rows = docs.select("doc_id", w.alias("w")).filter(F.size("w") >= len(phrase))
-    return rows.filter(F.exists(F.sequence(F.lit(0), F.size("w") - len(phrase)), tests)).select("doc_id")
+    body = F.concat(F.lit(" "), F.array_join(tokens(F.col("text")), " "), F.lit(" "))
+    return docs.filter(body.contains(f" {' '.join(phrase)} ")).select("doc_id")
 
 
 def prefix_match(index: DataFrame, prefix: str) -> DataFrame:
