@@ -20,6 +20,8 @@ CELLS, PART = 1 << 20, 1 << 14
 BANDS, ROWS = 10, 3
 #: Entries of the table that random variates are drawn from by hash.
 VARIATES = 1 << 16
+#: Ids of candidates (8 bytes each) that may be sent to all executors.
+SENT_IDS = 2_000_000
 #: Members of one block when a bucket is compared pair by pair.
 BLOCK = 256
 
@@ -234,6 +236,13 @@ def block_links(members: DataFrame, texts: DataFrame, idf: np.ndarray, size: int
     return rows.groupBy("band", "hash", "i", "j").applyInArrow(run, "a long, b long")
 
 
+def texts_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Texts of the chosen documents.  Up to SENT_IDS ids go to the texts; more meet them in a shuffle."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    few = chosen.count() <= SENT_IDS
+    return rows.join(F.broadcast(chosen) if few else chosen.hint("shuffle_hash"), "doc_id", "left_semi")
+
+
 def near_duplicates(docs: DataFrame, least: float = 0.8, size: int = 5) -> DataFrame:
     """doc_id and class_id, the smallest doc_id of its class of near-duplicates, for every document.
 
@@ -254,8 +263,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, size: int = 5) -> DataF
     banded = staged(banded.join(buckets, ["band", "hash"]), "buckets")
     edges = banded.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     chosen = banded.select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id", "left_semi")
-    texts = staged(texts, "candidate-texts")
+    texts = staged(texts_of(docs, staged(chosen, "candidates")), "candidate-texts")
     links = staged(verified(edges, texts, idf, size, least).select("a", "b"), "links")
     labels = components(links)
     labelled = banded.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
