@@ -115,8 +115,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -
     of ``width`` consecutive words of an item is a pattern, as is a whole item of fewer words.  Spans are the
     maximal runs of hit words as code point offsets into the original text.  The scan is a map over whole
     texts: no shuffle, and a hot source or item costs nothing extra.  Null texts have no words; null item ids
-    count as empty strings; without items nothing is hit.  The benchmark is collected in parts of bounded size.
+    count as empty strings; without items nothing is hit.  Columns of the added names are replaced.  The benchmark is collected in parts of bounded size.
     """
+    docs = docs.drop("n_words", "n_hit", "item_ids", "spans")
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     parts = max(1, -(-int(size) // AUTOMATON_BYTES))
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))

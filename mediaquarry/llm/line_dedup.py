@@ -237,7 +237,8 @@ def dropped_lines(index: LineIndex) -> DataFrame:
 
 
 def remove_lines(docs: DataFrame, drops: DataFrame) -> DataFrame:
-    """Adds n_lines, n_dropped and kept_text to the documents."""
+    """Adds n_lines, n_dropped and kept_text to the documents, in place of columns of these names."""
+    docs = docs.drop("n_lines", "n_dropped", "kept_text")
     names = docs.columns
     text = names.index("text")
 

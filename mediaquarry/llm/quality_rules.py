@@ -18,6 +18,8 @@ SYMBOLS = r"[#*$%&|<>]+"
 RULES = {"symbol_ratio": 0.05, "dup_line_ratio": 0.30, "repeat_ratio": 0.20, "word_length": 12.0}
 #: A document also fails where its metric lies below the lower fence and under this ceiling.
 LOW_RULES = {"word_length": 2.5}
+#: Names of the columns made here; columns of the input with these names are replaced.
+MADE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_text_lines", "n_repeat_words", "symbol_ratio", "dup_line_ratio", "repeat_ratio", "word_length", "base_failed", "kept")
 #: Fences stand this many interquartile ranges outside the quartiles.
 REACH = 3.0
 #: Accuracy parameter of the sketches (rank error about 1.7 / K).
@@ -34,6 +36,7 @@ def measure(docs: DataFrame) -> DataFrame:
     For repeated words, the 3-word windows are sorted by the hash of their words; equal neighbours mark the
     repeated windows, whose sorted positions then cover up to three words each.
     """
+    docs = docs.drop(*MADE)
     text = F.coalesce("text", F.lit(""))
     bare = F.regexp_replace(text, SPACES, "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.regexp_replace(x, SPACES, "")) > 0)

@@ -367,6 +367,7 @@ def dedup_spans(docs: DataFrame) -> DataFrame:
     the input.  Repeats inside one document stay, as do all copies in the smallest document.  A null text is
     empty; rows with the same doc_id are one document to each other; rows without doc_id are left alone.
     """
+    docs = docs.drop("n_bytes", "n_removed", "spans", "kept")
     text = F.coalesce("text", F.lit(""))
     keyed = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).bitwiseOR(F.lit(1)).alias("tkey"), text.alias("text"))
     total = keyed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]

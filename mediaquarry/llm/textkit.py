@@ -180,12 +180,13 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 def map_rows(docs: DataFrame, added: str, run) -> DataFrame:
-    """All columns of ``docs``, whatever their names, and those of the DDL ``added``.
+    """All columns of ``docs``, whatever their names, and those of the DDL ``added``, which replace any of the same name.
 
     ``run`` takes a record batch with the columns of ``docs`` in order and returns arrays for the new ones.
     """
-    names = docs.columns
     new = T.StructType.fromDDL(added)
+    docs = docs.drop(*new.names)
+    names = docs.columns
     kinds = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate([*docs.schema, *new])])
 
     def work(batches):
