@@ -59,7 +59,6 @@ def pieces(docs: DataFrame, tokenizer_path: str, limit: int = 1024, end_id: int
 
     def run(batches):
         for batch in batches:
-            key = batch.column(0).to_numpy(zero_copy_only=False)
             for i, ids, offs in token_ids(batch, tokenizer_path, end_id):
                 lengths = np.diff(offs)
                 count = -(-lengths // limit)
@@ -69,14 +68,14 @@ def pieces(docs: DataFrame, tokenizer_path: str, limit: int = 1024, end_id: int
                 data = memoryview(ids.astype("<u4").tobytes())
                 a = offs[doc] + start
                 crc = [zlib.crc32(data[4 * x : 4 * (x + y)]) for x, y in zip(a.tolist(), size.tolist(), strict=True)]
-                cols = [pa.array(key[i + doc]), pa.array(start), pa.array(size), pa.array(crc, pa.int64()), pa.array(lengths[doc])]
+                cols = [batch.column(0).take(pa.array(i + doc)), pa.array(start), pa.array(size), pa.array(crc, pa.int64()), pa.array(lengths[doc])]
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
                 if with_ids:
                     cols.append(pa.ListArray.from_arrays(pa.array(np.append(a, len(ids)).astype(np.int32)), pa.array(ids)))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, limit: int = 1024, end_id: int = 0, group_docs: int = 4096, seed: int = 7, with_ids: bool = False) -> DataFrame:
