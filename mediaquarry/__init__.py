@@ -1,3 +1,12 @@
-"""Spark-first analytics over media libraries: listings, search, vectors, near-duplicates, events, selection, gates."""
+"""Spark-first analytics over media libraries: listings, search, vectors, near-duplicates, events, selection, gates.
+
+Functions that run in Python workers travel by value, so executors need no copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
 
 __version__ = "0.1.0"
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
