@@ -12,14 +12,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import map_rows, mix, powers, prefix_hash, shuffle_width, span_hash, text_slices
+from .textkit import map_rows, mix, powers, prefix_hash, shuffle_width, span_hash, staged, text_slices
 
 #: Length of a repeated string in bytes, of a gram, and grams in such a string.
 SPAN, GRAM = 50, 20
 WINDOW = SPAN - GRAM + 1
 #: Anchors a task gathers before it sends them, and bytes of text behind one partition of anchors.
-GATHERED = 1_000_000
-PART_BYTES = 32 << 20
+GATHERED = 400_000
+PART_BYTES = 16 << 20
+#: Bytes of text whose anchors are found at once.
+SLICE = 1 << 20
+#: Bits of the map of shared anchors that is sent to all executors (16 MB), and shared anchors it is used for;
+#: where there are more, each document gets its own by a join.
+MAP_BITS = 27
+SENT_HASHES = 16_000_000
 
 
 def anchors(buf: np.ndarray, offs: np.ndarray):
@@ -51,7 +57,7 @@ def anchors(buf: np.ndarray, offs: np.ndarray):
 def binary_runs(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """A binary array whose elements are values[bounds[i]:bounds[i + 1]], without a copy for each."""
     values = np.ascontiguousarray(values)
-    offsets = (bounds * values.itemsize).astype(np.int64)
+    offsets = (bounds * (values.itemsize if values.ndim == 1 else values.shape[1])).astype(np.int64)
     return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)]).cast(pa.binary())
 
 
@@ -72,6 +78,82 @@ def joined(column, kind) -> np.ndarray:
 
 # --- which anchors do several documents share -------------------------------------------------------------
 
+
+def short(fp: np.ndarray) -> np.ndarray:
+    """The upper 48 bits of anchor hashes; equal ones are candidates, no more."""
+    return fp >> np.uint64(16)
+
+
+def pack48(values: np.ndarray) -> np.ndarray:
+    return values.view(np.uint8).reshape(-1, 8)[:, :6]
+
+
+def unpack48(column) -> np.ndarray:
+    raw = np.frombuffer(b"".join(x.as_py() or b"" for x in column), np.uint8).reshape(-1, 6)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :6] = raw
+    return out.view(np.uint64).ravel()
+
+
+def places(values: np.ndarray) -> np.ndarray:
+    return (mix(values) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+
+
+def bit_map(blobs) -> np.ndarray:
+    """The map with a bit set for each hash; up to one in eight others may look shared too, which only costs work."""
+    out = np.zeros(1 << (MAP_BITS - 3), np.uint8)
+    for b in blobs:
+        at = np.unique(places(np.frombuffer(b, np.uint64)))
+        first = edges(at >> 3)[:-1]
+        if len(first):
+            out[at[first] >> 3] |= np.bitwise_or.reduceat((1 << (at & 7)).astype(np.uint8), first)
+    return out
+
+
+def shared_hashes(docs: DataFrame, parts: int) -> DataFrame:
+    """Short hashes of anchors that at least two rows hold, in blobs.
+
+    A task sends each hash once, marked if two of its documents hold it, so a passage in very many documents
+    sends one hash from each task.
+    """
+
+    def parcels(doc: np.ndarray, fp: np.ndarray):
+        order = np.lexsort((doc, fp))
+        doc, fp = doc[order], fp[order]
+        group = edges(fp)
+        many = doc[group[:-1]] != doc[group[1:] - 1]
+        distinct = fp[group[:-1]]
+        for flag in (False, True):
+            mine = distinct[many == flag]
+            p = (mine % np.uint64(parts)).astype(np.int64)
+            by = np.argsort(p, kind="stable")
+            bounds = edges(p[by])
+            yield pa.RecordBatch.from_arrays([pa.array(p[by][bounds[:-1]].astype(np.int32)), pa.array(np.full(len(bounds) - 1, flag)), binary_runs(pack48(mine[by]), bounds)], names=["p", "many", "fps"])
+
+    def send(batches):
+        held, size, rows = [], 0, 0
+        for batch in batches:
+            for _, n, buf, offs in text_slices(batch, limit=SLICE):
+                doc, _, _, _, fp = anchors(buf, offs)
+                held.append((doc + rows, short(fp)))
+                rows += n
+                size += len(fp)
+                if size > GATHERED:
+                    yield from parcels(*map(np.concatenate, zip(*held, strict=True)))
+                    held, size = [], 0
+        if size:
+            yield from parcels(*map(np.concatenate, zip(*held, strict=True)))
+
+    def meet(table: pa.Table) -> pa.Table:
+        many = table["many"].combine_chunks() if table["many"].num_chunks != 1 else table["many"].chunk(0)
+        sure = unpack48(table["fps"].filter(many))
+        fp, count = np.unique(np.concatenate([unpack48(table["fps"].filter(pa.compute.invert(many))), sure]), return_counts=True)
+        out = np.union1d(fp[count > 1], sure)
+        return pa.table({"fps": binary_runs(out, np.array([0, len(out)]))})
+
+    return docs.select("text").mapInArrow(send, "p int, many boolean, fps binary").groupBy("p").applyInArrow(meet, "fps binary")
+
+
 SHARED = "p int, docs binary, keys binary, fps binary, answered boolean"
 
 
@@ -110,7 +192,7 @@ def shared_anchors(docs: DataFrame, parts: int) -> DataFrame:
         held, size = [], 0
         for batch in batches:
             ids, keys = (batch.column(i).to_numpy() for i in (0, 1))
-            for i, _, buf, offs in text_slices(batch):
+            for i, _, buf, offs in text_slices(batch, limit=SLICE):
                 doc, _, _, _, fp = anchors(buf, offs)
                 held.append((ids[i + doc], keys[i + doc], fp))
                 size += len(fp)
@@ -175,7 +257,8 @@ def segment_parts(doc, key, fp, s0, shape, off, size, buf, parts: int) -> list[p
         else:
             ends = np.concatenate([[0], np.cumsum(z)])
             text = binary_runs(buf[flat_ranges(o, z)], ends[bounds])
-        cols = [pa.array(p[by][bounds[:-1]].astype(np.int32)), *[binary_runs(x, bounds) for x in (d, k, f, s.astype(np.uint32), c.astype(np.uint16))], text, pa.array(np.full(len(bounds) - 1, answered))]
+        f = f[:0] if answered else f
+        cols = [pa.array(p[by][bounds[:-1]].astype(np.int32)), *[binary_runs(x, bounds if len(x) else bounds * 0) for x in (d, k, f, s.astype(np.uint32), c.astype(np.uint16))], text, pa.array(np.full(len(bounds) - 1, answered))]
         out.append(pa.RecordBatch.from_arrays(cols, names=["p", "docs", "keys", "fps", "starts", "shapes", "bytes", "answered"]))
     return out
 
@@ -297,24 +380,36 @@ def repeated_strings(doc, fp, shape, off, size, buf) -> np.ndarray:
     return out
 
 
-def repeated_starts(docs: DataFrame, shared: DataFrame, parts: int) -> DataFrame:
-    """doc_id, tkey and marks: pairs of a start and the bits of the starts from there whose string is repeated."""
-    wanted = shared.groupBy("doc_id", "tkey").agg(F.collect_list("fps").alias("fps"))
-    rows = docs.join(wanted, ["doc_id", "tkey"]).select("doc_id", "tkey", "text", "fps")
+def repeated_starts(docs: DataFrame, shared: DataFrame | np.ndarray, parts: int) -> DataFrame:
+    """doc_id, tkey and marks: pairs of a start and the bits of the starts from there whose string is repeated.
+
+    shared: the bit map of shared anchors, or a table of each document's own.
+    """
+    rows, known = docs.select("doc_id", "tkey", "text"), None
+    if isinstance(shared, np.ndarray):
+        known = shared
+    else:
+        wanted = shared.groupBy("doc_id", "tkey").agg(F.collect_list("fps").alias("fps"))
+        rows = docs.join(wanted, ["doc_id", "tkey"]).select("doc_id", "tkey", "text", "fps")
+
+    def chosen(fp, csr, lists, i, n):
+        if known is not None:
+            at = places(short(fp))
+            return (known[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        keep = np.zeros(len(fp), bool)
+        for k in np.flatnonzero(np.diff(csr)).tolist():
+            mine = slice(csr[k], csr[k + 1])
+            keep[mine] = np.isin(fp[mine], np.frombuffer(b"".join(lists[i + k].as_py()), np.uint64))
+        return keep
 
     def send(batches):
         held, size, used = [], 0, 0
         for batch in batches:
             ids, keys = (batch.column(i).to_numpy() for i in (0, 1))
-            lists = batch.column(3)
-            for i, n, buf, offs in text_slices(batch):
+            lists = None if known is not None else batch.column(3)
+            for i, n, buf, offs in text_slices(batch, limit=SLICE):
                 doc, s0, count, a, fp = anchors(buf, offs)
-                csr = np.searchsorted(doc, np.arange(n + 1))
-                keep = np.zeros(len(fp), bool)
-                for k in range(n):
-                    mine = slice(csr[k], csr[k + 1])
-                    if csr[k] < csr[k + 1]:
-                        keep[mine] = np.isin(fp[mine], np.frombuffer(b"".join(lists[i + k].as_py()), np.uint64))
+                keep = chosen(fp, np.searchsorted(doc, np.arange(n + 1)), lists, i, n)
                 doc, s0, count, a, fp = (x[keep] for x in (doc, s0, count, a, fp))
                 length = count + SPAN - 1
                 text = buf[flat_ranges(s0, length)]
@@ -322,7 +417,7 @@ def repeated_starts(docs: DataFrame, shared: DataFrame, parts: int) -> DataFrame
                 held.append((ids[i + doc], keys[i + doc], fp, s0 - offs[doc], count | ((a - s0) << 8), off, length, text))
                 size += len(fp)
                 used += len(text)
-                if size > GATHERED // 4:
+                if size > GATHERED // 16:
                     yield from segment_parts(*map(np.concatenate, zip(*held, strict=True)), parts)
                     held, size, used = [], 0, 0
         if size:
@@ -331,7 +426,7 @@ def repeated_starts(docs: DataFrame, shared: DataFrame, parts: int) -> DataFrame
     def answer(table: pa.Table) -> pa.Table:
         kinds = (("docs", np.int64), ("keys", np.int64), ("fps", np.uint64), ("starts", np.uint32), ("shapes", np.uint16))
         done = table.filter(table["answered"])
-        doc, key, _, s0, shape = (joined(done[x], k) for x, k in kinds)
+        doc, key, s0, shape = (joined(done[x], k) for x, k in kinds if x != "fps")
         mask = ((np.int64(1) << (shape & 255).astype(np.int64)) - 1).astype(np.uint32)
         rest = table.filter(pa.compute.invert(table["answered"]))
         d, k, f, s, c = (joined(rest[x], t) for x, t in kinds)
@@ -364,7 +459,8 @@ def dedup_spans(docs: DataFrame) -> DataFrame:
     """Adds n_bytes, n_removed, spans (byte ranges removed) and kept (the remaining bytes) to the documents.
 
     A byte goes if a string of SPAN bytes over it also starts in a document with a smaller doc_id, judged on
-    the input.  Repeats inside one document stay, as do all copies in the smallest document.  A null text is
+    the input.  A map of up to SENT_HASHES shared anchors is sent to all executors; where there are more, each
+    document gets its own by a join, at the price of one more shuffle of the texts.  Repeats inside one document stay, as do all copies in the smallest document.  A null text is
     empty; rows with the same doc_id are one document to each other; rows without doc_id are left alone.
     """
     docs = docs.drop("n_bytes", "n_removed", "spans", "kept")
@@ -372,7 +468,13 @@ def dedup_spans(docs: DataFrame) -> DataFrame:
     keyed = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).bitwiseOR(F.lit(1)).alias("tkey"), text.alias("text"))
     total = keyed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     parts = max(shuffle_width(docs.sparkSession), -(-total // PART_BYTES))
-    marks = repeated_starts(keyed, shared_anchors(keyed, parts), parts)
+    hashes = staged(shared_hashes(keyed, parts), "shared-anchors")
+    n_shared = hashes.agg(F.coalesce(F.sum(F.octet_length("fps")), F.lit(0)).alias("n")).first()["n"] // 8
+    if n_shared <= SENT_HASHES:
+        shared = bit_map(bytes(r["fps"]) for r in hashes.toLocalIterator())
+    else:
+        shared = shared_anchors(keyed, parts)
+    marks = repeated_starts(keyed, shared, max(shuffle_width(docs.sparkSession), -(-4 * total // PART_BYTES)))
     marks = marks.groupBy("doc_id", "tkey").agg(F.collect_list("marks").alias("marks"))
     marks = marks.select(F.col("doc_id").alias("m_id"), F.col("tkey").alias("m_key"), "marks")
     names = docs.columns

@@ -57,7 +57,7 @@ def lower_table() -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and its inverse modulo 2**64 for i < n at least."""
     cache = worker_cache()
-    size = 1 << max(16, int(n - 1).bit_length())
+    size = max(1 << 16, n + n // 8)
     if "pow" not in cache or len(cache["pow"]) < n:
         inverse = pow(BASE, -1, 1 << 64)
         out = []
@@ -65,7 +65,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             p = np.ones(1, np.uint64)
             while len(p) < size:
                 p = np.concatenate([p, p * np.uint64(pow(b, len(p), 1 << 64))])
-            out.append(p)
+            out.append(p[:size].copy())
         cache["pow"], cache["inv"] = out
     return cache["pow"], cache["inv"]
 
