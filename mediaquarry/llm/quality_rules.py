@@ -22,6 +22,10 @@ LOW_RULES = {"word_length": 2.5}
 MADE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_text_lines", "n_repeat_words", "symbol_ratio", "dup_line_ratio", "repeat_ratio", "word_length", "base_failed", "kept")
 #: Fences stand this many interquartile ranges outside the quartiles.
 REACH = 3.0
+#: Added to a group's interquartile range where its fences stand free, so that a group of equal values has some width.
+SPREAD = {"symbol_ratio": 0.01, "dup_line_ratio": 0.05, "repeat_ratio": 0.03, "word_length": 0.5}
+#: Groups with fewer documents that pass the base rules take the free fences of all groups together.
+LEAST_ROWS = 30
 #: Accuracy parameter of the sketches (rank error about 1.7 / K).
 SKETCH_K = 1024
 
@@ -101,18 +105,33 @@ def thresholds(sketched: DataFrame, groups: list[str]) -> DataFrame:
     return sketched.select(*out)
 
 
-def apply_rules(docs: DataFrame, groups: tuple[str, ...] = ("lang", "source")) -> DataFrame:
+def free_thresholds(sketched: DataFrame, groups: list[str]) -> DataFrame:
+    """Fences of each group and metric from its quantiles alone: no fixed cutoff has a part in them.
+
+    A group of fewer than LEAST_ROWS documents takes the fences of all groups together, from the merged sketches.
+    """
+    at = lambda m, q: F.kll_sketch_get_quantile_double(m, F.lit(q))
+    reach = lambda m: REACH * (at(m, 0.75) - at(m, 0.25) + SPREAD[m])
+    high = {f"{m}_high": at(m, 0.75) + reach(m) for m in RULES}
+    fences = high | {f"{m}_low": at(m, 0.25) - reach(m) for m in LOW_RULES}
+    every = merge_sketches(sketched, []).select(*[f.alias(f"all_{c}") for c, f in fences.items()])
+    few = F.kll_sketch_get_n_double(next(iter(RULES))) < LEAST_ROWS
+    return sketched.crossJoin(F.broadcast(every)).select(*groups, *[F.when(few, F.col(f"all_{c}")).otherwise(f).alias(c) for c, f in fences.items()])
+
+
+def apply_rules(docs: DataFrame, groups: tuple[str, ...] = ("lang", "source"), floors: bool = True) -> DataFrame:
     """Base counts, base_failed, the metrics with their group's thresholds, and kept, in place of the text.
 
     Counts are made once and written to the shared folder; thresholds and verdicts are read from there.
 
     A document is kept if it passes the base rules and no metric lies beyond its group's fences.  Null groups
     form a group of their own.  Documents that fail the base rules shape no threshold.  Null and empty texts
-    fail for want of words.  Empty table: no rows.
+    fail for want of words.  Empty table: no rows.  With ``floors`` a fence can only loosen the fixed values of
+    RULES and LOW_RULES; without, the groups' quantiles set it (``free_thresholds``).
     """
     names = list(groups)
     measured = staged(metrics(measure(docs)), "quality-counts")
-    limits = thresholds(sketches(measured, names), names)
+    limits = (thresholds if floors else free_thresholds)(sketches(measured, names), names)
     renamed = limits.select(*[F.col(g).alias(f"g_{g}") for g in names], *[c for c in limits.columns if c not in names])
     same = F.lit(True)
     for g in names:

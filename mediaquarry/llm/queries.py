@@ -59,6 +59,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_quality_rules_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules with fences from the sketches alone; OP5_SQL holds op5_quality_rules to floored ones."""
+    out = quality_rules.apply_rules(documents(spark, sf_dir), floors=False)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 OP5_SQL = r"""
 WITH t AS (
   SELECT doc_id, lang, source, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents

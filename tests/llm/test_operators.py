@@ -277,6 +277,22 @@ def test_quality_rules_keep_clean_documents(spark):
     assert np.mean([r["kept"] for r in got if r["quality"] == 1]) > 0.97
 
 
+def test_a_group_s_distribution_changes_verdicts(spark):
+    text = lambda k, size: " ".join(f"{'abcdefghij'[(k + j) % 10] * (size - 3)}{j:03d}" for j in range(60))
+    rows = [row(k, text(k, 5), "en", "short") for k in range(40)] + [row(100 + k, text(k, 9), "en", "long") for k in range(40)]
+    rows += [row(900, text(0, 9), "en", "short"), row(901, text(0, 9), "en", "long"), row(902, text(0, 9), "xx", "few"), row(903, "", "xx", "few")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    free = {r["doc_id"]: r["kept"] for r in quality_rules.apply_rules(docs, floors=False).collect()}
+    assert [k for k, kept in sorted(free.items()) if not kept] == [900, 903]
+    assert {r["doc_id"] for r in quality_rules.apply_rules(docs).filter("not kept").collect()} == {903}
+
+
+def test_free_fences_keep_clean_documents(spark):
+    where = "/root/testdata/sf0.01"
+    got = queries.op5_quality_rules_adaptive(spark, where).join(spark.read.parquet(f"{where}/labels.parquet"), "doc_id").filter("not base_failed").collect()
+    assert np.mean([r["kept"] for r in got if r["quality"] == 1]) > 0.97
+
+
 # --- near-duplicates -------------------------------------------------------------------------------
 
 
