@@ -13,8 +13,10 @@ from .textkit import crc_mod, dense_counts, lower_table, mix, owners, prefix_has
 
 #: Rows with this remainder of crc32(doc_id) modulo FOLDS are held out.
 FOLDS, HELD_OUT = 7, 2
-#: Words that are symbols of their own, and kinds of beginnings and ends that stand for all other words.
+#: Words that the exchange moves among the classes, and kinds of beginnings and ends that stand for rare words.
 OWN_WORDS, KINDS = 1024, 1024
+#: Every word seen this often in training has a class of its own choice; executors hold all of them.
+CLASSED_COUNT = 10
 #: Word classes; words whose counts every executor holds (a bound, the others are joined); sweeps of the exchange.
 CLASSES, HELD_WORDS, SWEEPS = 48, 1 << 18, 8
 #: Key of the end of a text.
@@ -135,21 +137,22 @@ class ClassModel:
     rest: np.ndarray  # of each kind: log10 of 1 / (its tokens + 1)
     unknown: np.ndarray  # of each kind: log10 of the share left to unknown words
     discount: float
+    words: int  # words that are symbols; after them come the kinds and the end
 
     def symbols(self, h: np.ndarray, kind: np.ndarray):
         """Symbol of each token, its place among the held words, and whether it is one of them."""
         at = np.minimum(np.searchsorted(self.held, h), max(0, len(self.held) - 1))
         found = self.held[at] == h if len(self.held) else np.zeros(len(h), bool)
-        symbol = OWN_WORDS + kind
+        symbol = self.words + kind
         if len(self.held):
             symbol = np.where(found & (self.held_symbol[at] >= 0), self.held_symbol[at], symbol)
-        symbol[h == END] = OWN_WORDS + KINDS
+        symbol[h == END] = self.words + KINDS
         return symbol, at, found
 
     def before(self, symbol: np.ndarray, csr: np.ndarray) -> np.ndarray:
         out = np.empty_like(symbol)
         out[1:] = symbol[:-1]
-        out[csr[:-1]] = OWN_WORDS + KINDS
+        out[csr[:-1]] = self.words + KINDS
         return out
 
 
@@ -165,52 +168,128 @@ def train(docs: DataFrame) -> tuple[ClassModel, DataFrame]:
     while cut > 0 and size + sizes.get(cut - 1, 0) <= HELD_WORDS:
         cut -= 1
         size += sizes.get(cut, 0)
-    held = counts.filter(level >= cut).toArrow().sort_by("h")
+    held = counts.filter((level >= cut) | (F.col("c") >= CLASSED_COUNT)).toArrow().sort_by("h")
     h, kind, c = (held[x].to_numpy().astype(np.int64) for x in ("h", "kind", "c"))
-    own = np.lexsort((h, -c))
-    own = own[h[own] != END][:OWN_WORDS]
-    symbol = np.full(len(h), -1)
-    symbol[own] = np.arange(len(own))
+    ranked = np.lexsort((h, -c))
+    ranked = ranked[h[ranked] != END]
+    own = ranked[:OWN_WORDS]
+    # the exchange's words, then the others that have a class
+    words = np.concatenate([own, ranked[OWN_WORDS:][c[ranked[OWN_WORDS:]] >= CLASSED_COUNT]])
     stats = counts.groupBy("kind").agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum((F.col("c") == 1).cast("long")).alias("n1"), F.sum((F.col("c") == 2).cast("long")).alias("n2"))
     by = np.zeros((4, KINDS))
     for r in stats.collect():
         by[:, r["kind"]] = r["n"], r["v"], r["n1"], r["n2"]
-    for k in [*own.tolist(), *np.flatnonzero(h == END).tolist()]:
-        by[:, kind[k]] -= (c[k], 1, c[k] == 1, c[k] == 2)
+    gone = np.concatenate([words, np.flatnonzero(h == END)])
+    for line, x in zip(by, (c, np.ones_like(c), c == 1, c == 2), strict=True):
+        np.subtract.at(line, kind[gone], x[gone])
     discount = float(np.clip(by[2].sum() / max(1.0, by[2].sum() + 2 * by[3].sum()), 0.1, 0.9))
     nothing = np.zeros(0)
-    model = ClassModel(total["n"], total["v"], h, c, symbol, nothing, nothing, nothing, -np.log10(by[0] + 1), np.log10((discount * by[1] + 1) / (by[0] + 1)), discount)
 
-    size = OWN_WORDS + KINDS + 1
+    def model_of(chosen: np.ndarray) -> ClassModel:
+        symbol = np.full(len(h), -1, np.int32)
+        symbol[chosen] = np.arange(len(chosen))
+        return ClassModel(total["n"], total["v"], h, c, symbol, nothing, nothing, nothing, -np.log10(by[0] + 1), np.log10((discount * by[1] + 1) / (by[0] + 1)), discount, len(chosen))
+
+    texts = rows.select("text")
+    core = model_of(own)
+    pairs = symbol_pairs(texts, core, np.arange(len(own) + KINDS + 1))
+    core.of = exchange(pairs, CLASSES, SWEEPS)
+    one_hot = np.eye(CLASSES + 1)[core.of]
+    model = model_of(words)
+    model.of = np.concatenate([core.of[: len(own)], core.of[len(own) + kind[words[len(own) :]]], core.of[len(own) :]])
+    assign(texts, model, len(own), one_hot.T @ pairs @ one_hot)
+    joint = symbol_pairs(texts, model, model.of)
+    freq = np.concatenate([c[words], by[0], c[h == END] if (h == END).any() else [0]]).astype(np.float64)
+    prior = (joint.sum(0) + 1) / (joint.sum() + CLASSES + 1)
+    model.step = np.log10((joint + 5 * prior) / (joint.sum(1, keepdims=True) + 5))
+    members, mass = (np.bincount(model.of, x, CLASSES + 1) for x in (np.ones(len(freq)), freq))
+    model.emit = np.log10((freq + 0.1) / (mass + 0.1 * members)[model.of])
+    return model, counts
+
+
+def symbol_pairs(texts: DataFrame, model: ClassModel, label: np.ndarray) -> np.ndarray:
+    """How often the label of a symbol (the columns) comes after that of another (the rows)."""
+    size = int(label.max()) + 1
 
     def add(table, batch):
         for _, _, buf, offs in text_slices(batch):
             h, kind, csr = tokens(buf, offs)
             symbol, _, _ = model.symbols(h, kind)
-            table += np.bincount(model.before(symbol, csr) * size + symbol, minlength=size * size)
+            table += np.bincount(label[model.before(symbol, csr)] * size + label[symbol], minlength=size * size)
 
-    pairs = dense_counts(rows.select("text"), size * size, add).reshape(size, size).astype(np.float64)
-    of = exchange(pairs, CLASSES, SWEEPS)
-    one_hot = np.zeros((size, CLASSES + 1))
-    one_hot[np.arange(size), of] = 1
-    joint = one_hot.T @ pairs @ one_hot
-    freq = pairs.sum(0)
-    prior = (joint.sum(0) + 1) / (joint.sum() + CLASSES + 1)
-    model.of = of
-    model.step = np.log10((joint + 5 * prior) / (joint.sum(1, keepdims=True) + 5))
-    members = one_hot.sum(0)
-    model.emit = np.log10((freq + 0.1) / ((one_hot.T @ freq) + 0.1 * members)[of])
-    return model, counts
+    return dense_counts(texts, size * size, add).reshape(size, size).astype(np.float64)
+
+
+def context_counts(texts: DataFrame, model: ClassModel, first: int, gathered: int = 4_000_000) -> DataFrame:
+    """symbol, cell, c: how often each class stands before (cell = class) and after (CLASSES + 1 + class) a word from ``first`` on."""
+    span = 2 * (CLASSES + 1)
+
+    def sent(keys, n):
+        return pa.RecordBatch.from_arrays([pa.array((keys // span).astype(np.int32)), pa.array((keys % span).astype(np.int32)), pa.array(n)], names=["symbol", "cell", "c"])
+
+    def summed(held):
+        keys, back = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+        return keys, np.bincount(back, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64)
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for _, _, buf, offs in text_slices(batch):
+                h, kind, csr = tokens(buf, offs)
+                symbol = model.symbols(h, kind)[0].astype(np.int64)
+                before = model.before(symbol, csr)
+                at, prior = ((x >= first) & (x < model.words) for x in (symbol, before))
+                keys = np.concatenate([symbol[at] * span + model.of[before[at]], before[prior] * span + CLASSES + 1 + model.of[symbol[prior]]])
+                held.append(np.unique(keys, return_counts=True))
+                size += len(held[-1][0])
+                if size > gathered:
+                    held = [summed(held)]
+                    yield sent(*held.pop())
+                    size = 0
+        if held:
+            yield sent(*summed(held))
+
+    rows = texts.mapInArrow(run, "symbol int, cell int, c long")
+    return rows.groupBy("symbol", "cell").agg(F.sum("c").alias("c"))
+
+
+def assign(texts: DataFrame, model: ClassModel, first: int, joint: np.ndarray) -> None:
+    """Sets the class of each word from ``first`` on to that under which its own class bigrams are likeliest.
+
+    The likelihood of a word's tokens in class g is P(g | class before) P(word | g) P(class after | g); what does
+    not depend on g is left out.  ``joint`` counts classes after classes; the end's class takes no word.
+    """
+    if model.words <= first:
+        return
+    share = joint + 5 * np.outer(joint.sum(1) + 1, joint.sum(0) + 1) / (joint.sum() + CLASSES + 1) / (CLASSES + 1)
+    of = np.log(share / share.sum(0))[:, :CLASSES]
+    after = np.log(share / share.sum(1, keepdims=True)).T[:, :CLASSES]
+    gains = np.concatenate([of, after])
+
+    def best(batches):
+        for batch in batches:
+            n = batch.num_rows
+            lists = batch.column(1)
+            flat = lists.flatten()
+            row = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
+            value = np.zeros((n, CLASSES))
+            np.add.at(value, row, flat.field("c").to_numpy()[:, None] * gains[flat.field("cell").to_numpy()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.argmax(value, 1).astype(np.int32))], names=["symbol", "class"])
+
+    words = context_counts(texts, model, first).groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("cell", "c"))).alias("cells"))
+    chosen = words.mapInArrow(best, "symbol int, class int").toArrow()
+    model.of[chosen["symbol"].to_numpy()] = chosen["class"].to_numpy()
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of every whole text.
 
-    A token's probability is P(class | class before) * P(symbol | class) * P(word | symbol).  The commonest
-    words are symbols of their own; any other word is one of its kind, a hash of its first and last two
-    bytes, with an absolutely discounted share of it by its exact count; what is discounted is the share of
-    unknown words.  Exchange clustering assigns symbols to classes.  Counts of all words are kept; those of
-    the commoner HELD_WORDS travel to the executors, tokens of all others are joined with the table.
+    A token's probability is P(class | class before) * P(symbol | class) * P(word | symbol).  Words
+    seen CLASSED_COUNT times are symbols of their own; any rarer word is one of its kind, a hash of its first and
+    last two bytes, with an absolutely discounted share of it by its exact count; what is discounted is the share
+    of unknown words.  Exchange clustering assigns the OWN_WORDS commonest and the kinds to classes; each other
+    symbol then takes the class that its own class bigrams favour.  Counts of all words are kept; those of the
+    commoner HELD_WORDS and of all symbols travel to the executors, tokens of others are joined with the table.
 
     A null text is empty: its end alone is scored.  Without training texts every word is unknown.
     """
@@ -226,8 +305,8 @@ def score_texts(docs: DataFrame) -> DataFrame:
                 before = model.before(symbol, csr)
                 value = model.step[model.of[before], model.of[symbol]] + model.emit[symbol]
                 count = np.where(found, model.held_count[at], 0) if len(model.held) else np.zeros(len(h), np.int64)
-                by_kind = (symbol >= OWN_WORDS) & (symbol < OWN_WORDS + KINDS)
-                k = np.where(by_kind, symbol - OWN_WORDS, 0)
+                by_kind = (symbol >= model.words) & (symbol < model.words + KINDS)
+                k = np.where(by_kind, symbol - model.words, 0)
                 part = np.where(count > 0, model.rest[k] + np.log10(np.maximum(count - model.discount, 1e-9)), model.unknown[k])
                 value += np.where(by_kind, part, 0)
                 base = np.log10(count + 1.0) + base_unknown

@@ -145,6 +145,22 @@ def test_exchange_never_lowers_the_likelihood():
     assert value(end) > value(start) and end[-1] == 3
 
 
+def test_words_beyond_the_exchange_take_the_class_of_their_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(brown_lm, "OWN_WORDS", 8)
+    monkeypatch.setattr(brown_lm, "CLASSES", 6)
+    rng = np.random.default_rng(8)
+    size = [400] * 4 + [20] * 30
+    sides = [rng.permutation(np.repeat([f"{x}{k}" for k in range(34)], size)) for x in "ab"]
+    rows = [(k, f"{x} {y}") for k, (x, y) in enumerate(zip(*sides, strict=True))] + [(k, "seldom seen") for k in range(9000, 9003)]
+    model, counts = brown_lm.train(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    key = lambda w: int(brown_lm.tokens(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0][0])
+    symbol = dict(zip(model.held.tolist(), model.held_symbol.tolist(), strict=True))
+    often = {r["h"] for r in counts.filter(f"c >= {brown_lm.CLASSED_COUNT}").collect()} - {brown_lm.END}
+    assert {k for k, v in symbol.items() if v >= 0} == often and len(often) > 60 and symbol[key("seldom")] == -1
+    of = lambda x: {int(model.of[symbol[key(f"{x}{k}")]]) for k in range(34) if key(f"{x}{k}") in often}
+    assert not of("a") & of("b")
+
+
 # --- tokens ----------------------------------------------------------------------------------------
 
 
