@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 
@@ -90,9 +92,34 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        self.model, self.alphabet, self.tokenizer = tokenizer.model, byte_alphabet(), tokenizer
+        self.model, self.alphabet = tokenizer.model, byte_alphabet()
+        added = tokenizer.get_added_tokens_decoder()
+        if odd := [t.content for t in added.values() if t.single_word or t.lstrip or t.rstrip]:
+            raise ValueError(f"added tokens that take their surroundings into account are not supported: {odd}")
+        self.added = {t.content.encode(): i for i, t in added.items()}
+        longest = sorted(self.added, key=len, reverse=True)
+        self.find_added = re.compile(b"|".join(map(re.escape, longest))) if longest else None
         self.clear()
 
+    def starts(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Like ``piece_starts``, each added token in a text being one piece that cuts the text in two."""
+        at, data, place = [], buf.tobytes(), 0
+        while self.find_added and (m := self.find_added.search(data, place)):
+            end = int(offs[np.searchsorted(offs, m.start(), "right")])
+            # what reaches into the next text is no token of this one
+            m = m if m.end() <= end else self.find_added.search(data, m.start(), end)
+            place = m.end() if m else end
+            if m:
+                at.append(m.span())
+        if not at:
+            return piece_starts(buf, offs)
+        a, b = np.array(at, np.int64).T
+        starts, _ = piece_starts(buf, np.unique(np.concatenate([offs, a, b])))
+        token = np.searchsorted(a, starts, "right") - 1
+        inside = (token >= 0) & (starts > a[token]) & (starts < b[token])
+        starts = starts[~inside]
+        return starts, np.searchsorted(starts, offs)
+
     def clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
         self.at = np.zeros(0, np.int64)
@@ -102,7 +129,7 @@ class PieceEncoder:
 
     def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
         tokenize, alphabet = self.model.tokenize, self.alphabet
-        ids = [[t.id for t in tokenize(p.decode("latin-1").translate(alphabet))] for p in pieces]
+        ids = [[self.added[p]] if p in self.added else [t.id for t in tokenize(p.decode("latin-1").translate(alphabet))] for p in pieces]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((x for y in ids for x in y), np.int32, int(size.sum()))
         if self.used + len(flat) > len(self.pool):
@@ -144,7 +171,7 @@ def token_lengths(batch: pa.RecordBatch, path: str) -> np.ndarray:
     """Number of ids of each row's text."""
     enc, out = encoder(path), np.zeros(batch.num_rows, np.int64)
     for i, n, buf, offs in text_slices(batch):
-        starts, csr = piece_starts(buf, offs)
+        starts, csr = enc.starts(buf, offs)
         if len(starts):
             rows = enc.rows(buf, starts)
             out[i : i + n] = doc_sums(enc.size[rows], csr)
@@ -155,7 +182,7 @@ def token_ids(batch: pa.RecordBatch, path: str, end_id: int | None):
     """Yields (first row, ids of a run of rows, offsets): each row's ids, then ``end_id`` if there is one."""
     enc = encoder(path)
     for i, n, buf, offs in text_slices(batch):
-        starts, csr = piece_starts(buf, offs)
+        starts, csr = enc.starts(buf, offs)
         rows = enc.rows(buf, starts) if len(starts) else np.zeros(0, np.int64)
         size = enc.size[rows]
         lengths = doc_sums(size, csr)

@@ -224,6 +224,17 @@ def test_token_operators_on_awkward_tables(messy, empty, tokenizer):
     assert token_counts.token_counts(empty, path).count() == 0 == packing.pack(empty, path).count()
 
 
+def test_added_tokens_in_texts(spark, tokenizer):
+    end = "<|endoftext|>"
+    said = ["a b" + end + " c", end, end * 3, " " + end + "\n\n" + end + "it's", "x " + end[:-1], "|>  y" + end, end[:6], end[6:], "é" + end + "é  ", "plain", "", None]
+    docs = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string").coalesce(1)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    want = {k: tokenizer.encode(t or "", add_special_tokens=False).ids for k, t in enumerate(said)}
+    assert 50256 in want[0]
+    assert {r["doc_id"]: r["ids"] for r in packing.pack(docs, path, with_ids=True).collect()} == {k: v + [0] for k, v in want.items()}
+    assert {r["doc_id"]: r["n_tokens"] for r in token_counts.lengths(docs, path).collect()} == {k: len(v) for k, v in want.items()}
+
+
 # --- lines -----------------------------------------------------------------------------------------
 
 
