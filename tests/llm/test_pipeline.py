@@ -29,3 +29,10 @@ def test_each_stage_takes_effect_and_keeps_the_columns(spark):
     assert not any(hit(t) for t in pure.values()) and any(hit(single[k]) for k in set(single) - set(pure))
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, where)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == set(pure)
+
+
+def test_documents_without_id_pass_the_near_dedup(spark):
+    rows = [(1, "one two three four five six"), (2, "one two three four five six"), (None, "one two three four five six"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([rows[0], *rows[2:]], key=repr)
