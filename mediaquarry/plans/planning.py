@@ -39,8 +39,8 @@ def clu05(spark, d):
 
 @query("clu12_greedy_selection")
 def clu12(spark, d):
-    rows = table(spark, d, "orders").filter("o_custkey % 50 < 20").selectExpr("o_custkey % 50 AS event", "o_orderkey AS media_id", "o_totalprice / 500000 AS score", "o_orderkey % 5 AS place", "o_custkey % 7 AS person")
-    return P.greedy_selection(rows.filter("media_id % 5 = 0"), 12, 6)
+    rows = table(spark, d, "orders").selectExpr("o_custkey % 50 AS event", "o_orderkey AS media_id", "o_totalprice / 500000 AS score", "o_orderkey % 5 AS place", "o_custkey % 7 AS person")
+    return P.greedy_selection(rows, 12, 6)
 
 
 @query("clu13_lock_cut", f"SELECT media_id, frame, beat FROM (SELECT c.media_id, c.frame, b.frame AS beat, row_number() OVER (PARTITION BY c.media_id, c.frame ORDER BY abs(b.frame - c.frame) - CASE WHEN b.speech THEN 1.5 ELSE 0.0 END, NOT b.speech, abs(b.frame - c.frame), b.frame) AS rn FROM {FRAMES_SQL} c JOIN {FRAMES_SQL} b ON b.media_id = c.media_id AND b.frame BETWEEN c.frame - 6 AND c.frame + 6 WHERE c.boundary AND b.event_type IN ('click', 'view') AND (NOT b.speech OR abs(b.frame - c.frame) <= 3)) WHERE rn = 1")
@@ -89,6 +89,12 @@ def agg10(spark, d):
     return P.constraint_report(spark.sql(CHOSEN.format(t="{orders}"), orders=table(spark, d, "orders")), 3)
 
 
+@query("agg10_constraint_report_all")
+def agg10_all(spark, d):
+    whole = CHOSEN.removesuffix(" WHERE o_orderkey < 300").format(t="{orders}")
+    return P.constraint_report(spark.sql(whole, orders=table(spark, d, "orders")), 3)
+
+
 @query("win32_greedy_labels")
 def win32(spark, d):
     rows = table(spark, d, "embeddings").select((F.col("label") % 5).cast("long").alias("bucket"), F.col("vec_id").alias("ord"), F.slice("embedding", 1, 4).alias("x"))

@@ -110,12 +110,17 @@ def src14(spark, d):
 
 
 @query("jn19_box_relations", "SELECT a.id AS a, b.id AS b FROM (SELECT l_orderkey AS g, l_orderkey * 10 + l_linenumber AS id, l_discount AS x, l_quantity AS w FROM lineitem WHERE l_orderkey < 500) a JOIN (SELECT l_orderkey AS g, l_orderkey * 10 + l_linenumber AS id, l_discount AS x, l_quantity AS w FROM lineitem WHERE l_orderkey < 500) b ON a.g = b.g AND a.id <> b.id AND a.x <= b.x AND a.x + a.w >= b.x + b.w")
-def jn19(spark, d):
-    rows = table(spark, d, "lineitem").filter("l_orderkey < 500").selectExpr("l_orderkey AS g", "l_orderkey * 10 + l_linenumber AS id", "l_discount AS x", "l_quantity AS w")
+def jn19(spark, d, which="l_orderkey < 500"):
+    rows = table(spark, d, "lineitem").filter(which).selectExpr("l_orderkey AS g", "l_orderkey * 10 + l_linenumber AS id", "l_discount AS x", "l_quantity AS w")
     b = rows.selectExpr("g AS g2", "id AS b", "x AS bx", "w AS bw")
     return rows.join(b, (F.col("g") == F.col("g2")) & (F.col("id") != F.col("b")) & (F.col("x") <= F.col("bx")) & (F.col("x") + F.col("w") >= F.col("bx") + F.col("bw"))).select(F.col("id").alias("a"), "b")
 
 
+@query("jn19_box_relations_all")
+def jn19_all(spark, d):
+    return jn19(spark, d, "true")
+
+
 @query("top06_capacity", "SELECT l_orderkey AS plan, l_linenumber AS n, l_partkey AS part FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_partkey) AS rn FROM lineitem) WHERE rn <= 3")
 def top06(spark, d):
     from pyspark.sql import Window

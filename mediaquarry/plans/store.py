@@ -93,11 +93,16 @@ def src16(spark, d):
 
 
 @query("flt04_proxies_of_record", "SELECT o_orderkey AS media_id, ['p' || CAST(o_orderkey AS VARCHAR)] AS proxies FROM orders WHERE o_orderkey < 500")
-def flt04(spark, d):
-    rows = orders(spark, d, "o_orderkey < 500").selectExpr("o_orderkey AS media_id", f"from_json({RECORD}, 'struct<proxies:array<struct<proxy_id:string,kind:string>>>').proxies AS p")
+def flt04(spark, d, which="o_orderkey < 500"):
+    rows = orders(spark, d, which).selectExpr("o_orderkey AS media_id", f"from_json({RECORD}, 'struct<proxies:array<struct<proxy_id:string,kind:string>>>').proxies AS p")
     return rows.select("media_id", F.transform(F.filter("p", lambda x: x["kind"] == "thumb"), lambda x: x["proxy_id"]).alias("proxies"))
 
 
+@query("flt04_proxies_of_record_all")
+def flt04_all(spark, d):
+    return flt04(spark, d, "true")
+
+
 @query(
     "src10_inventory_diff",
     """SELECT o_orderkey AS path, CASE WHEN o_orderkey % 2 <> 0 THEN 'added' WHEN o_orderkey % 3 <> 0 THEN 'removed' ELSE 'changed' END AS status FROM orders

@@ -45,6 +45,33 @@ def test_query_without_sql_gives_rows(spark, sf_dir, name):
     assert registry.queries()[name](spark, sf_dir).count() > 0
 
 
+@pytest.mark.parametrize("name,subset", [("jn19_box_relations", " WHERE l_orderkey < 500"), ("agg10_constraint_report", " WHERE o_orderkey < 300"), ("flt04_proxies_of_record", " WHERE o_orderkey < 500")])
+def test_query_over_the_whole_table(spark, sf_dir, sql, name, subset):
+    got = registry.queries()[f"{name}_all"](spark, sf_dir)
+    text = registry.oracle_sql()[name]
+    assert subset in text
+    want = sql.sql(text.replace(subset, ""))
+    assert table(got.columns, got.collect()) == table(want.columns, want.fetchall())
+
+
+def test_greedy_selection_sees_all_orders(spark, sf_dir, sql):
+    rows = sql.sql("SELECT o_custkey % 50, o_orderkey, o_totalprice / 500000, o_orderkey % 5, o_custkey % 7 FROM orders").fetchall()
+    want = set()
+    for event in {r[0] for r in rows}:
+        free, places, people = sorted(r[1:] for r in rows if r[0] == event), [0] * 5, [0] * 7
+        for rank in range(1, 13):
+            fits = [(-round(s + 0.5 ** places[p], 9), i, p, c) for i, s, p, c in free if people[c] < 6]
+            if not fits:
+                break
+            gain, best, place, person = min(fits)
+            free = [r for r in free if r[0] != best]
+            places[place] += 1
+            people[person] += 1
+            want.add((event, best, rank))
+    got = registry.queries()["clu12_greedy_selection"](spark, sf_dir)
+    assert {(r["event"], r["media_id"], r["rank"]) for r in got.collect()} == want
+
+
 def test_listing_pushes_filters_to_the_scan(spark, sf_dir):
     from mediaquarry.sources.tables import table as read
 
