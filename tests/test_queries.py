@@ -54,6 +54,15 @@ def test_query_over_the_whole_table(spark, sf_dir, sql, name, subset):
     assert table(got.columns, got.collect()) == table(want.columns, want.fetchall())
 
 
+@pytest.mark.parametrize("name", ["agg16_gallery_similarity", "top04_candidate_identities"])
+def test_gallery_search_sees_all_vectors(spark, sf_dir, sql, name):
+    got = registry.queries()[f"{name}_all"](spark, sf_dir)
+    text = registry.oracle_sql()[name].replace("p.vec_id % 10 = 0 AND g.vec_id % 3 = 1", "p.vec_id % 100 = 0")
+    assert text != registry.oracle_sql()[name]
+    want = sql.sql(text)
+    assert table(got.columns, got.collect()) == table(want.columns, want.fetchall())
+
+
 def test_greedy_selection_sees_all_orders(spark, sf_dir, sql):
     rows = sql.sql("SELECT o_custkey % 50, o_orderkey, o_totalprice / 500000, o_orderkey % 5, o_custkey % 7 FROM orders").fetchall()
     want = set()
