@@ -12,12 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import map_rows, mix, powers, prefix_hash, shuffle_width, span_hash, staged, text_slices
+from .textkit import doc_sums, map_rows, mix, owners, powers, prefix_hash, runs, shuffle_width, span_hash, staged, text_slices
 
-#: Length of a repeated string in bytes, of a gram, and grams in such a string.
+#: Length of a repeated string in bytes, of a gram, grams in such a string, and bytes of the longest segment.
 SPAN, GRAM = 50, 20
 WINDOW = SPAN - GRAM + 1
-#: Anchors a task gathers before it sends them, and bytes of text behind one partition of anchors.
+WIDE = SPAN + WINDOW - 1
+#: Anchors (or segments) a task gathers before it sends them, and bytes of text behind one partition of them.
 GATHERED = 400_000
 PART_BYTES = 16 << 20
 #: Bytes of text whose anchors are found at once.
@@ -26,32 +27,41 @@ SLICE = 1 << 20
 #: where there are more, each document gets its own by a join.
 MAP_BITS = 27
 SENT_HASHES = 16_000_000
+#: Different segments around one anchor above which each of its strings is dealt out by its own hash.
+HOT_CONTEXTS = 100_000
 
 
 def anchors(buf: np.ndarray, offs: np.ndarray):
-    """Runs of string starts with the same anchor: document, first start, starts in the run, anchor, its hash."""
+    """Runs of string starts with the same anchor: document, first start, starts in the run, anchor, its hash; and the prefix hashes.
+
+    The anchor is the gram whose hash has the smallest upper half, the first of several.
+    """
     n = len(buf)
     none = np.zeros(0, np.int64)
     if n < SPAN:
-        return none, none, none, none, none.astype(np.uint64)
+        return none, none, none, none, none.astype(np.uint64), np.zeros(1, np.uint64)
     p = prefix_hash(buf)
     _, inv = powers(n + 1)
     g = mix((p[GRAM:] - p[:-GRAM]) * inv[: n - GRAM + 1])
-    v, at = g, np.arange(len(g), dtype=np.int32)
+    low = np.uint64(0xFFFFFFFF)
+    v = (g & ~low) | np.arange(len(g), dtype=np.uint64)
     for step in (1, 2, 4, 8, 15):
-        left = v[:-step] <= v[step:]
-        v = np.where(left, v[:-step], v[step:])
-        at = np.where(left, at[:-step], at[step:])
-    inside = np.zeros(n + 1, np.int32)
-    np.add.at(inside, np.maximum(offs[1:] - SPAN + 1, offs[:-1]), 1)
-    np.add.at(inside, offs[1:], -1)
-    starts = np.flatnonzero(np.cumsum(inside[: n - SPAN + 1]) == 0)
-    a = at[starts].astype(np.int64)
+        v = np.minimum(v[:-step], v[step:])
+    inside = np.ones(len(v), bool)
+    for end in offs[1:-1].tolist():
+        inside[max(0, end - SPAN + 1) : end] = False
+    starts = np.flatnonzero(inside)
+    a = (v[starts] & low).astype(np.int64)
     fresh = np.ones(len(starts), bool)
     fresh[1:] = (a[1:] != a[:-1]) | (starts[1:] != starts[:-1] + 1)
     first = np.flatnonzero(fresh)
     s0, a = starts[first], a[first]
-    return np.searchsorted(offs, s0, "right") - 1, s0, np.diff(np.append(first, len(starts))), a, g[a]
+    return np.searchsorted(offs, s0, "right") - 1, s0, np.diff(np.append(first, len(starts))), a, g[a], p
+
+
+def segment_hash(p: np.ndarray, s0: np.ndarray, count: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of a run's strings and of the anchor's place among them."""
+    return span_hash(p, s0, s0 + count + SPAN - 1) ^ mix((count | ((a - s0) << 8)).astype(np.uint64))
 
 
 def binary_runs(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -84,17 +94,6 @@ def short(fp: np.ndarray) -> np.ndarray:
     return fp >> np.uint64(16)
 
 
-def pack48(values: np.ndarray) -> np.ndarray:
-    return values.view(np.uint8).reshape(-1, 8)[:, :6]
-
-
-def unpack48(column) -> np.ndarray:
-    raw = np.frombuffer(b"".join(x.as_py() or b"" for x in column), np.uint8).reshape(-1, 6)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :6] = raw
-    return out.view(np.uint64).ravel()
-
-
 def places(values: np.ndarray) -> np.ndarray:
     return (mix(values) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
 
@@ -110,48 +109,57 @@ def bit_map(blobs) -> np.ndarray:
     return out
 
 
-def shared_hashes(docs: DataFrame, parts: int) -> DataFrame:
-    """Short hashes of anchors that at least two rows hold, in blobs.
+def dealt(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by partition, and where each one's items begin."""
+    order = np.argsort(p, kind="stable")
+    return order, edges(p[order])
+
 
-    A task sends each hash once, marked if two of its documents hold it, so a passage in very many documents
-    sends one hash from each task.
+def shared_hashes(docs: DataFrame, parts: int, hot_contexts: int) -> DataFrame:
+    """Short hashes of anchors that at least two rows hold (hot: with over ``hot_contexts`` different segments), in blobs.
+
+    A task sends each hash once: a word of the hash, a bit if two of its documents hold it, and the number of
+    different segments around it.  So a passage in very many documents sends one word from each task.
     """
 
-    def parcels(doc: np.ndarray, fp: np.ndarray):
-        order = np.lexsort((doc, fp))
-        doc, fp = doc[order], fp[order]
-        group = edges(fp)
-        many = doc[group[:-1]] != doc[group[1:] - 1]
-        distinct = fp[group[:-1]]
-        for flag in (False, True):
-            mine = distinct[many == flag]
-            p = (mine % np.uint64(parts)).astype(np.int64)
-            by = np.argsort(p, kind="stable")
-            bounds = edges(p[by])
-            yield pa.RecordBatch.from_arrays([pa.array(p[by][bounds[:-1]].astype(np.int32)), pa.array(np.full(len(bounds) - 1, flag)), binary_runs(pack48(mine[by]), bounds)], names=["p", "many", "fps"])
+    def parcels(doc: np.ndarray, fp: np.ndarray, seg: np.ndarray):
+        order = np.argsort(fp)
+        group = edges(fp[order])
+        doc = doc[order]
+        many = np.minimum.reduceat(doc, group[:-1]) != np.maximum.reduceat(doc, group[:-1])
+        contexts = np.unique((fp << np.uint64(16)) | (seg >> np.uint64(48))) >> np.uint64(16)
+        different = np.minimum(np.diff(edges(contexts)), 0x7FFF).astype(np.uint64)
+        distinct = fp[order][group[:-1]]
+        words = (distinct << np.uint64(16)) | (many.astype(np.uint64) << np.uint64(15)) | different
+        p = (distinct % np.uint64(parts)).astype(np.int64)
+        by, bounds = dealt(p)
+        return pa.RecordBatch.from_arrays([pa.array(p[by][bounds[:-1]].astype(np.int32)), binary_runs(words[by], bounds)], names=["p", "words"])
 
     def send(batches):
         held, size, rows = [], 0, 0
         for batch in batches:
             for _, n, buf, offs in text_slices(batch, limit=SLICE):
-                doc, _, _, _, fp = anchors(buf, offs)
-                held.append((doc + rows, short(fp)))
+                doc, s0, count, a, fp, p = anchors(buf, offs)
+                held.append((doc + rows, short(fp), segment_hash(p, s0, count, a)))
                 rows += n
                 size += len(fp)
                 if size > GATHERED:
-                    yield from parcels(*map(np.concatenate, zip(*held, strict=True)))
+                    yield parcels(*map(np.concatenate, zip(*held, strict=True)))
                     held, size = [], 0
         if size:
-            yield from parcels(*map(np.concatenate, zip(*held, strict=True)))
+            yield parcels(*map(np.concatenate, zip(*held, strict=True)))
 
     def meet(table: pa.Table) -> pa.Table:
-        many = table["many"].combine_chunks() if table["many"].num_chunks != 1 else table["many"].chunk(0)
-        sure = unpack48(table["fps"].filter(many))
-        fp, count = np.unique(np.concatenate([unpack48(table["fps"].filter(pa.compute.invert(many))), sure]), return_counts=True)
-        out = np.union1d(fp[count > 1], sure)
-        return pa.table({"fps": binary_runs(out, np.array([0, len(out)]))})
+        words = np.sort(joined(table["words"], np.uint64))
+        fp = words >> np.uint64(16)
+        group = edges(fp)
+        sure = np.bitwise_or.reduceat(words & np.uint64(0x8000), group[:-1]) > 0
+        contexts = np.add.reduceat((words & np.uint64(0x7FFF)).astype(np.int64), group[:-1])
+        fp, shared = fp[group[:-1]], sure | (np.diff(group) > 1)
+        found = [fp[shared & ~(contexts > hot_contexts)], fp[shared & (contexts > hot_contexts)]]
+        return pa.table({"hot": [False, True], "fps": pa.array([x.tobytes() for x in found], pa.binary())})
 
-    return docs.select("text").mapInArrow(send, "p int, many boolean, fps binary").groupBy("p").applyInArrow(meet, "fps binary")
+    return docs.select("text").mapInArrow(send, "p int, words binary").groupBy("p").applyInArrow(meet, "hot boolean, fps binary")
 
 
 SHARED = "p int, docs binary, keys binary, fps binary, answered boolean"
@@ -193,7 +201,7 @@ def shared_anchors(docs: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             ids, keys = (batch.column(i).to_numpy() for i in (0, 1))
             for i, _, buf, offs in text_slices(batch, limit=SLICE):
-                doc, _, _, _, fp = anchors(buf, offs)
+                doc, _, _, _, fp, _ = anchors(buf, offs)
                 held.append((ids[i + doc], keys[i + doc], fp))
                 size += len(fp)
                 if size > GATHERED:
@@ -226,40 +234,84 @@ def shared_anchors(docs: DataFrame, parts: int) -> DataFrame:
 
 # --- which strings around them are repeated -----------------------------------------------------------------
 
-SEGMENTS = "p int, docs binary, keys binary, fps binary, starts binary, shapes binary, bytes binary, answered boolean"
+SEGMENTS = "p int, docs binary, keys binary, fps binary, hashes binary, starts binary, shapes binary, bytes binary"
 
 
-def flat_ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The positions of all ranges, one after another."""
-    ends = np.cumsum(sizes)
-    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+def filled(size: np.ndarray) -> np.ndarray:
+    """Which of the WIDE bytes of a row belong to its segment."""
+    return np.arange(WIDE) < size[:, None]
 
 
-def segment_parts(doc, key, fp, s0, shape, off, size, buf, parts: int) -> list[pa.RecordBatch]:
+def segment_rows(buf: np.ndarray, s0: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of segments, each in a row of WIDE bytes filled up with zeros."""
+    rows = np.lib.stride_tricks.sliding_window_view(np.append(buf, np.zeros(WIDE, np.uint8)), WIDE)[s0]
+    rows *= filled(size)
+    return rows
+
+
+def split_hot(runs_, hot: np.ndarray, p: np.ndarray):
+    """The runs (document, first start, starts, anchor, hash), those of hot anchors as one run for each string.
+
+    Equal strings of a hot anchor still meet, under the hash of the string in place of the anchor's.
+    """
+    doc, s0, count, a, fp = runs_
+    if not hot.any():
+        return runs_
+    row = np.repeat(np.flatnonzero(hot), count[hot])
+    start = np.concatenate([np.arange(x, x + c) for x, c in zip(s0[hot].tolist(), count[hot].tolist(), strict=True)])
+    one = doc[row], start, np.ones_like(row), a[row], span_hash(p, start, start + SPAN)
+    return tuple(np.append(x[~hot], y) for x, y in zip(runs_, one, strict=True))
+
+
+def byte_ranges(doc, key, start, end):
+    """Ranges by document, those that touch or overlap merged."""
+    order = np.lexsort((start, key, doc))
+    doc, key, start, end = doc[order], key[order], start[order], end[order]
+    own = edges(doc, key)
+    base = np.repeat(np.arange(len(own) - 1) << 40, np.diff(own))
+    reach = np.maximum.accumulate(base + end)
+    fresh = np.ones(len(start), bool)
+    fresh[1:] = base[1:] + start[1:] > reach[:-1]
+    first = np.flatnonzero(fresh)
+    last = np.append(first[1:], len(start)) - 1
+    return doc[first], key[first], start[first], (reach - base)[last] if len(first) else end
+
+
+def packed_ranges(doc, key, start, end) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(key), pa.array((start.astype(np.int64) << 32) | end.astype(np.int64))], names=["doc_id", "tkey", "range"])
+
+
+def segment_parts(doc, key, fp, h, s0, shape, rows, parts: int) -> list[pa.RecordBatch]:
     """Rows for the partitions of a gathered set of segments (the bytes of all strings of one anchor).
 
-    Of equal segments in the set only those of the smallest document are sent; the others are repeated as a
-    whole, which is answered at once.
+    Of equal segments in the set only those of the smallest document are sent; the others, once their bytes are
+    compared, are repeated as a whole: their ranges come along with no hash, for the last step alone.
     """
-    h = span_hash(prefix_hash(buf), off, off + size) ^ mix(shape.astype(np.uint64))
-    order = np.lexsort((s0, doc, h, fp))
-    doc, key, fp, s0, shape, off, size, h = (x[order] for x in (doc, key, fp, s0, shape, off, size, h))
-    group = edges(fp, h)
-    least = np.repeat(doc[group[:-1]], np.diff(group))
+    order = np.lexsort((doc, fp ^ mix(h)))
+    tie = (fp ^ mix(h))[order]
+    group = edges(tie)
+    head = np.empty(len(doc), np.int64)
+    head[order] = np.repeat(order[group[:-1]], np.diff(group))
+    settled = doc[head] < doc
+    at = np.flatnonzero(settled)
+    settled[at] = (rows[at] == rows[head[at]]).all(1) & (shape[at] == shape[head[at]]) & (fp[at] == fp[head[at]])
+    d, k, s, e = byte_ranges(doc[settled], key[settled], s0[settled], (s0 + (shape & 255) + SPAN - 1)[settled])
+    names = ["p", "docs", "keys", "fps", "hashes", "starts", "shapes", "bytes"]
     out = []
-    for mask, answered in ((doc == least, False), (doc != least, True)):
-        p = np.mod(doc[mask], parts) if answered else (fp[mask] % np.uint64(parts)).astype(np.int64)
-        by = np.argsort(p, kind="stable")
-        d, k, f, s, c, o, z = (x[mask][by] for x in (doc, key, fp, s0, shape, off, size))
-        bounds = edges(p[by])
-        if answered:
-            text = pa.array([b""] * (len(bounds) - 1), pa.binary())
+    for mine, p in ((np.flatnonzero(~settled), None), (None, np.mod(d, parts))):
+        if p is None:
+            p = (fp[mine] % np.uint64(parts)).astype(np.int64)
+        by, bounds = dealt(p)
+        if mine is not None:
+            x = mine[by]
+            size = (shape[x] & 255).astype(np.int64) + SPAN - 1
+            ends = np.concatenate([[0], np.cumsum(size)])
+            cols = [binary_runs(v, bounds) for v in (doc[x], key[x], fp[x], h[x], s0[x].astype(np.uint32), shape[x].astype(np.uint16))]
+            cols.append(binary_runs(rows[x][filled(size)], ends[bounds]))
         else:
-            ends = np.concatenate([[0], np.cumsum(z)])
-            text = binary_runs(buf[flat_ranges(o, z)], ends[bounds])
-        f = f[:0] if answered else f
-        cols = [pa.array(p[by][bounds[:-1]].astype(np.int32)), *[binary_runs(x, bounds if len(x) else bounds * 0) for x in (d, k, f, s.astype(np.uint32), c.astype(np.uint16))], text, pa.array(np.full(len(bounds) - 1, answered))]
-        out.append(pa.RecordBatch.from_arrays(cols, names=["p", "docs", "keys", "fps", "starts", "shapes", "bytes", "answered"]))
+            none = pa.array([b""] * (len(bounds) - 1), pa.binary())
+            cols = [binary_runs(d[by], bounds), binary_runs(k[by], bounds), none, none, binary_runs(np.stack([s[by], e[by]], 1).astype(np.uint32).ravel().view(np.uint64), bounds), none, none]
+        out.append(pa.RecordBatch.from_arrays([pa.array(p[by][bounds[:-1]].astype(np.int32)), *cols], names=names))
     return out
 
 
@@ -320,70 +372,103 @@ def sort_suffixes(buf: np.ndarray, p: np.ndarray, starts: np.ndarray, group: np.
     return order
 
 
-def repeated_strings(doc, fp, shape, off, size, buf) -> np.ndarray:
-    """For each segment a bit mask of its strings that start in a smaller document too."""
+def repeated_strings(doc, fp, h, shape, rows) -> np.ndarray:
+    """For each segment a bit mask of its strings that start in a smaller document too.
+
+    Equal segments (by hash, then by bytes) are one kind.  Strings of kinds around the same anchor are put into
+    buckets by their place before it and their first and last eight bytes, and each bucket's suffixes are
+    sorted; equal neighbours are compared byte by byte.
+    """
     n = len(doc)
     if not n:
         return np.zeros(0, np.uint32)
-    p = prefix_hash(buf)
-    h = span_hash(p, off, off + size) ^ mix(shape.astype(np.uint64))
-    order = np.lexsort((doc, h, fp))
-    same = edges(fp[order], h[order])
+    count = (shape & 255).astype(np.int64)
+    tie = fp ^ mix(h)
+    order = np.lexsort((doc, tie))
+    same = edges(tie[order])
     kind = np.empty(n, np.int64)
     kind[order] = np.repeat(np.arange(len(same) - 1), np.diff(same))
     first = order[same[:-1]]
-    # equal hashes are held against the bytes; a segment that differs becomes a kind of its own
     head = first[kind]
     at = np.flatnonzero(head != np.arange(n))
-    if len(at):
-        differs = (size[at] != size[head[at]]) | (shape[at] != shape[head[at]])
-        ok = at[~differs]
-        unequal = buf[flat_ranges(off[ok], size[ok])] != buf[flat_ranges(off[head[ok]], size[ok])]
-        bad = np.append(at[differs], ok[np.add.reduceat(unequal, np.cumsum(size[ok]) - size[ok]) > 0] if len(ok) else ok)
-        kind[bad] = len(first) + np.arange(len(bad))
-        first = np.append(first, bad)
-    least = np.full((len(first), WINDOW), doc[first][:, None])
-    count = (shape[first] & 255).astype(np.int64)
-    # strings of kinds that share an anchor, by anchor and place before it
-    by = np.argsort(fp[first], kind="stable")
+    bad = np.concatenate([at[:0], *[x[(rows[x] != rows[head[x]]).any(1) | (shape[x] != shape[head[x]]) | (fp[x] != fp[head[x]])] for x in np.array_split(at, 1 + len(at) // (1 << 18))]])
+    kind[bad] = len(first) + np.arange(len(bad))
+    first = np.append(first, bad)
+    by = np.argsort(fp[first])
     group = edges(fp[first][by])
     many = by[np.repeat(np.diff(group) > 1, np.diff(group))]
-    row = np.repeat(many, count[many])
-    w = flat_ranges(np.zeros(len(many), np.int64), count[many])
-    place = (shape[first[row]] >> 8).astype(np.int64) - w
-    order = np.lexsort((place, fp[first[row]]))
-    row, w, place = row[order], w[order], place[order]
-    starts = off[first[row]] + w
-    groups = edges(fp[first[row]], place)
+    mask = np.zeros(len(first))
+    for x in anchor_sets(many, fp[first], 1 << 16):
+        found = suffix_groups(doc[first[x]], fp[first[x]], shape[first[x]], rows[first[x]])
+        mask[x] = found
+    every = (np.int64(1) << count) - 1
+    return np.where(doc > doc[first[kind]], every, mask[kind].astype(np.int64)).astype(np.uint32)
+
+
+def anchor_sets(kinds: np.ndarray, fp: np.ndarray, size: int):
+    """Runs of about ``size`` kinds that do not part those of one anchor; ``kinds`` is sorted by anchor."""
+    bounds = edges(fp[kinds])
+    i = 0
+    while i < len(bounds) - 1:
+        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + size, "right")) - 1)
+        yield kinds[bounds[i] : bounds[j]]
+        i = j
+
+
+def suffix_groups(doc, fp, shape, rows) -> np.ndarray:
+    """For each kind a bit mask of its strings that a smaller document's kind of the same anchor holds too."""
+    n = len(doc)
+    buf = rows.ravel()
+    count = (shape & 255).astype(np.int64)
+    row = np.repeat(np.arange(n), count)
+    w = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    place = (shape[row] >> 8).astype(np.int64) - w
+    starts = row * WIDE + w
+    eight = np.ndarray((len(buf) - 7,), "<u8", buf.data, 0, (1,))
+    bucket = mix(fp[row] + mix(place.astype(np.uint64) + np.uint64(11))) ^ mix(eight[starts] * np.uint64(0x9E3779B97F4A7C15) + mix(eight[starts + SPAN - 8]))
+    order = np.argsort(bucket)
+    size = np.diff(edges(bucket[order]))
+    order = order[np.repeat(size > 1, size)]
+    row, w, starts = row[order], w[order], starts[order]
+    groups = np.append(0, np.cumsum(size[size > 1]))
+    out = np.zeros(n)
+    if not len(row):
+        return out
+    p = prefix_hash(buf)
     sorted_ = sort_suffixes(buf, p, starts, groups)
     row, w, starts = row[sorted_], w[sorted_], starts[sorted_]
-    if len(row):
-        new = np.zeros(len(row), bool)
-        new[groups[:-1]] = True
-        a, b = starts[:-1], starts[1:]
-        equal = common_length(p, a, b) >= SPAN
-        inner = np.flatnonzero(equal & ~new[1:])
-        for i in range(0, len(inner), 1 << 18):
-            x = inner[i : i + (1 << 18)]
-            reach = np.arange(SPAN)
-            equal[x] = (buf[a[x][:, None] + reach] == buf[b[x][:, None] + reach]).all(1)
-        new[1:] |= ~equal
-        runs_ = np.flatnonzero(new)
-        low = np.minimum.reduceat(doc[first[row]], runs_)
-        least[row, w] = np.repeat(low, np.diff(np.append(runs_, len(row))))
-    out = np.zeros(n, np.uint32)
-    reach = np.arange(WINDOW)
-    for i in range(0, n, 1 << 17):
-        x = slice(i, i + (1 << 17))
-        bits = (least[kind[x]] < doc[x, None]) & (reach < (shape[x] & 255)[:, None])
-        out[x] = (bits * (1 << reach)).sum(1).astype(np.uint32)
-    return out
-
-
-def repeated_starts(docs: DataFrame, shared: DataFrame | np.ndarray, parts: int) -> DataFrame:
-    """doc_id, tkey and marks: pairs of a start and the bits of the starts from there whose string is repeated.
-
-    shared: the bit map of shared anchors, or a table of each document's own.
+    new = np.zeros(len(row), bool)
+    new[groups[:-1]] = True
+    a, b = starts[:-1], starts[1:]
+    equal = (common_length(p, a, b) >= SPAN) & ~new[1:]
+    strings = np.lib.stride_tricks.sliding_window_view(buf, SPAN)
+    inner = np.flatnonzero(equal)
+    for x in np.array_split(inner, 1 + len(inner) // (1 << 18)):
+        equal[x] = (strings[a[x]] == strings[b[x]]).all(1)
+    # hashes of buckets may meet: an equal string is one at the same place around the same anchor
+    q, r = row[:-1], row[1:]
+    equal &= (fp[q] == fp[r]) & ((shape[q] >> 8).astype(np.int64) - w[:-1] == (shape[r] >> 8).astype(np.int64) - w[1:])
+    new[1:] |= ~equal
+    runs_ = np.flatnonzero(new)
+    low = np.repeat(np.minimum.reduceat(doc[row], runs_), np.diff(np.append(runs_, len(row))))
+    return np.bincount(row, (low < doc[row]) * np.exp2(w), n)
+
+
+def marked_ranges(start: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Segment, first and last byte (exclusive) of each run of marked strings."""
+    bits = ((mask[:, None] >> np.arange(WINDOW + 1, dtype=np.uint32)) & 1).astype(np.int8)
+    change = np.diff(bits, axis=1, prepend=0)
+    row, at = np.nonzero(change == 1)
+    _, end = np.nonzero(change == -1)
+    return row, start[row] + at, start[row] + end + SPAN - 1
+
+
+def repeated_ranges(docs: DataFrame, shared: DataFrame | np.ndarray, hot: np.ndarray, parts: int) -> DataFrame:
+    """doc_id, tkey and range: start and end of bytes under repeated strings, packed into a number.
+
+    shared: the bit map of shared anchors, or a table of each document's own; hot: sorted short hashes.  One row
+    for each repeated segment that crossed the shuffle, however many partitions there are; what one task
+    settled itself comes merged.
     """
     rows, known = docs.select("doc_id", "tkey", "text"), None
     if isinstance(shared, np.ndarray):
@@ -403,107 +488,96 @@ def repeated_starts(docs: DataFrame, shared: DataFrame | np.ndarray, parts: int)
         return keep
 
     def send(batches):
-        held, size, used = [], 0, 0
+        held, size = [], 0
         for batch in batches:
             ids, keys = (batch.column(i).to_numpy() for i in (0, 1))
             lists = None if known is not None else batch.column(3)
             for i, n, buf, offs in text_slices(batch, limit=SLICE):
-                doc, s0, count, a, fp = anchors(buf, offs)
-                keep = chosen(fp, np.searchsorted(doc, np.arange(n + 1)), lists, i, n)
-                doc, s0, count, a, fp = (x[keep] for x in (doc, s0, count, a, fp))
-                length = count + SPAN - 1
-                text = buf[flat_ranges(s0, length)]
-                off = used + np.cumsum(length) - length
-                held.append((ids[i + doc], keys[i + doc], fp, s0 - offs[doc], count | ((a - s0) << 8), off, length, text))
+                *found, p = anchors(buf, offs)
+                keep = chosen(found[-1], np.searchsorted(found[0], np.arange(n + 1)), lists, i, n)
+                found = tuple(x[keep] for x in found)
+                doc, s0, count, a, fp = split_hot(found, np.isin(short(found[-1]), hot), p)
+                if not len(doc):
+                    continue
+                held.append((ids[i + doc], keys[i + doc], fp, segment_hash(p, s0, count, a), s0 - offs[doc], count | ((a - s0) << 8), segment_rows(buf, s0, count + SPAN - 1)))
                 size += len(fp)
-                used += len(text)
-                if size > GATHERED // 16:
+                if size > GATHERED:
                     yield from segment_parts(*map(np.concatenate, zip(*held, strict=True)), parts)
-                    held, size, used = [], 0, 0
+                    held, size = [], 0
         if size:
             yield from segment_parts(*map(np.concatenate, zip(*held, strict=True)), parts)
 
     def answer(table: pa.Table) -> pa.Table:
-        kinds = (("docs", np.int64), ("keys", np.int64), ("fps", np.uint64), ("starts", np.uint32), ("shapes", np.uint16))
-        done = table.filter(table["answered"])
-        doc, key, s0, shape = (joined(done[x], k) for x, k in kinds if x != "fps")
-        mask = ((np.int64(1) << (shape & 255).astype(np.int64)) - 1).astype(np.uint32)
-        rest = table.filter(pa.compute.invert(table["answered"]))
-        d, k, f, s, c = (joined(rest[x], t) for x, t in kinds)
-        size = (c & 255).astype(np.int64) + SPAN - 1
-        m = repeated_strings(d, f, c, np.cumsum(size) - size, size, joined(rest["bytes"], np.uint8))
-        hit = m != 0
-        doc, key, s0, mask = np.append(doc, d[hit]), np.append(key, k[hit]), np.append(s0, s[hit]), np.append(mask, m[hit])
-        order = np.lexsort((s0, key, doc))
-        doc, key = doc[order], key[order]
-        marks = np.stack([s0[order], mask[order]], 1).astype(np.uint32)
-        bounds = edges(doc, key)
-        at = bounds[:-1]
-        return pa.table({"doc_id": doc[at], "tkey": key[at], "marks": binary_runs(marks.ravel().view(np.uint64), bounds)})
-
-    return rows.mapInArrow(send, SEGMENTS).groupBy("p").applyInArrow(answer, "doc_id long, tkey long, marks binary")
-
-
-def removed_mask(n_bytes: int, marks: np.ndarray) -> np.ndarray:
-    """Which bytes lie in a repeated string."""
-    change = np.zeros(n_bytes + 1, np.int64)
-    bits = (marks[:, 1][:, None] >> np.arange(WINDOW, dtype=np.uint32)) & 1
-    row, w = np.nonzero(bits)
-    starts = marks[row, 0].astype(np.int64) + w
-    np.add.at(change, starts, 1)
-    np.add.at(change, starts + SPAN, -1)
-    return np.cumsum(change[:-1]) > 0
-
-
-def dedup_spans(docs: DataFrame) -> DataFrame:
+        settled = pa.compute.equal(pa.compute.binary_length(table["fps"]), 0)
+        done = table.filter(settled)
+        doc, key, span = (joined(done[x], k) for x, k in (("docs", np.int64), ("keys", np.int64), ("starts", np.uint32)))
+        span = span.reshape(-1, 2).astype(np.int64)
+        rest = table.filter(pa.compute.invert(settled))
+        d, k, f, h, s, c = (joined(rest[x], t) for x, t in (("docs", np.int64), ("keys", np.int64), ("fps", np.uint64), ("hashes", np.uint64), ("starts", np.uint32), ("shapes", np.uint16)))
+        full = filled((c & 255).astype(np.int64) + SPAN - 1)
+        segments = np.zeros(full.shape, np.uint8)
+        segments[full] = joined(rest["bytes"], np.uint8)
+        row, start, end = marked_ranges(s.astype(np.int64), repeated_strings(d, f, h, c, segments))
+        return pa.Table.from_batches([packed_ranges(np.append(doc, d[row]), np.append(key, k[row]), np.append(span[:, 0], start), np.append(span[:, 1], end))])
+
+    return rows.mapInArrow(send, SEGMENTS).groupBy("p").applyInArrow(answer, "doc_id long, tkey long, range long")
+
+
+def removed_mask(buf: np.ndarray, offs: np.ndarray, lists: pa.ListArray) -> np.ndarray:
+    """Which bytes lie in a document's ranges."""
+    packed = lists.flatten().to_numpy(zero_copy_only=False)
+    size = lists.value_lengths().fill_null(0).to_numpy()
+    base = np.repeat(offs[:-1], size)
+    change = np.bincount(base + (packed >> 32), minlength=len(buf) + 1) - np.bincount(base + (packed & 0xFFFFFFFF), minlength=len(buf) + 1)
+    return np.cumsum(change[: len(buf)]) > 0
+
+
+def dedup_spans(docs: DataFrame, sent_hashes: int = SENT_HASHES, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
     """Adds n_bytes, n_removed, spans (byte ranges removed) and kept (the remaining bytes) to the documents.
 
     A byte goes if a string of SPAN bytes over it also starts in a document with a smaller doc_id, judged on
-    the input.  A map of up to SENT_HASHES shared anchors is sent to all executors; where there are more, each
-    document gets its own by a join, at the price of one more shuffle of the texts.  Repeats inside one document stay, as do all copies in the smallest document.  A null text is
-    empty; rows with the same doc_id are one document to each other; rows without doc_id are left alone.
+    the input.  A map of up to ``sent_hashes`` shared anchors is sent to all executors; where there are more, each
+    document gets its own by a join, at the price of one more shuffle of the texts.  Strings of anchors with over
+    ``hot_contexts`` different segments are dealt out by their own hashes, so no task gets all of a frequent phrase.
+
+    Repeats inside one document stay, as do all copies in the smallest document.  A null text is empty; rows
+    with the same doc_id, repeated rows among them, are one document to each other; rows without doc_id are
+    left alone.  Empty table: no rows.  Columns of the added names are replaced.
     """
     docs = docs.drop("n_bytes", "n_removed", "spans", "kept")
     text = F.coalesce("text", F.lit(""))
     keyed = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).bitwiseOR(F.lit(1)).alias("tkey"), text.alias("text"))
     total = keyed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     parts = max(shuffle_width(docs.sparkSession), -(-total // PART_BYTES))
-    hashes = staged(shared_hashes(keyed, parts), "shared-anchors")
+    hashes = staged(shared_hashes(keyed, parts, hot_contexts), "shared-anchors")
     n_shared = hashes.agg(F.coalesce(F.sum(F.octet_length("fps")), F.lit(0)).alias("n")).first()["n"] // 8
-    if n_shared <= SENT_HASHES:
-        shared = bit_map(bytes(r["fps"]) for r in hashes.toLocalIterator())
+    # a hot anchor has hot_contexts segments, so there is one for each few megabytes of text at most
+    hot = np.sort(joined(hashes.filter("hot").select("fps").toArrow()["fps"], np.uint64))
+    if n_shared <= sent_hashes:
+        shared = bit_map(bytes(r["fps"]) for r in hashes.select("fps").toLocalIterator())
     else:
         shared = shared_anchors(keyed, parts)
-    marks = repeated_starts(keyed, shared, max(shuffle_width(docs.sparkSession), -(-4 * total // PART_BYTES)))
-    marks = marks.groupBy("doc_id", "tkey").agg(F.collect_list("marks").alias("marks"))
-    marks = marks.select(F.col("doc_id").alias("m_id"), F.col("tkey").alias("m_key"), "marks")
+    ranges = repeated_ranges(keyed, shared, hot, parts)
+    ranges = ranges.groupBy("doc_id", "tkey").agg(F.collect_list("range").alias("ranges"))
+    ranges = ranges.select(F.col("doc_id").alias("m_id"), F.col("tkey").alias("m_key"), "ranges")
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     own = F.col(f"c{names.index('doc_id')}"), F.coalesce(F.col(f"c{names.index('text')}"), F.lit(""))
-    both = plain.join(marks, (own[0] == F.col("m_id")) & (F.xxhash64(own[1]).bitwiseOR(F.lit(1)) == F.col("m_key")), "left").drop("m_id", "m_key")
+    both = plain.join(ranges, (own[0] == F.col("m_id")) & (F.xxhash64(own[1]).bitwiseOR(F.lit(1)) == F.col("m_key")), "left").drop("m_id", "m_key")
     both = both.withColumnRenamed(f"c{names.index('text')}", "text")
     at = len(names)
 
     def run(batch):
-        n_bytes, n_removed, spans, kept = [], [], [], []
-        lists = batch.column(at)
+        out = []
         for i, n, buf, offs in text_slices(batch):
-            for k in range(n):
-                mine = buf[offs[k] : offs[k + 1]]
-                found = lists[i + k].as_py()
-                n_bytes.append(len(mine))
-                if not found:
-                    n_removed.append(0)
-                    spans.append([])
-                    kept.append(mine.tobytes())
-                    continue
-                gone = removed_mask(len(mine), np.frombuffer(b"".join(found), np.uint32).reshape(-1, 2))
-                change = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-                n_removed.append(int(gone.sum()))
-                spans.append([{"start": int(x), "end": int(y)} for x, y in zip(change[::2], change[1::2], strict=True)])
-                kept.append(mine[~gone].tobytes())
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return [pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())]
+            gone = removed_mask(buf, offs, batch.column(at).slice(i, n))
+            starts, ends, csr = runs(gone, offs)
+            doc = owners(csr)
+            pairs = pa.StructArray.from_arrays([pa.array(starts - offs[doc]), pa.array(ends - offs[doc])], names=["start", "end"])
+            left = np.concatenate([[0], np.cumsum(~gone)])
+            spans = pa.ListArray.from_arrays(pa.array(csr.astype(np.int32)), pairs)
+            out.append((pa.array(np.diff(offs)), pa.array(doc_sums(gone.astype(np.int64), offs)), spans, binary_runs(buf[~gone], left[offs])))
+        return [pa.concat_arrays(x) for x in zip(*out, strict=True)]
 
     out = map_rows(both, "n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary", run)
     new = out.columns[-4:]

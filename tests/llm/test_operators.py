@@ -409,19 +409,39 @@ def test_suffix_dedup_equals_brute_force(spark, sf_dir, texts):
     assert got == plain_suffix_dedup(list(texts.items()))
 
 
-def test_suffix_dedup_by_join_gives_the_same(small, texts, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "SENT_HASHES", 0)
-    got = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in suffix_dedup.dedup_spans(small).collect()), key=repr)
-    assert got == plain_suffix_dedup(list(texts.items()))
+def spans_of(df):
+    return sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in df.collect()), key=repr)
+
+
+@pytest.mark.parametrize("how", [{"sent_hashes": 0}, {"hot_contexts": 0}, {"hot_contexts": 3}])
+def test_suffix_dedup_by_join_or_split_anchors_gives_the_same(small, texts, how):
+    assert spans_of(suffix_dedup.dedup_spans(small, **how)) == plain_suffix_dedup(list(texts.items()))
+
+
+def test_suffix_dedup_of_contexts_around_one_phrase(spark):
+    rng = np.random.default_rng(7)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    rows = [(k, f"{word()} {word()} a phrase that is always here {word()} {word()} {word()}"[: int(rng.integers(40, 80))]) for k in range(300)]
+    rows += [(1000 + k, rows[k][1][: int(rng.integers(50, 80))] + word()) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = plain_suffix_dedup(rows)
+    assert sum(r[2] for r in want) > 0
+    assert spans_of(suffix_dedup.dedup_spans(docs)) == want == spans_of(suffix_dedup.dedup_spans(docs, hot_contexts=20))
 
 
 def test_suffix_dedup_on_awkward_tables(messy, empty):
-    rows = messy.withColumn("text", messy["text"].substr(1, 3000))
-    got = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in suffix_dedup.dedup_spans(rows).collect()), key=repr)
-    assert got == plain_suffix_dedup([(i, t and t[:3000]) for i, t, *_ in ROWS])
+    assert spans_of(suffix_dedup.dedup_spans(messy)) == plain_suffix_dedup([r[:2] for r in ROWS])
     assert suffix_dedup.dedup_spans(empty).count() == 0
 
 
+def test_unequal_segments_of_equal_hash_stay_apart():
+    rows = np.zeros((3, suffix_dedup.WIDE), np.uint8)
+    rows[0, :50], rows[1, :50], rows[2, :50] = 97, 98, 97
+    one = np.ones(3, np.uint64)
+    shape = np.ones(3, np.uint16)
+    assert suffix_dedup.repeated_strings(np.array([1, 2, 3]), one, one, shape, rows).tolist() == [0, 0, 1]
+
+
 def test_suffixes_are_sorted_within_groups():
     rng = np.random.default_rng(6)
     buf = rng.integers(97, 99, 4000).astype(np.uint8)
