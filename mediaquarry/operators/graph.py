@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -12,14 +14,18 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark) -> str:
-    """spark.checkpoint.dir, or a folder set for this application where that is unset (tests)."""
+    """A folder of this application in spark.checkpoint.dir; where that is unset, in the warehouse, which executors share too.
+
+    In local mode alone, where there is no other machine, a temporary folder serves; it goes when the driver ends.
+    """
+    app = spark.sparkContext.applicationId
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        app = spark.sparkContext.applicationId
+    if not where and spark.sparkContext.master.startswith("local"):
         if app not in _OWN:
             _OWN[app] = tempfile.mkdtemp(prefix="mediaquarry-")
+            atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
         where = _OWN[app]
-    return where.rstrip("/")
+    return f"{(where or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/mediaquarry-{app}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -29,6 +35,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(spark) -> None:
+    """Deletes all tables that this application staged, once their results have been used."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(a, b) to (id, label), the smallest id of each component; rounds end when no label moves."""
     both = stage(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
