@@ -50,12 +50,14 @@ def first_fit_decreasing(sizes: np.ndarray, order: np.ndarray, capacity: int) ->
     return bins, offsets
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, limit: int = 1024, end_id: int = 0, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, limit: int = 1024, end_id: int = 0, with_ids: bool = False, deal=None) -> DataFrame:
     """Cuts each document's ids (then ``end_id``) at multiples of ``limit``.
 
     A null text counts as empty and gives one piece with the end id alone.  Repeated ids of documents stay
-    separate rows.  ``with_ids`` adds the ids themselves.
+    separate rows.  ``with_ids`` adds the ids themselves, ``deal`` a number of the row as ``pack_group``.
     """
+    dealt = deal is not None
+    more = ", ids array<int>" * with_ids + ", pack_group long" * dealt
 
     def run(batches):
         for batch in batches:
@@ -73,23 +75,28 @@ def pieces(docs: DataFrame, tokenizer_path: str, limit: int = 1024, end_id: int
                 if with_ids:
                     cols.append(pa.ListArray.from_arrays(pa.array(np.append(a, len(ids)).astype(np.int32)), pa.array(ids)))
                     names.append("ids")
+                if dealt:
+                    cols.append(batch.column(2).take(pa.array(i + doc)))
+                    names.append("pack_group")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([] if deal is None else [deal.alias("deal")]))
+    return rows.mapInArrow(run, PIECES + more)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, limit: int = 1024, end_id: int = 0, group_docs: int = 4096, seed: int = 7, with_ids: bool = False) -> DataFrame:
     """Packs all documents into sequences of at most ``limit`` ids.
 
-    Documents are dealt at random (by a seeded hash of the id) into groups of about ``group_docs``; each group
-    is packed alone, so work and memory are bounded by the group, not by the table, and a hot source spreads
+    Documents are dealt at random (by a seeded hash of id and text, those without id by their row) into groups of
+    about ``group_docs``; each group is packed alone, so work and memory are bounded by the group, not by the table, and a hot source spreads
     over all groups.  Within a group pieces are placed from the longest down, ties by doc_id and start, each
     into the first sequence with room, which the tournament tree finds in logarithmic time.  A document longer
-    than ``limit`` gives whole sequences and one rest.  Empty table: no rows.
+    than ``limit`` gives whole sequences and one rest.  Repeated rows are packed each.  Empty table: no rows.
     """
     groups = max(1, -(-docs.count() // group_docs))
-    cut = pieces(docs, tokenizer_path, limit, end_id, with_ids)
-    dealt = cut.withColumn("pack_group", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(groups)))
+    row = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    deal = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text"), row, F.lit(seed)), F.lit(groups))
+    dealt = pieces(docs, tokenizer_path, limit, end_id, with_ids, deal)
 
     def run(table: pa.Table) -> pa.Table:
         size = table["length"].to_numpy()

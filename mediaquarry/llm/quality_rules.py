@@ -14,17 +14,17 @@ from .textkit import staged
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]+"
 
-#: A rule rejects a document whose metric lies above the group's fence, and never below the floor given here.
-RULES = {"symbol_ratio": 0.05, "dup_line_ratio": 0.30, "repeat_ratio": 0.20, "word_length": 12.0}
-#: A document also fails where its metric lies below the lower fence and under this ceiling.
-LOW_RULES = {"word_length": 2.5}
+#: A rule rejects a document whose metric lies above its group's upper fence; low rules, one that lies below the lower.
+RULES = ("symbol_ratio", "dup_line_ratio", "repeat_ratio", "word_length")
+LOW_RULES = ("word_length",)
+FENCES = (*[f"{m}_high" for m in RULES], *[f"{m}_low" for m in LOW_RULES])
 #: Names of the columns made here; columns of the input with these names are replaced.
-MADE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_text_lines", "n_repeat_words", "symbol_ratio", "dup_line_ratio", "repeat_ratio", "word_length", "base_failed", "kept")
+MADE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_text_lines", "n_repeat_words", *RULES, "base_failed", *FENCES, "kept")
 #: Fences stand this many interquartile ranges outside the quartiles.
 REACH = 3.0
-#: Added to a group's interquartile range where its fences stand free, so that a group of equal values has some width.
+#: Added to a group's interquartile range, so that a group of equal values has some width.
 SPREAD = {"symbol_ratio": 0.01, "dup_line_ratio": 0.05, "repeat_ratio": 0.03, "word_length": 0.5}
-#: Groups with fewer documents that pass the base rules take the free fences of all groups together.
+#: Groups with fewer documents that pass the base rules take the fences of all groups together.
 LEAST_ROWS = 30
 #: Accuracy parameter of the sketches (rank error about 1.7 / K).
 SKETCH_K = 1024
@@ -38,9 +38,11 @@ def measure(docs: DataFrame) -> DataFrame:
     """The base counts of each whole text, in place of the text; a null text has none.
 
     For repeated words, the 3-word windows are sorted by the hash of their words; equal neighbours mark the
-    repeated windows, whose sorted positions then cover up to three words each.
+    repeated windows, whose sorted positions then cover up to three words each.  Other columns bear the names
+    c0, c1, ... until the end, so none of theirs can meet one made here.
     """
-    docs = docs.drop(*MADE)
+    names = docs.columns
+    docs = docs.toDF(*["text" if n == "text" else f"c{i}" for i, n in enumerate(names)])
     text = F.coalesce("text", F.lit(""))
     bare = F.regexp_replace(text, SPACES, "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.regexp_replace(x, SPACES, "")) > 0)
@@ -95,18 +97,7 @@ def merge_sketches(parts: DataFrame, groups: list[str]) -> DataFrame:
 
 
 def thresholds(sketched: DataFrame, groups: list[str]) -> DataFrame:
-    """Upper and lower fences of each group and metric, read from the sketches."""
-    at = lambda m, q: F.kll_sketch_get_quantile_double(m, F.lit(q))
-    out = [F.col(g) for g in groups]
-    for m, floor in RULES.items():
-        out.append(F.greatest(F.lit(floor), at(m, 0.75) + REACH * (at(m, 0.75) - at(m, 0.25))).alias(f"{m}_high"))
-    for m, ceiling in LOW_RULES.items():
-        out.append(F.least(F.lit(ceiling), at(m, 0.25) - REACH * (at(m, 0.75) - at(m, 0.25))).alias(f"{m}_low"))
-    return sketched.select(*out)
-
-
-def free_thresholds(sketched: DataFrame, groups: list[str]) -> DataFrame:
-    """Fences of each group and metric from its quantiles alone: no fixed cutoff has a part in them.
+    """Upper and lower fences of each group and metric from its quantiles alone: no fixed cutoff has a part in them.
 
     A group of fewer than LEAST_ROWS documents takes the fences of all groups together, from the merged sketches.
     """
@@ -115,31 +106,33 @@ def free_thresholds(sketched: DataFrame, groups: list[str]) -> DataFrame:
     high = {f"{m}_high": at(m, 0.75) + reach(m) for m in RULES}
     fences = high | {f"{m}_low": at(m, 0.25) - reach(m) for m in LOW_RULES}
     every = merge_sketches(sketched, []).select(*[f.alias(f"all_{c}") for c, f in fences.items()])
-    few = F.kll_sketch_get_n_double(next(iter(RULES))) < LEAST_ROWS
+    few = F.kll_sketch_get_n_double(RULES[0]) < LEAST_ROWS
     return sketched.crossJoin(F.broadcast(every)).select(*groups, *[F.when(few, F.col(f"all_{c}")).otherwise(f).alias(c) for c, f in fences.items()])
 
 
-def apply_rules(docs: DataFrame, groups: tuple[str, ...] = ("lang", "source"), floors: bool = True) -> DataFrame:
-    """Base counts, base_failed, the metrics with their group's thresholds, and kept, in place of the text.
+def apply_rules(docs: DataFrame, groups: tuple[str, ...] = ("lang", "source")) -> DataFrame:
+    """Base counts, base_failed, the metrics with their group's fences, and kept, in place of the text.
 
     Counts are made once and written to the shared folder; thresholds and verdicts are read from there.
 
     A document is kept if it passes the base rules and no metric lies beyond its group's fences.  Null groups
     form a group of their own.  Documents that fail the base rules shape no threshold.  Null and empty texts
-    fail for want of words.  Empty table: no rows.  With ``floors`` a fence can only loosen the fixed values of
-    RULES and LOW_RULES; without, the groups' quantiles set it (``free_thresholds``).
+    fail for want of words.  Repeated rows each count and get a row each.  Empty table: no rows.
     """
-    names = list(groups)
+    docs = docs.drop(*MADE)
+    names = docs.columns
+    keys = [f"c{names.index(g)}" for g in groups]
     measured = staged(metrics(measure(docs)), "quality-counts")
-    limits = (thresholds if floors else free_thresholds)(sketches(measured, names), names)
-    renamed = limits.select(*[F.col(g).alias(f"g_{g}") for g in names], *[c for c in limits.columns if c not in names])
+    limits = thresholds(sketches(measured, keys), keys)
+    renamed = limits.select(*[F.col(g).alias(f"g_{g}") for g in keys], *FENCES)
     same = F.lit(True)
-    for g in names:
+    for g in keys:
         same = same & F.col(g).eqNullSafe(F.col(f"g_{g}"))
-    joined = measured.join(renamed, same, "left").drop(*[f"g_{g}" for g in names])
+    joined = measured.join(renamed, same, "left")
     beyond = F.lit(False)
     for m in RULES:
         beyond = beyond | (F.col(m) > F.col(f"{m}_high"))
     for m in LOW_RULES:
         beyond = beyond | (F.col(m) < F.col(f"{m}_low"))
-    return joined.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(beyond, F.lit(False)))
+    kept = ~F.col("base_failed") & ~F.coalesce(beyond, F.lit(False))
+    return joined.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names) if n != "text"], *MADE[:-1], kept.alias("kept"))

@@ -59,12 +59,6 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-def op5_quality_rules_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rules with fences from the sketches alone; OP5_SQL holds op5_quality_rules to floored ones."""
-    out = quality_rules.apply_rules(documents(spark, sf_dir), floors=False)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-
-
 OP5_SQL = r"""
 WITH t AS (
   SELECT doc_id, lang, source, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
@@ -87,13 +81,20 @@ WITH t AS (
          CASE WHEN n_words > 0 THEN n_repeat_words / CAST(n_words AS DOUBLE) ELSE 0 END AS rr, CASE WHEN n_words > 0 THEN word_chars / CAST(n_words AS DOUBLE) ELSE 0 END AS wl
   FROM m
 ), q AS (
-  SELECT lang, source, quantile_disc(sr, [0.25, 0.75]) AS sr_q, quantile_disc(dr, [0.25, 0.75]) AS dr_q, quantile_disc(rr, [0.25, 0.75]) AS rr_q, quantile_disc(wl, [0.25, 0.75]) AS wl_q
+  SELECT lang, source, count(*) AS n, quantile_disc(sr, [0.25, 0.75]) AS sr_q, quantile_disc(dr, [0.25, 0.75]) AS dr_q, quantile_disc(rr, [0.25, 0.75]) AS rr_q, quantile_disc(wl, [0.25, 0.75]) AS wl_q
   FROM r WHERE NOT base_failed GROUP BY lang, source
+), every AS (
+  SELECT quantile_disc(sr, [0.25, 0.75]) AS sr_a, quantile_disc(dr, [0.25, 0.75]) AS dr_a, quantile_disc(rr, [0.25, 0.75]) AS rr_a, quantile_disc(wl, [0.25, 0.75]) AS wl_a
+  FROM r WHERE NOT base_failed
+), fence AS (
+  SELECT lang, source, CASE WHEN n < 30 THEN sr_a ELSE sr_q END AS s, CASE WHEN n < 30 THEN dr_a ELSE dr_q END AS d,
+         CASE WHEN n < 30 THEN rr_a ELSE rr_q END AS p, CASE WHEN n < 30 THEN wl_a ELSE wl_q END AS w
+  FROM q, every
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT coalesce(sr > greatest(0.05, sr_q[2] + 3 * (sr_q[2] - sr_q[1])) OR dr > greatest(0.30, dr_q[2] + 3 * (dr_q[2] - dr_q[1]))
-         OR rr > greatest(0.20, rr_q[2] + 3 * (rr_q[2] - rr_q[1])) OR wl > greatest(12.0, wl_q[2] + 3 * (wl_q[2] - wl_q[1])) OR wl < least(2.5, wl_q[1] - 3 * (wl_q[2] - wl_q[1])), false) AS kept
-FROM r LEFT JOIN q ON r.lang IS NOT DISTINCT FROM q.lang AND r.source IS NOT DISTINCT FROM q.source
+       NOT base_failed AND NOT coalesce(sr > s[2] + 3 * (s[2] - s[1] + 0.01) OR dr > d[2] + 3 * (d[2] - d[1] + 0.05)
+         OR rr > p[2] + 3 * (p[2] - p[1] + 0.03) OR wl > w[2] + 3 * (w[2] - w[1] + 0.5) OR wl < w[1] - 3 * (w[2] - w[1] + 0.5), false) AS kept
+FROM r LEFT JOIN fence f ON r.lang IS NOT DISTINCT FROM f.lang AND r.source IS NOT DISTINCT FROM f.source
 """
 
 

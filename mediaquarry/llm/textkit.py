@@ -7,17 +7,19 @@ whole arrays, so no Python code runs per word or per character.
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
 import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.graph import shared_dir
+
 #: The white space of all operators, and an odd multiplier for prefix hashes modulo 2**64.
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 BASE = 0x9E3779B97F4A7C15
@@ -151,19 +153,6 @@ def crc_mod(column: str, by: int):
     return F.crc32(F.col(column).cast("string")) % by
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here when that is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        kept = worker_cache()
-        app = spark.sparkContext.applicationId
-        if kept.get("dir", ("",))[0] != app:
-            kept["dir"] = (app, tempfile.mkdtemp(prefix="mediaquarry-"))
-            spark.sparkContext.setCheckpointDir(kept["dir"][1])
-        where = kept["dir"][1]
-    return where.rstrip("/")
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: a cut in the lineage that outlives executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
@@ -198,22 +187,31 @@ def map_rows(docs: DataFrame, added: str, run) -> DataFrame:
     return docs.mapInArrow(work, kinds).toDF(*names, *new.names)
 
 
-def dense_counts(rows: DataFrame, cells: int, count, part: int = 1 << 16) -> np.ndarray:
-    """Adds up tables of ``cells`` counters: ``count(table, batch)`` fills a task's own, which is sent once in parts."""
+def dense_counts(rows: DataFrame, cells: int, count, part: int = 1 << 16, fan_in: int = 128) -> np.ndarray:
+    """Adds up tables of ``cells`` counters: ``count(table, batch)`` fills a task's own, which is sent once in parts.
+
+    Parts meet in three levels, so that no group holds those of more than ``fan_in`` tasks (of two million in all).
+    """
+    kinds = "task int, part int, cells binary"
 
     def fill(batches):
         table = np.zeros(cells, np.int64)
         for batch in batches:
             count(table, batch)
         parts = [zlib.compress(table[i : i + part].tobytes(), 1) for i in range(0, cells, part)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["part", "cells"])
+        task = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([pa.array([task] * len(parts), pa.int32()), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["task", "part", "cells"])
 
     def add(table: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(zlib.decompress(x.as_py()), np.int64) for x in table["cells"])
-        return pa.table({"part": [table["part"][0].as_py()], "cells": [zlib.compress(total.tobytes(), 1)]}, schema=pa.schema([("part", pa.int32()), ("cells", pa.binary())]))
+        new = [[table["task"][0].as_py() // fan_in], [table["part"][0].as_py()], [zlib.compress(total.tobytes(), 1)]]
+        return pa.table([pa.array(new[0], pa.int32()), pa.array(new[1], pa.int32()), pa.array(new[2], pa.binary())], names=["task", "part", "cells"])
 
+    sums = rows.mapInArrow(fill, kinds)
+    for _ in range(2):
+        sums = sums.groupBy(F.floor(F.col("task") / fan_in), "part").applyInArrow(add, kinds)
     out = np.zeros(cells, np.int64)
-    for r in rows.mapInArrow(fill, "part int, cells binary").groupBy("part").applyInArrow(add, "part int, cells binary").toLocalIterator():
+    for r in sums.groupBy("part").applyInArrow(add, kinds).toLocalIterator():
         x = np.frombuffer(zlib.decompress(bytes(r["cells"])), np.int64)
         out[r["part"] * part : r["part"] * part + len(x)] = x
     return out

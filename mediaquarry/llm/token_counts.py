@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .textkit import staged
 from .tokens import token_lengths
 
 
@@ -66,8 +67,11 @@ def suffix_sums(counts: DataFrame, block: int = 4096) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """The histogram with suffix sums.  Empty table: no rows.  A null or empty text has length 0."""
-    return suffix_sums(histogram(docs, tokenizer_path))
+    """The histogram with suffix sums.  Empty table: no rows.  A null or empty text has length 0; repeated rows each count.
+
+    The histogram is written to the shared folder first, so texts are encoded once.
+    """
+    return suffix_sums(staged(histogram(docs, tokenizer_path), "token-histogram"))
 
 
 def at_limit(sums: DataFrame, limit: int) -> DataFrame:

@@ -6,6 +6,7 @@ import math
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -200,6 +201,14 @@ def test_packing(spark, sf_dir, texts, tokenizer):
         assert at <= 1024
 
 
+def test_rows_without_id_are_dealt_to_many_groups(spark):
+    rows = [(None, "")] * 300 + [(7, f"text {k}") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), group_docs=20)
+    size = collections.Counter((r["doc_id"], r["sequence_id"] >> 32) for r in got.collect())
+    assert sum(size.values()) == 600 and len(size) > 50 and max(size.values()) < 60
+
+
 def test_first_fit_decreasing_equals_a_plain_scan():
     rng = np.random.default_rng(4)
     size = rng.integers(1, 1025, 500)
@@ -294,6 +303,8 @@ def test_quality_rules_on_awkward_tables(messy, empty):
         windows = collections.Counter(zip(w, w[1:], w[2:], strict=False))
         cover = {p + k for p in range(len(w) - 2) if windows[tuple(w[p : p + 3])] > 1 for k in range(3)}
         assert (got[i]["n_words"], got[i]["word_chars"], got[i]["n_repeat_words"]) == (len(w), sum(map(len, w)), len(cover))
+        lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        assert (got[i]["n_symbols"], got[i]["n_dup_lines"]) == (len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)))
         assert got[i]["base_failed"] == (len(w) < 50 or 2 * len(cover) > len(w))
     assert quality_rules.apply_rules(empty).count() == 0
 
@@ -309,15 +320,23 @@ def test_a_group_s_distribution_changes_verdicts(spark):
     rows = [row(k, text(k, 5), "en", "short") for k in range(40)] + [row(100 + k, text(k, 9), "en", "long") for k in range(40)]
     rows += [row(900, text(0, 9), "en", "short"), row(901, text(0, 9), "en", "long"), row(902, text(0, 9), "xx", "few"), row(903, "", "xx", "few")]
     docs = spark.createDataFrame(rows, SCHEMA)
-    free = {r["doc_id"]: r["kept"] for r in quality_rules.apply_rules(docs, floors=False).collect()}
-    assert [k for k, kept in sorted(free.items()) if not kept] == [900, 903]
-    assert {r["doc_id"] for r in quality_rules.apply_rules(docs).filter("not kept").collect()} == {903}
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.apply_rules(docs).collect()}
+    assert [k for k, v in sorted(kept.items()) if not v] == [900, 903]
 
 
-def test_free_fences_keep_clean_documents(spark):
-    where = "/root/testdata/sf0.01"
-    got = queries.op5_quality_rules_adaptive(spark, where).join(spark.read.parquet(f"{where}/labels.parquet"), "doc_id").filter("not base_failed").collect()
-    assert np.mean([r["kept"] for r in got if r["quality"] == 1]) > 0.97
+def test_quality_rules_equal_their_sql_on_large_groups(spark):
+    where = "/root/testdata/sf0.1"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{where}/documents.parquet'")
+    want = {r[0]: r[1:] for r in con.sql(queries.OP5_SQL).fetchall()}
+    got = {r["doc_id"]: tuple(r)[1:] for r in queries.op5_quality_rules(spark, where).collect()}
+    assert got == want
+
+
+def test_quality_rules_keep_columns_of_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b", "en", "x", "mine", 3, 5)], "doc_id long, text string, lang string, source string, q_words string, g_c2 int, word_length_high int")
+    got = quality_rules.apply_rules(docs).first()
+    assert (got["q_words"], got["g_c2"], got["n_words"]) == ("mine", 3, 2) and got["word_length_high"] is None
 
 
 # --- near-duplicates -------------------------------------------------------------------------------
