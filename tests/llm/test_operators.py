@@ -394,11 +394,35 @@ def test_contamination_spans_and_awkward_tables(spark, messy, empty):
     assert {r["n_hit"] for r in decontaminate.find_contamination(messy, items.limit(0)).collect()} == {0}
 
 
-def test_a_split_benchmark_gives_the_same(spark, sf_dir, small, monkeypatch):
+def plain_contamination(docs, items):
+    windows = collections.defaultdict(set)
+    for i, t in items:
+        w = words(t or "")
+        for k in range(max(1, len(w) - 9) if w else 0):
+            windows[tuple(w[k : k + 10])].add(i or "")
+    out = {}
+    for i, t in docs:
+        w = words(t or "")
+        found = [(k, n, windows[tuple(w[k : k + n])]) for n in {len(x) for x in windows} for k in range(len(w) - n + 1) if tuple(w[k : k + n]) in windows]
+        out[i] = (len(w), len({p for k, n, _ in found for p in range(k, k + n)}), sorted(set().union(*[x for _, _, x in found])))
+    return out
+
+
+def test_contamination_equals_brute_force_on_few_words(spark):
+    rng = np.random.default_rng(9)
+    say = lambda n, k: " ".join(rng.choice(list("abcdef")[:k], n))
+    items = [(f"q{k}", say(int(rng.integers(0, 25)), 2 + k % 4)) for k in range(40)] + [("q1", "a b a"), ("q2", "a b a"), (None, "c c c"), ("q9", None)]
+    docs = [(k, say(int(rng.integers(0, 400)), 2 + k % 5)) for k in range(60)] + [(70, items[7][1]), (71, None), (72, "z " * 50 + items[9][1])]
+    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["item_ids"]) for r in decontaminate.find_contamination(rows, bench).collect()}
+    assert got == plain_contamination(docs, items)
+
+
+def test_a_split_benchmark_gives_the_same(spark, sf_dir, small):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     whole = sorted(map(str, decontaminate.find_contamination(small, items).drop("text").collect()))
-    monkeypatch.setattr(decontaminate, "AUTOMATON_BYTES", 3000)
-    assert sorted(map(str, decontaminate.find_contamination(small, items).drop("text").collect())) == whole
+    assert sorted(map(str, decontaminate.find_contamination(small, items, automaton_words=500).drop("text").collect())) == whole
 
 
 # --- repeated strings ------------------------------------------------------------------------------
