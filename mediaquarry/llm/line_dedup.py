@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textkit import lower_table, space_table, staged, text_slices
+from .textkit import edges, lower_table, space_table, staged, text_slices
 
-#: Keys that one shard's filter is made for, and bytes of filters that may be sent to all executors.
+#: Repeated keys that one shard's filter is made for, and postings that are held against a shard at once.
 SHARD_KEYS = 50_000
-FILTER_BYTES = 32 << 20
+SHARD_POSTINGS = 1_000_000
 SLOTS = 4
+#: Postings a task gathers before it sends them to the shards.
+GATHERED = 1_000_000
 
 
 class CuckooFilter:
@@ -64,6 +66,23 @@ class CuckooFilter:
             self.table[at, slot] = mark
         self.overflow.add(int(key))
 
+    def insert_many(self, keys: np.ndarray) -> None:
+        """Fills free slots of first and second buckets for all keys at once; the few that are left move others."""
+        mark, one, two = self.places(keys)
+        left = np.arange(len(keys))
+        for place in (one, two):
+            left = left[np.argsort(place[left], kind="stable")]
+            at = place[left]
+            first = edges(at)
+            rank = np.arange(len(at)) - np.repeat(first[:-1], np.diff(first))
+            used = self.table[at] != 0
+            fits = rank < SLOTS - used.sum(1)
+            slot = np.argsort(used[fits], axis=1, kind="stable")[np.arange(fits.sum()), rank[fits]]
+            self.table[at[fits], slot] = mark[left[fits]]
+            left = left[~fits]
+        for k in left.tolist():
+            self.insert(int(keys[k]))
+
     def delete(self, key: int) -> bool:
         """Removes a key that was inserted; False if there is no trace of it."""
         if int(key) in self.overflow:
@@ -88,10 +107,16 @@ class CuckooFilter:
 
 @dataclass
 class LineIndex:
-    """postings: doc_id, k1, k2, lines; counts: k1, k2, n_refs, owner, last_doc.  Both exact, both tables."""
+    """postings: doc_id, k1, k2, lines; counts: k1, k2, n_refs, owner, last_doc; filters: shard, slots, overflow.
+
+    All are tables.  Postings and counts are exact; the filters hold the keys of at least two documents, each in
+    the filter of its shard, and follow insertions and deletions.
+    """
 
     postings: DataFrame
     counts: DataFrame
+    filters: DataFrame
+    shards: int
 
 
 def line_keys(buf: np.ndarray, offs: np.ndarray, min_chars: int):
@@ -154,9 +179,29 @@ def reference_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("k1", "k2").agg(F.count("*").alias("n_refs"), F.min("doc_id").alias("owner"), F.max("doc_id").alias("last_doc"))
 
 
+def indexed(rows: DataFrame, counts: DataFrame) -> LineIndex:
+    """The index of staged postings and counts, its filters made anew."""
+    size = counts.agg(F.coalesce(F.sum("n_refs"), F.lit(0)).alias("refs"), F.count(F.when(F.col("owner") < F.col("last_doc"), 1)).alias("keys")).first()
+    shards = max(1, -(-size["keys"] // SHARD_KEYS), -(-size["refs"] // SHARD_POSTINGS))
+    every = counts.sparkSession.range(shards).select(F.col("id").alias("shard"))
+    none = every.select("shard", F.lit(None).cast("binary").alias("slots"), F.lit(None).cast("array<long>").alias("overflow"))
+    filters = updated_filters(none, counts.filter("owner < last_doc"), None, shards)
+    return LineIndex(rows, counts, staged(filters, "line-filters"), shards)
+
+
 def build_index(docs: DataFrame, min_chars: int = 10) -> LineIndex:
     rows = staged(postings(docs, min_chars), "line-postings")
-    return LineIndex(rows, staged(reference_counts(rows), "line-counts"))
+    return indexed(rows, staged(reference_counts(rows), "line-counts"))
+
+
+def followed(index: LineIndex, rows: DataFrame, counts: DataFrame) -> LineIndex:
+    """The index with new postings and counts; its filters take in keys that are repeated now and let go those that no longer are."""
+    was, now = (x.filter("owner < last_doc").select("k1", "k2") for x in (index.counts, counts))
+    added, gone = now.join(was, ["k1", "k2"], "left_anti"), was.join(now, ["k1", "k2"], "left_anti")
+    n = now.count()
+    if n > 2 * SHARD_KEYS * index.shards:
+        return indexed(rows, counts)
+    return LineIndex(rows, counts, staged(updated_filters(index.filters, added, gone, index.shards), "line-filters"), index.shards)
 
 
 def insert_documents(index: LineIndex, docs: DataFrame, min_chars: int = 10) -> LineIndex:
@@ -164,7 +209,7 @@ def insert_documents(index: LineIndex, docs: DataFrame, min_chars: int = 10) ->
     new = staged(postings(docs, min_chars), "line-postings")
     both = index.counts.unionByName(reference_counts(new))
     merged = both.groupBy("k1", "k2").agg(F.sum("n_refs").alias("n_refs"), F.min("owner").alias("owner"), F.max("last_doc").alias("last_doc"))
-    return LineIndex(staged(index.postings.unionByName(new), "line-postings"), staged(merged, "line-counts"))
+    return followed(index, staged(index.postings.unionByName(new), "line-postings"), staged(merged, "line-counts"))
 
 
 def delete_documents(index: LineIndex, doc_ids: DataFrame) -> LineIndex:
@@ -174,65 +219,129 @@ def delete_documents(index: LineIndex, doc_ids: DataFrame) -> LineIndex:
     rows = staged(index.postings.join(gone, "doc_id", "left_anti"), "line-postings")
     again = reference_counts(rows.join(touched, ["k1", "k2"], "left_semi"))
     counts = index.counts.join(touched, ["k1", "k2"], "left_anti").unionByName(again)
-    return LineIndex(rows, staged(counts, "line-counts"))
-
-
-def repeated(index: LineIndex) -> DataFrame:
-    """Keys found in at least two documents, with their owner."""
-    return index.counts.filter("owner < last_doc").select("k1", "k2", "owner")
-
-
-def shard_filters(keys: DataFrame, shards: int) -> DataFrame:
-    """One cuckoo filter for each shard of keys: shard, slots, overflow."""
-
-    def run(table: pa.Table) -> pa.Table:
-        keys = np.unique(table["k1"].to_numpy())
-        cuckoo = CuckooFilter(len(keys))
-        for k in keys.tolist():
-            cuckoo.insert(k)
-        return pa.table({"shard": [table["shard"][0].as_py()], "slots": [cuckoo.table.tobytes()], "overflow": [sorted(cuckoo.overflow)]}, schema=pa.schema([("shard", pa.int64()), ("slots", pa.binary()), ("overflow", pa.list_(pa.int64()))]))
-
-    sharded = keys.select("k1", shard_of(shards).alias("shard"))
-    return sharded.groupBy("shard").applyInArrow(run, "shard long, slots binary, overflow array<long>")
+    return followed(index, rows, staged(counts, "line-counts"))
 
 
 def shard_of(shards: int):
     return F.pmod(F.shiftright("k1", 20), F.lit(shards)).cast("long")
 
 
-def screen(rows: DataFrame, filters: dict[int, tuple[bytes, list[int]]], shards: int) -> DataFrame:
-    """Postings whose key the filter of its shard may hold."""
+def updated_filters(filters: DataFrame, added: DataFrame, gone: DataFrame | None, shards: int) -> DataFrame:
+    """Each shard's cuckoo filter with the keys ``added`` inserted and those ``gone`` deleted; a null filter is made new.
+
+    Filters are kept as shard, slots, overflow; keys reach them in packed form, one row from each group.
+    """
+    changes = added.select("k1", F.lit(True).alias("new"))
+    if gone is not None:
+        changes = changes.union(gone.select("k1", F.lit(False)))
+    changes = changes.select("k1", "new", shard_of(shards).alias("shard"))
+    kinds = pa.schema([("shard", pa.int64()), ("slots", pa.binary()), ("overflow", pa.list_(pa.int64()))])
+
+    def run(old: pa.Table, change: pa.Table) -> pa.Table:
+        if not old.num_rows:
+            return old
+        row = old.to_pylist()[0]
+        keys, new = change["k1"].to_numpy(), change["new"].to_numpy()
+        if row["slots"] is None:
+            cuckoo = CuckooFilter(int(len(keys) * 1.1) + 16)
+        else:
+            cuckoo = CuckooFilter(1, np.frombuffer(row["slots"], np.uint16).copy(), row["overflow"])
+        for k in keys[~new].tolist():
+            cuckoo.delete(k)
+        cuckoo.insert_many(keys[new])
+        return pa.table({"shard": [row["shard"]], "slots": [cuckoo.table.tobytes()], "overflow": [sorted(cuckoo.overflow)]}, schema=kinds)
+
+    return filters.groupBy("shard").cogroup(changes.groupBy("shard")).applyInArrow(run, "shard long, slots binary, overflow array<long>")
+
+
+def packed_postings(rows: DataFrame, salts: np.ndarray, gathered: int = GATHERED) -> DataFrame:
+    """Postings in blobs by (shard, salt); a shard of many postings has several salts, by the document."""
+    shards = len(salts)
+
+    def parcels(held):
+        doc, k1, k2, size, lines = (np.concatenate(x) for x in zip(*held, strict=True))
+        shard = np.mod(k1 >> 20, shards)
+        salt = np.mod((doc * 0x9E3779B1) >> 16, salts[shard])
+        order = np.lexsort((salt, shard))
+        shard, salt, doc, k1, k2 = (x[order] for x in (shard, salt, doc, k1, k2))
+        begin, n = (np.cumsum(size) - size)[order], size[order]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        lines = lines[np.repeat(begin - ends[:-1], n) + np.arange(ends[-1])]
+        bounds = edges(shard, salt)
+        first = bounds[:-1]
+        cut = lambda x, at: pa.array([x[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
+        cols = [pa.array(shard[first]), pa.array(salt[first]), *[cut(x, bounds) for x in (doc, k1, k2, n.astype(np.int32))], cut(lines.astype(np.int32), ends[bounds])]
+        return pa.RecordBatch.from_arrays(cols, names=["shard", "salt", "docs", "k1s", "k2s", "sizes", "lines"])
 
     def run(batches):
-        made = {s: CuckooFilter(1, np.frombuffer(t, np.uint16), o) for s, (t, o) in filters.items()}
+        held, size = [], 0
         for batch in batches:
-            keys = batch.column(batch.schema.get_field_index("k1")).to_numpy()
-            shard = np.mod(keys >> 20, shards)
-            keep = np.zeros(len(keys), bool)
-            for s in np.unique(shard).tolist():
-                if s in made:
-                    at = np.flatnonzero(shard == s)
-                    keep[at] = made[s].contains(keys[at])
-            yield batch.filter(pa.array(keep))
+            if batch.num_rows:
+                lines = batch.column(3)
+                held.append((*[batch.column(i).to_numpy() for i in range(3)], lines.value_lengths().to_numpy(), lines.flatten().to_numpy()))
+                size += batch.num_rows
+            if size > gathered:
+                yield parcels(held)
+                held, size = [], 0
+        if held:
+            yield parcels(held)
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.select("doc_id", "k1", "k2", "lines").mapInArrow(run, "shard long, salt long, docs binary, k1s binary, k2s binary, sizes binary, lines binary")
 
 
 def dropped_lines(index: LineIndex) -> DataFrame:
     """doc_id and the sorted numbers of its lines that a document with a smaller id owns.
 
-    The filters let only lines through that may be repeated; the exact counts then decide.  Filters larger
-    than FILTER_BYTES in all are not sent out: the exact join then takes all postings.  A key that very many
-    documents hold has one row in the counts, and the join splits its postings over tasks.
+    Postings meet the filter and the exact keys of their shard: the filter lets only lines through that may be
+    repeated, the exact keys and owners then decide.  A shard with many postings, because of a line that very many
+    documents hold, is divided by document, and its filter and keys go to each part.  Nothing is sent to all executors
+    but one small number for each shard.
     """
-    keys = repeated(index)
-    n = keys.count()
-    shards = max(1, -(-n // SHARD_KEYS))
-    rows = index.postings
-    if n * 2 * SLOTS <= FILTER_BYTES:
-        filters = {r["shard"]: (bytes(r["slots"]), list(r["overflow"])) for r in shard_filters(keys, shards).toLocalIterator()}
-        rows = screen(rows, filters, shards)
-    hits = rows.join(keys, ["k1", "k2"]).filter("doc_id > owner")
+    shards = index.shards
+    sizes = index.counts.groupBy(shard_of(shards).alias("shard")).agg(F.sum("n_refs").alias("n"))
+    salts = np.ones(shards, np.int64)
+    for r in sizes.toLocalIterator():
+        salts[r["shard"]] = max(1, -(-r["n"] // SHARD_POSTINGS))
+    repeated = index.counts.filter("owner < last_doc").select(shard_of(shards).alias("shard"), "k1", "k2", "owner")
+
+    def pack(table: pa.Table) -> pa.Table:
+        k1, k2, owner = (table[x].to_numpy() for x in ("k1", "k2", "owner"))
+        order = np.lexsort((k2, k1))
+        shard = table["shard"][0].as_py()
+        keys = np.stack([k1[order], k2[order], owner[order]], 1).tobytes()
+        n = int(salts[shard])
+        return pa.table([pa.array([shard] * n), pa.array(range(n), pa.int64()), pa.array([keys] * n, pa.binary())], names=["shard", "salt", "keys"])
+
+    exact = repeated.groupBy("shard").applyInArrow(pack, "shard long, salt long, keys binary").join(index.filters, "shard")
+    out = pa.schema([("doc_id", pa.int64()), ("lines", pa.list_(pa.int32()))])
+
+    def decide(rows: pa.Table, shard: pa.Table) -> pa.Table:
+        if not rows.num_rows or not shard.num_rows:
+            return out.empty_table()
+        held = shard.to_pylist()[0]
+        cuckoo = CuckooFilter(1, np.frombuffer(held["slots"], np.uint16), held["overflow"])
+        keys = np.frombuffer(held["keys"], np.int64).reshape(-1, 3)
+        doc, k1, k2 = (np.frombuffer(b"".join(rows[x].to_pylist()), np.int64) for x in ("docs", "k1s", "k2s"))
+        size, lines = (np.frombuffer(b"".join(rows[x].to_pylist()), np.int32) for x in ("sizes", "lines"))
+        may = np.flatnonzero(cuckoo.contains(k1))
+        place = np.searchsorted(keys[:, 0], k1[may])
+        owner = np.full(len(may), np.iinfo(np.int64).max)
+        # keys of equal first halves stand next to each other
+        for ahead in range(int(np.diff(edges(keys[:, 0])).max())):
+            at = np.minimum(place + ahead, len(keys) - 1)
+            same = (keys[at, 0] == k1[may]) & (keys[at, 1] == k2[may])
+            owner[same] = keys[at[same], 2]
+        hit = may[owner < doc[may]]
+        order = hit[np.argsort(doc[hit], kind="stable")]
+        n = size[order].astype(np.int64)
+        ends = np.cumsum(n)
+        flat = lines[np.repeat((np.cumsum(size.astype(np.int64)) - size)[order] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        own = edges(doc[order])
+        bounds = np.concatenate([[0], ends])[own]
+        return pa.table([pa.array(doc[order][own[:-1]]), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))], schema=out)
+
+    packed = packed_postings(index.postings, salts)
+    hits = packed.groupBy("shard", "salt").cogroup(exact.groupBy("shard", "salt")).applyInArrow(decide, "doc_id long, lines array<int>")
     return hits.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("lines"))).alias("drop"))
 
 
@@ -271,7 +380,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
 
     A key is the line without white space at its ends, ASCII letters lower-cased; keys under ``min_chars``
     code points never count.  All lines of an owner stay, repeats too.  A null text is one empty line; rows
-    with the same doc_id are the same document; a row without doc_id keeps its lines.  Adds n_lines,
-    n_dropped and kept_text.
+    with the same doc_id, repeated rows among them, are the same document; a row without doc_id keeps its lines.
+    Empty table: no rows.  Adds n_lines, n_dropped and kept_text.
     """
     return remove_lines(docs, dropped_lines(build_index(docs, min_chars)))

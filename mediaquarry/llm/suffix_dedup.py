@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import doc_sums, map_rows, mix, owners, powers, prefix_hash, runs, shuffle_width, span_hash, staged, text_slices
+from .textkit import doc_sums, edges, map_rows, mix, owners, powers, prefix_hash, runs, shuffle_width, span_hash, staged, text_slices
 
 #: Length of a repeated string in bytes, of a gram, grams in such a string, and bytes of the longest segment.
 SPAN, GRAM = 50, 20
@@ -71,17 +71,6 @@ def binary_runs(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)]).cast(pa.binary())
 
 
-def edges(*keys: np.ndarray) -> np.ndarray:
-    """Where runs of equal keys begin in sorted columns, and their length at the end."""
-    n = len(keys[0])
-    fresh = np.ones(n, bool)
-    if n:
-        fresh[1:] = False
-        for k in keys:
-            fresh[1:] |= k[1:] != k[:-1]
-    return np.append(np.flatnonzero(fresh), n)
-
-
 def joined(column, kind) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_py() or b"" for x in column), kind)
 

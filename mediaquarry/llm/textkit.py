@@ -136,6 +136,17 @@ def runs(mask: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, ends, np.searchsorted(starts, offs)
 
 
+def edges(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin in sorted columns, and their length at the end."""
+    n = len(keys[0])
+    fresh = np.ones(n, bool)
+    if n:
+        fresh[1:] = False
+        for k in keys:
+            fresh[1:] |= k[1:] != k[:-1]
+    return np.append(np.flatnonzero(fresh), n)
+
+
 def owners(csr: np.ndarray) -> np.ndarray:
     """For each item of a CSR layout, the document that holds it."""
     return np.repeat(np.arange(len(csr) - 1), np.diff(csr))

@@ -269,6 +269,28 @@ def test_line_dedup_on_awkward_tables(messy, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def filter_keys(index):
+    """How many keys the filters hold, and whether they hold all repeated keys of the counts."""
+    made = {r["shard"]: line_dedup.CuckooFilter(1, np.frombuffer(bytes(r["slots"]), np.uint16), r["overflow"]) for r in index.filters.collect()}
+    keys = [r["k1"] for r in index.counts.filter("owner < last_doc").collect()]
+    assert len(keys) > 20 and all(made[(k >> 20) % index.shards].contains(np.array([k]))[0] for k in keys)
+    return sum(int((f.table != 0).sum()) + len(f.overflow) for f in made.values())
+
+
+@pytest.mark.parametrize("keys,postings", [(50, 1_000_000), (50_000, 100), (20, 30)])
+def test_line_dedup_of_many_shards_gives_the_same(small, texts, monkeypatch, keys, postings):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", keys)
+    monkeypatch.setattr(line_dedup, "SHARD_POSTINGS", postings)
+    got = sorted(((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_text"]) for r in line_dedup.dedup_lines(small).collect()), key=repr)
+    assert got == plain_line_dedup(list(texts.items()))
+
+
+def test_line_filters_decide_what_meets_the_exact_keys(small):
+    index = line_dedup.build_index(small)
+    blind = line_dedup.updated_filters(index.filters, index.counts.limit(0), index.counts.filter("owner < last_doc"), index.shards)
+    assert line_dedup.dropped_lines(index).count() > 0 == line_dedup.dropped_lines(line_dedup.LineIndex(index.postings, index.counts, blind, index.shards)).count()
+
+
 def test_line_dedup_takes_documents_out_again(spark, small, texts):
     half = small.filter("doc_id % 2 = 0")
     index = line_dedup.insert_documents(line_dedup.build_index(small.filter("doc_id % 2 = 1")), half)
@@ -277,6 +299,7 @@ def test_line_dedup_takes_documents_out_again(spark, small, texts):
     back = line_dedup.delete_documents(index, half)
     alone = line_dedup.build_index(small.filter("doc_id % 2 = 1"))
     assert {tuple(r) for r in back.counts.collect()} == {tuple(r) for r in alone.counts.collect()}
+    assert filter_keys(index) == filter_keys(line_dedup.build_index(small)) and filter_keys(back) == filter_keys(alone)
     rows = line_dedup.remove_lines(small.filter("doc_id % 2 = 1"), line_dedup.dropped_lines(back))
     assert sorted(((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_text"]) for r in rows.collect()), key=repr) == plain_line_dedup([(k, t) for k, t in texts.items() if k % 2])
 
@@ -284,7 +307,8 @@ def test_line_dedup_takes_documents_out_again(spark, small, texts):
 def test_cuckoo_filter_inserts_and_deletes():
     keys = np.random.default_rng(5).integers(-(1 << 62), 1 << 62, 3000)
     cuckoo = line_dedup.CuckooFilter(2500)
-    for k in keys[:2500].tolist():
+    cuckoo.insert_many(keys[:2300])
+    for k in keys[2300:2500].tolist():
         cuckoo.insert(k)
     assert cuckoo.contains(keys[:2500]).all() and cuckoo.contains(keys[2500:]).mean() < 0.05
     for k in keys[:1000].tolist():
