@@ -2,28 +2,32 @@
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
 from .linear import count_features
-from .textkit import alnum_table, doc_sums, lower_table, mix, owners, prefix_hash, runs, span_hash, staged, text_slices, worker_cache
+from .textkit import alnum_table, dense_counts, doc_sums, lower_table, mix, owners, prefix_hash, runs, span_hash, staged, text_slices, worker_cache
 
-#: Bits of a shingle's number; cells of the document frequency sketch and of one of its shuffled parts.
+#: Bits of a shingle's number; cells of the document frequency sketch.
 SHINGLE_BITS = 44
-CELLS, PART = 1 << 20, 1 << 14
+CELLS = 1 << 20
 #: Bands and samples in a band: at similarity 0.8 a pair goes unseen with probability 0.0008.
 BANDS, ROWS = 10, 3
 #: Entries of the table that random variates are drawn from by hash.
 VARIATES = 1 << 16
-#: Ids of candidates (8 bytes each) that may be sent to all executors.
-SENT_IDS = 2_000_000
+#: Candidates (24 bytes each) that may be sent to all executors.
+SENT_IDS = 1_000_000
 #: Members of one block when a bucket is compared pair by pair.
 BLOCK = 256
+#: Parts that a bucket is dealt to, each with a leader of its own, so that no task gets all of a hot bucket.
+SALTS = 64
+#: Of its BANDS * ROWS samples a pair of similarity 0.8 shares fewer than this with probability 1e-6.
+LEAST_SAMPLES = 13
+#: Numbers from here on stand for further texts of a doc_id that has several.
+FURTHER = 1 << 62
 
 
 def shingles(buf: np.ndarray, offs: np.ndarray, size: int = 5):
@@ -61,30 +65,18 @@ def cells(number: np.ndarray) -> np.ndarray:
 def frequency_sketch(docs: DataFrame, size: int) -> tuple[np.ndarray, int]:
     """Number of documents behind each cell of a fixed-size table, and of documents with shingles, over all documents.
 
-    A task adds up its own table and sends its parts, so the shuffle and the driver's 4 MB do not grow with a
+    A task adds up its own table and sends its parts, so the shuffle and the driver's 8 MB do not grow with a
     document's length or a shingle's popularity.
     """
 
-    def count(batches):
-        table, seen = np.zeros(CELLS, np.int32), 0
-        for batch in batches:
-            for _, _, buf, offs in text_slices(batch):
-                at, number, *_ = shingles(buf, offs, size)
-                table += np.bincount(cells(number), minlength=CELLS).astype(np.int32)
-                seen += int((np.diff(at) > 0).sum())
-        parts = [zlib.compress(table[i : i + PART].astype("<i8").tobytes(), 1) for i in range(0, CELLS, PART)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary()), pa.array([seen] + [0] * (len(parts) - 1), pa.int64())], names=["part", "cells", "docs"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(zlib.decompress(x.as_py()), "<i8") for x in table["cells"])
-        return pa.table({"part": [table["part"][0].as_py()], "cells": [total.tobytes()], "docs": [sum(table["docs"].to_pylist())]}, schema=pa.schema([("part", pa.int32()), ("cells", pa.binary()), ("docs", pa.int64())]))
+    def count(table, batch):
+        for _, _, buf, offs in text_slices(batch):
+            at, number, *_ = shingles(buf, offs, size)
+            table[:CELLS] += np.bincount(cells(number), minlength=CELLS)
+            table[CELLS] += int((np.diff(at) > 0).sum())
 
-    kinds = "part int, cells binary, docs long"
-    rows = docs.select("text").mapInArrow(count, kinds).groupBy("part").applyInArrow(add, kinds).collect()
-    out = np.zeros(CELLS, np.int64)
-    for r in rows:
-        out[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(bytes(r["cells"]), "<i8")
-    return out, sum(r["docs"] for r in rows)
+    out = dense_counts(docs.select("text"), CELLS + 1, count)
+    return out[:CELLS], int(out[CELLS])
 
 
 def inverse_frequency(counts: np.ndarray, n_docs: int) -> np.ndarray:
@@ -106,8 +98,8 @@ def variates() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return cache["icws"]
 
 
-def signatures(at: np.ndarray, number: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Band hashes (documents x BANDS) of texts that have shingles; ``at`` must have no empty document.
+def signatures(at: np.ndarray, number: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Band hashes (documents x BANDS) and 32-bit samples of texts that have shingles; ``at`` must have no empty document.
 
     Two weighted sets get the same sample with a probability that is their weighted Jaccard similarity.
     """
@@ -118,6 +110,7 @@ def signatures(at: np.ndarray, number: np.ndarray, weight: np.ndarray) -> np.nda
     odd = rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     size = np.diff(at)
     out = np.zeros((len(size), BANDS), np.uint64)
+    samples = np.zeros((len(size), BANDS * ROWS), np.uint32)
     for k in range(BANDS * ROWS):
         pick = (base * odd[k]) >> np.uint64(64 - VARIATES.bit_length() + 1)
         r, b = gamma[pick], beta[pick]
@@ -127,28 +120,33 @@ def signatures(at: np.ndarray, number: np.ndarray, weight: np.ndarray) -> np.nda
         doc = np.searchsorted(at, least, "right") - 1
         first = least[np.flatnonzero(np.diff(doc, prepend=-1))]
         sample = mix(base[first] ^ (t[first].astype(np.int64).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
+        samples[:, k] = sample >> np.uint64(32)
         out[:, k // ROWS] = mix(out[:, k // ROWS] * np.uint64(31) + sample + np.uint64(k + 1))
-    return out
+    return out, samples
 
 
 def signed(docs: DataFrame, idf: np.ndarray, size: int) -> DataFrame:
-    """doc_id, two keys of the word sequence (null without words) and band hashes."""
+    """doc_id, tkey (hash of the text), two keys of the word sequence (null without words), band hashes and samples."""
 
     def run(batches):
         for batch in batches:
             for i, n, buf, offs in text_slices(batch):
                 at, number, count, n_words, keys = shingles(buf, offs, size)
                 live = np.flatnonzero(np.diff(at) > 0)
-                bands = np.zeros((n, BANDS), np.uint64)
+                bands, samples = np.zeros((n, BANDS), np.uint64), np.zeros((n, BANDS * ROWS), np.uint32)
                 if len(live):
-                    bands[live] = signatures(np.append(at[live], at[-1]), number, count * idf[cells(number)])
+                    bands[live], samples[live] = signatures(np.append(at[live], at[-1]), number, count * idf[cells(number)])
                 empty = n_words == 0
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(bands.astype(np.int64).ravel()))
-                cols = [batch.column(0).slice(i, n), *[pa.array(x.view(np.int64), mask=empty) for x in keys], lists]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "k1", "k2", "bands"])
+                cols = [batch.column(0).slice(i, n), batch.column(1).slice(i, n), *[pa.array(x.view(np.int64), mask=empty) for x in keys], lists, pa.array([x.tobytes() for x in samples], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "tkey", "k1", "k2", "bands", "samples"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("tkey"), "text").filter("doc_id is not null")
+    return rows.mapInArrow(run, "doc_id long, tkey long, k1 long, k2 long, bands array<long>, samples binary")
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
-    return rows.mapInArrow(run, "doc_id long, k1 long, k2 long, bands array<long>")
+
+def text_key():
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def weighted_sets(texts: pa.Array, idf: np.ndarray, size: int):
@@ -192,17 +190,38 @@ def verified(edges: DataFrame, texts: DataFrame, idf: np.ndarray, size: int, lea
     return rows.mapInArrow(run, "a long, b long, sim double").filter(F.col("sim") >= least)
 
 
-def block_links(members: DataFrame, texts: DataFrame, idf: np.ndarray, size: int, least: float) -> DataFrame:
-    """Links inside buckets whose members are not yet one component, every such pair being compared.
+def near_members(blocks: DataFrame, least: int = LEAST_SAMPLES) -> DataFrame:
+    """Of the rows (band, hash, i, j, rep, label, x, samples) those with a partner of another label that shares enough samples."""
+
+    def run(table: pa.Table) -> pa.Table:
+        samples = np.frombuffer(b"".join(table["samples"].to_pylist()), np.uint32).reshape(table.num_rows, -1)
+        label, block = table["label"].to_numpy(), table["x"].to_numpy()
+        apart = table["i"][0].as_py() != table["j"][0].as_py()
+        keep = np.zeros(table.num_rows, bool)
+        for a in range(table.num_rows):
+            near = label != label[a]
+            if apart:
+                near &= block != block[a]
+            near = np.flatnonzero(near)
+            keep[a] = ((samples[near] == samples[a]).sum(1) >= least).any()
+        return table.drop_columns(["samples"]).filter(pa.array(keep))
+
+    return blocks.groupBy("band", "hash", "i", "j").applyInArrow(run, "band int, hash long, i int, j int, rep long, label long, x int")
+
+
+def block_links(members: DataFrame, reps: DataFrame, texts: DataFrame, idf: np.ndarray, size: int, least: float) -> DataFrame:
+    """Links inside buckets whose members are not yet one component.
 
     members: band, hash, rep, label, n (members of the bucket).  A bucket is cut into blocks of about BLOCK
-    members, and each pair of blocks is a task's work; pairs of one component are skipped.
+    members, and each pair of blocks is a task's work.  Their samples (120 bytes a member) tell which members
+    have a partner in another component at all; the texts of these alone are sent and compared, pair by pair.
     """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    rows = members.withColumn("x", mine).withColumn("y", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("band", "hash", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "rep", "label", "x")
-    rows = rows.join(texts.toDF("rep", "text"), "rep")
+    rows = members.join(reps.select("rep", "samples"), "rep")
+    rows = rows.withColumn("x", mine).withColumn("y", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("band", "hash", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "rep", "label", "x", "samples")
+    rows = staged(near_members(rows), "near-members").join(texts.toDF("rep", "text"), "rep")
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("rep")
@@ -237,40 +256,67 @@ def block_links(members: DataFrame, texts: DataFrame, idf: np.ndarray, size: int
 
 
 def texts_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Texts of the chosen documents.  Up to SENT_IDS ids go to the texts; more meet them in a shuffle."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    """rep and text of the chosen (doc_id, tkey, rep).  Up to SENT_IDS rows go to the texts; more meet them in a shuffle."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("tkey"), F.coalesce("text", F.lit("")).alias("text"))
     few = chosen.count() <= SENT_IDS
-    return rows.join(F.broadcast(chosen) if few else chosen.hint("shuffle_hash"), "doc_id", "left_semi")
+    return rows.join(F.broadcast(chosen) if few else chosen.hint("shuffle_hash"), ["doc_id", "tkey"]).select("rep", "text")
+
+
+def representatives(worded: DataFrame) -> DataFrame:
+    """One row for each word sequence: k1, k2, doc_id (the smallest), tkey, rep, bands, samples.
+
+    rep is the doc_id; where several different texts share it, the first by its keys has it and the others get
+    numbers above all ids.
+    """
+    first = worded.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "tkey", "bands", "samples")).alias("r")).select("k1", "k2", "r.*")
+    first = staged(first, "word-sequences")
+    owner = first.groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("own"), F.count("*").alias("texts")).filter("texts > 1").select("doc_id", "own")
+    other = F.coalesce((F.col("own.k1") != F.col("k1")) | (F.col("own.k2") != F.col("k2")), F.lit(False))
+    number = F.lit(FURTHER) + F.pmod(F.xxhash64("k1", "k2"), F.lit(FURTHER))
+    return first.join(owner, "doc_id", "left").select("k1", "k2", "doc_id", "tkey", F.when(other, number).otherwise(F.col("doc_id")).alias("rep"), "bands", "samples")
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8, size: int = 5) -> DataFrame:
-    """doc_id and class_id, the smallest doc_id of its class of near-duplicates, for every document.
+    """doc_id, tkey (xxhash64 of the text) and class_id, the smallest doc_id of its class of near-duplicates, for every document.
 
     Texts with the same words in the same order are one text from the start.  Texts that share a band are
-    candidates; each is compared with the bucket's smallest member, then, in buckets that still hold several
-    components, with all members of other components.  Texts of weighted Jaccard similarity ``least`` and
-    more are linked, and classes are the connected components.  Weights are counts times inverse document
-    frequencies.  A text without words (null, empty) is a class of its own; rows without doc_id are left out.
+    candidates: a bucket is dealt to SALTS parts, each member is compared with the smallest of its part and these
+    with the bucket's smallest; in buckets that still hold several components, members are compared with those of
+    other components.  Texts of weighted Jaccard similarity ``least`` and more are linked, and classes are the
+    connected components.  Weights are counts times inverse document frequencies.
+
+    A text without words (null, empty) is a class of its own; rows without doc_id are left out.  Repeated rows
+    each get their class.  Different texts of one doc_id may be in different classes; all but one count as later
+    than every id.  Empty table: no rows.
     """
     counts, n_docs = frequency_sketch(docs, size)
     idf = inverse_frequency(counts, n_docs)
     marks = staged(signed(docs, idf, size), "signatures")
     worded = marks.filter("k1 is not null")
-    reps = worded.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "bands")).alias("r"))
-    reps = staged(reps.select("k1", "k2", F.col("r.doc_id").alias("rep"), F.col("r.bands").alias("bands")), "texts")
-    banded = reps.select("rep", F.posexplode("bands").alias("band", "hash"))
-    buckets = banded.groupBy("band", "hash").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).filter("n > 1")
-    banded = staged(banded.join(buckets, ["band", "hash"]), "buckets")
-    edges = banded.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    chosen = banded.select(F.col("rep").alias("doc_id")).distinct()
-    texts = staged(texts_of(docs, staged(chosen, "candidates")), "candidate-texts")
+    reps = staged(representatives(worded), "texts")
+    part = Window.partitionBy("band", "hash", "s")
+    banded = reps.select("rep", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int").alias("s"), F.posexplode("bands").alias("band", "hash"))
+    banded = staged(banded.select("rep", "s", "band", "hash", F.min("rep").over(part).alias("sub")), "buckets")
+    subs = banded.filter("rep = sub")
+    tops = subs.groupBy("band", "hash").agg(F.min("sub").alias("lead"), F.count("*").alias("subs")).filter("subs > 1").select("band", "hash", "lead")
+    edges = banded.filter("rep <> sub").select(F.col("sub").alias("a"), F.col("rep").alias("b"))
+    edges = edges.union(subs.join(tops, ["band", "hash"]).filter("sub <> lead").select(F.col("lead").alias("a"), F.col("sub").alias("b")))
+    edges = staged(edges.distinct(), "candidate-pairs")
+    chosen = edges.select(F.col("a").alias("rep")).union(edges.select("b")).distinct()
+    chosen = staged(reps.select("doc_id", "tkey", "rep").join(chosen, "rep"), "candidates")
+    texts = staged(texts_of(docs, chosen), "candidate-texts")
     links = staged(verified(edges, texts, idf, size, least).select("a", "b"), "links")
     labels = components(links)
-    labelled = banded.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    mixed = labelled.groupBy("band", "hash").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("band", "hash")
-    rest = labelled.join(mixed, ["band", "hash"], "left_semi").select("band", "hash", "rep", "label", "n")
-    more = staged(block_links(rest, texts, idf, size, least).distinct(), "links")
+    labelled = chosen.select("rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("rep", F.coalesce("label", "rep").alias("label"))
+    labelled = staged(banded.select("rep", "s", "band", "hash").join(labelled, "rep"), "labelled")
+    mixed = labelled.groupBy("band", "hash").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
+    mixed = mixed.select("band", "hash", "n", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
+    rest = labelled.join(mixed, ["band", "hash", "s"]).select("band", "hash", "rep", "label", "n")
+    more = staged(block_links(rest, reps, texts, idf, size, least).distinct(), "links")
     labels = components(links.union(more))
-    classes = reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", F.coalesce("label", "rep").alias("class_id"))
-    out = worded.select("doc_id", "k1", "k2").join(classes, ["k1", "k2"]).select("doc_id", "class_id")
-    return out.union(marks.filter("k1 is null").select("doc_id", F.col("doc_id").alias("class_id")))
+    # a class of further texts alone takes the doc_id of its first
+    real = labels.filter(F.col("label") >= FURTHER).select("label").distinct().join(reps.select(F.col("rep").alias("label"), "doc_id"), "label")
+    classes = reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", F.coalesce("label", F.when(F.col("rep") < FURTHER, F.col("rep")).otherwise(F.col("doc_id"))).alias("label"))
+    classes = classes.join(real.withColumnRenamed("doc_id", "first"), "label", "left").select("k1", "k2", F.coalesce("first", "label").alias("class_id"))
+    out = worded.select("doc_id", "tkey", "k1", "k2").join(classes, ["k1", "k2"]).select("doc_id", "tkey", "class_id")
+    return out.union(marks.filter("k1 is null").select("doc_id", "tkey", F.col("doc_id").alias("class_id")))

@@ -99,7 +99,7 @@ FROM r LEFT JOIN fence f ON r.lang IS NOT DISTINCT FROM f.lang AND r.source IS N
 
 
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(documents(spark, sf_dir))
+    return minhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", "class_id")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -397,6 +397,24 @@ def test_near_duplicates_on_awkward_tables(messy, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_different_texts_of_one_id_are_texts_of_their_own(spark):
+    say = lambda x: " ".join(f"{x}{k}" for k in range(30))
+    rows = [(3, say("a")), (5, say("a") + " end"), (5, say("b")), (5, say("c")), (9, say("c")), (9, say("c")), (7, say("d")), (7, say("e")), (8, say("f"))]
+    got = collections.Counter((r["doc_id"], r["class_id"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got[5, 3] == 1 and sum(v for (i, _), v in got.items() if i == 5) == 3 and got[3, 3] == got[8, 8] == 1
+    assert got[9, 9] == 2 or got[9, 5] == 2
+    assert got[7, 7] == 2
+
+
+@pytest.mark.parametrize("sent", [0, 1_000_000])
+def test_candidates_sent_or_shuffled_give_the_same(small, monkeypatch, sent):
+    plain = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(small).collect()}
+    monkeypatch.setattr(minhash, "SENT_IDS", sent)
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    monkeypatch.setattr(minhash, "SALTS", 5)
+    assert {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(small).collect()} == plain
+
+
 def test_links_between_members_that_miss_the_leader(spark):
     base = [f"w{i}" for i in range(300)]
     near = lambda cut: " ".join([f"x{cut}{i}" if i in range(cut, cut + 12) else w for i, w in enumerate(base)])
