@@ -13,12 +13,13 @@ from .textkit import crc_mod, dense_counts, lower_table, mix, owners, prefix_has
 
 #: Rows with this remainder of crc32(doc_id) modulo FOLDS are held out.
 FOLDS, HELD_OUT = 7, 2
-#: Words that the exchange moves among the classes, and kinds of beginnings and ends that stand for rare words.
+#: Words that the exchange on the driver starts with, and kinds of beginnings and ends that stand for rare words.
 OWN_WORDS, KINDS = 1024, 1024
-#: Every word seen this often in training has a class of its own choice; executors hold all of them.
+#: Every word seen this often in training takes part in the exchange; executors hold all of them.
 CLASSED_COUNT = 10
-#: Word classes; words whose counts every executor holds (a bound, the others are joined); sweeps of the exchange.
-CLASSES, HELD_WORDS, SWEEPS = 48, 1 << 18, 8
+#: Word classes; words whose counts every executor holds (a bound, the others are joined); sweeps of the exchange
+#: among the first words, and half sweeps among all.
+CLASSES, HELD_WORDS, SWEEPS, HALF_SWEEPS = 48, 1 << 18, 8, 2
 #: Key of the end of a text.
 END = 1
 
@@ -70,7 +71,42 @@ def _counted(h, kind, c):
     return pa.RecordBatch.from_arrays([pa.array(h), pa.array(kind.astype(np.int32)), pa.array(c)], names=["h", "kind", "c"])
 
 
-def exchange(pairs: np.ndarray, classes: int, sweeps: int, seed: int = 3) -> np.ndarray:
+def xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-300))
+
+
+def likelihood(joint: np.ndarray) -> float:
+    """The part of the bigram log-likelihood that depends on the classes."""
+    return float(xlogx(joint).sum() - xlogx(joint.sum(0)).sum() - xlogx(joint.sum(1)).sum())
+
+
+def exchange_gains(joint: np.ndarray, right: np.ndarray, left: np.ndarray, own: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """What the likelihood gains, for each symbol and class, when the symbol alone is put into the class from none.
+
+    joint: counts of classes after classes; right, left: how often each class stands after and before the symbol;
+    own: how often it follows itself; of: its class.  The last class, the end's, takes no symbol.
+    """
+    n, classes = len(of), len(joint) - 1
+    i, k = np.arange(n), np.arange(classes)
+    right, left = right.astype(np.float64), left.astype(np.float64)
+    right[i, of] -= own
+    left[i, of] -= own
+    without = np.repeat(joint[None], n, 0)
+    without[i, of] -= right
+    without[i, :, of] -= left
+    without[i, of, of] -= own
+    plain = xlogx(without)
+    rows = (xlogx(without + right[:, None]) - plain)[:, :classes]
+    cols = (xlogx(without + left[:, :, None]) - plain)[:, :, :classes]
+    diagonal = without[:, k, k]
+    gain = rows.sum(2) - rows[:, k, k] + cols.sum(1) - cols[:, k, k] + xlogx(diagonal + right[:, :classes] + left[:, :classes] + own[:, None]) - xlogx(diagonal)
+    # whatever its class, the symbol comes after those before it and before those after it
+    after, before = (without.sum(2) + left)[:, :classes], (without.sum(1) + right)[:, :classes]
+    gain -= xlogx(after + (right.sum(1) + own)[:, None]) - xlogx(after) + xlogx(before + (left.sum(1) + own)[:, None]) - xlogx(before)
+    return gain
+
+
+def exchange(pairs: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
     """Exchange clustering of symbols: each in turn moves to the class that raises the bigram likelihood most.
 
     ``pairs[a, b]`` counts b after a; the last symbol, the end, keeps a class of its own, number ``classes``.
@@ -80,43 +116,31 @@ def exchange(pairs: np.ndarray, classes: int, sweeps: int, seed: int = 3) -> np.
     order = np.argsort(-freq[:-1], kind="stable")
     of = np.full(n, classes)
     of[order] = np.arange(n - 1) % classes
-    f = lambda x: x * np.log(np.maximum(x, 1e-300))
-    one_hot = np.zeros((n, classes + 1))
-    one_hot[np.arange(n), of] = 1
+    one_hot = np.eye(classes + 1)[of]
     right, left = pairs @ one_hot, pairs.T @ one_hot
     joint = one_hot.T @ right
     live = order[freq[order] > 0]
     for _ in range(sweeps):
         moved = 0
         for w in live.tolist():
-            g, own = of[w], pairs[w, w]
+            g, own = int(of[w]), pairs[w, w]
+            gain = exchange_gains(joint, right[w : w + 1], left[w : w + 1], pairs[w : w + 1, w], of[w : w + 1])[0]
+            best = int(np.argmax(gain))
+            if gain[best] <= gain[g] + 1e-9:
+                continue
+            moved += 1
             r, l = right[w].copy(), left[w].copy()  # noqa: E741
             r[g] -= own
             l[g] -= own
-            joint[g] -= r
-            joint[:, g] -= l
-            joint[g, g] -= own
-            plain = f(joint)
-            rows = (f(joint + r) - plain)[:classes]
-            cols = (f(joint + l[:, None]) - plain)[:, :classes]
-            k = np.arange(classes)
-            diagonal = joint[k, k]
-            gain = rows.sum(1) - rows[k, k] + cols.sum(0) - cols[k, k] + f(diagonal + r[k] + l[k] + own) - f(diagonal)
-            after, before = joint.sum(1)[:classes], joint.sum(0)[:classes]
-            gain -= f(after + r.sum() + own) - f(after) + f(before + l.sum() + own) - f(before)
-            best = int(np.argmax(gain))
-            if gain[best] <= gain[g] + 1e-9:
-                best = g
-            joint[best] += r
-            joint[:, best] += l
-            joint[best, best] += own
-            if best != g:
-                moved += 1
-                of[w] = best
-                right[:, g] -= pairs[:, w]
-                right[:, best] += pairs[:, w]
-                left[:, g] -= pairs[w]
-                left[:, best] += pairs[w]
+            for k, sign in ((g, -1), (best, 1)):
+                joint[k] += sign * r
+                joint[:, k] += sign * l
+                joint[k, k] += sign * own
+            of[w] = best
+            right[:, g] -= pairs[:, w]
+            right[:, best] += pairs[:, w]
+            left[:, g] -= pairs[w]
+            left[:, best] += pairs[w]
         if not moved:
             break
     return of
@@ -172,9 +196,9 @@ def train(docs: DataFrame) -> tuple[ClassModel, DataFrame]:
     h, kind, c = (held[x].to_numpy().astype(np.int64) for x in ("h", "kind", "c"))
     ranked = np.lexsort((h, -c))
     ranked = ranked[h[ranked] != END]
-    own = ranked[:OWN_WORDS]
-    # the exchange's words, then the others that have a class
-    words = np.concatenate([own, ranked[OWN_WORDS:][c[ranked[OWN_WORDS:]] >= CLASSED_COUNT]])
+    # the words with a class, those that the exchange starts with first
+    words = ranked[c[ranked] >= CLASSED_COUNT]
+    own = words[:OWN_WORDS]
     stats = counts.groupBy("kind").agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum((F.col("c") == 1).cast("long")).alias("n1"), F.sum((F.col("c") == 2).cast("long")).alias("n2"))
     by = np.zeros((4, KINDS))
     for r in stats.collect():
@@ -190,15 +214,22 @@ def train(docs: DataFrame) -> tuple[ClassModel, DataFrame]:
         symbol[chosen] = np.arange(len(chosen))
         return ClassModel(total["n"], total["v"], h, c, symbol, nothing, nothing, nothing, -np.log10(by[0] + 1), np.log10((discount * by[1] + 1) / (by[0] + 1)), discount, len(chosen))
 
-    texts = rows.select("text")
-    core = model_of(own)
-    pairs = symbol_pairs(texts, core, np.arange(len(own) + KINDS + 1))
-    core.of = exchange(pairs, CLASSES, SWEEPS)
-    one_hot = np.eye(CLASSES + 1)[core.of]
     model = model_of(words)
-    model.of = np.concatenate([core.of[: len(own)], core.of[len(own) + kind[words[len(own) :]]], core.of[len(own) :]])
-    assign(texts, model, len(own), one_hot.T @ pairs @ one_hot)
-    joint = symbol_pairs(texts, model, model.of)
+    stream = staged(symbol_stream(rows.select("text"), model), "symbols")
+    # the exchange among the first words and the kinds; other words go by their kind
+    first = len(own)
+    core = np.concatenate([np.arange(first), first + kind[words[first:]], first + np.arange(KINDS + 1)])
+    pairs = symbol_pairs(stream, core)
+    start = exchange(pairs, CLASSES, SWEEPS)
+    model.of = start[core]
+    one_hot = np.eye(CLASSES + 1)[start]
+    assign(stream, model, first, one_hot.T @ pairs @ one_hot)
+    joint = symbol_pairs(stream, model.of)
+    for half in range(HALF_SWEEPS):
+        moved = exchanged(stream, model, joint, half % 2)
+        after = symbol_pairs(stream, moved)
+        if likelihood(after) > likelihood(joint):
+            model.of, joint = moved, after
     freq = np.concatenate([c[words], by[0], c[h == END] if (h == END).any() else [0]]).astype(np.float64)
     prior = (joint.sum(0) + 1) / (joint.sum() + CLASSES + 1)
     model.step = np.log10((joint + 5 * prior) / (joint.sum(1, keepdims=True) + 5))
@@ -207,53 +238,74 @@ def train(docs: DataFrame) -> tuple[ClassModel, DataFrame]:
     return model, counts
 
 
-def symbol_pairs(texts: DataFrame, model: ClassModel, label: np.ndarray) -> np.ndarray:
+def symbol_stream(texts: DataFrame, model: ClassModel) -> DataFrame:
+    """The symbols of many texts in a row, each text followed by its end, as blobs of 32-bit numbers."""
+
+    def run(batches):
+        for batch in batches:
+            for _, _, buf, offs in text_slices(batch):
+                h, kind, _ = tokens(buf, offs)
+                yield pa.RecordBatch.from_arrays([pa.array([model.symbols(h, kind)[0].astype(np.int32).tobytes()], pa.binary())], names=["symbols"])
+
+    return texts.mapInArrow(run, "symbols binary")
+
+
+def read_stream(batch: pa.RecordBatch, end: int):
+    """Yields the symbols of each blob and the symbol before each."""
+    for x in batch.column(0):
+        symbol = np.frombuffer(x.as_py(), np.int32).astype(np.int64)
+        yield symbol, np.concatenate([[end], symbol[:-1]])
+
+
+def symbol_pairs(stream: DataFrame, label: np.ndarray) -> np.ndarray:
     """How often the label of a symbol (the columns) comes after that of another (the rows)."""
-    size = int(label.max()) + 1
+    size, end = int(label.max()) + 1, len(label) - 1
 
     def add(table, batch):
-        for _, _, buf, offs in text_slices(batch):
-            h, kind, csr = tokens(buf, offs)
-            symbol, _, _ = model.symbols(h, kind)
-            table += np.bincount(label[model.before(symbol, csr)] * size + label[symbol], minlength=size * size)
+        for symbol, before in read_stream(batch, end):
+            table += np.bincount(label[before] * size + label[symbol], minlength=size * size)
 
-    return dense_counts(texts, size * size, add).reshape(size, size).astype(np.float64)
+    return dense_counts(stream, size * size, add).reshape(size, size).astype(np.float64)
 
 
-def context_counts(texts: DataFrame, model: ClassModel, first: int, gathered: int = 4_000_000) -> DataFrame:
-    """symbol, cell, c: how often each class stands before (cell = class) and after (CLASSES + 1 + class) a word from ``first`` on."""
-    span = 2 * (CLASSES + 1)
+def context_counts(stream: DataFrame, of: np.ndarray, chosen: np.ndarray, gathered: int = 4_000_000) -> DataFrame:
+    """symbol and cells (cell, c) of the chosen symbols: how often each class stands before (cell = class) and after
+    (CLASSES + 1 + class) it, and how often it follows itself (the last cell)."""
+    span, end = 2 * (CLASSES + 1) + 1, len(of) - 1
 
-    def sent(keys, n):
+    def counted(held):
+        keys, n = np.unique(np.concatenate(held), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array((keys // span).astype(np.int32)), pa.array((keys % span).astype(np.int32)), pa.array(n)], names=["symbol", "cell", "c"])
 
-    def summed(held):
-        keys, back = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-        return keys, np.bincount(back, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64)
-
     def run(batches):
         held, size = [], 0
         for batch in batches:
-            for _, _, buf, offs in text_slices(batch):
-                h, kind, csr = tokens(buf, offs)
-                symbol = model.symbols(h, kind)[0].astype(np.int64)
-                before = model.before(symbol, csr)
-                at, prior = ((x >= first) & (x < model.words) for x in (symbol, before))
-                keys = np.concatenate([symbol[at] * span + model.of[before[at]], before[prior] * span + CLASSES + 1 + model.of[symbol[prior]]])
-                held.append(np.unique(keys, return_counts=True))
-                size += len(held[-1][0])
+            for symbol, before in read_stream(batch, end):
+                at, prior, twice = chosen[symbol], chosen[before], chosen[symbol] & (symbol == before)
+                held += [symbol[at] * span + of[before[at]], before[prior] * span + CLASSES + 1 + of[symbol[prior]], symbol[twice] * span + span - 1]
+                size += sum(map(len, held[-3:]))
                 if size > gathered:
-                    held = [summed(held)]
-                    yield sent(*held.pop())
-                    size = 0
-        if held:
-            yield sent(*summed(held))
+                    yield counted(held)
+                    held, size = [], 0
+        if size:
+            yield counted(held)
+
+    rows = stream.mapInArrow(run, "symbol int, cell int, c long").groupBy("symbol", "cell").agg(F.sum("c").alias("c"))
+    return rows.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("cell", "c"))).alias("cells"))
 
-    rows = texts.mapInArrow(run, "symbol int, cell int, c long")
-    return rows.groupBy("symbol", "cell").agg(F.sum("c").alias("c"))
 
+def context_tables(batch: pa.RecordBatch, rows: int = 256):
+    """Yields symbols and their (symbol x cell) tables, a few at a time."""
+    for i in range(0, batch.num_rows, rows):
+        part = batch.slice(i, rows)
+        lists = part.column(1)
+        flat = lists.flatten()
+        table = np.zeros((part.num_rows, 2 * (CLASSES + 1) + 1))
+        table[np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy()), flat.field("cell").to_numpy()] = flat.field("c").to_numpy()
+        yield part.column(0).to_numpy(), table
 
-def assign(texts: DataFrame, model: ClassModel, first: int, joint: np.ndarray) -> None:
+
+def assign(stream: DataFrame, model: ClassModel, first: int, joint: np.ndarray) -> None:
     """Sets the class of each word from ``first`` on to that under which its own class bigrams are likeliest.
 
     The likelihood of a word's tokens in class g is P(g | class before) P(word | g) P(class after | g); what does
@@ -268,17 +320,40 @@ def assign(texts: DataFrame, model: ClassModel, first: int, joint: np.ndarray) -
 
     def best(batches):
         for batch in batches:
-            n = batch.num_rows
-            lists = batch.column(1)
-            flat = lists.flatten()
-            row = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
-            value = np.zeros((n, CLASSES))
-            np.add.at(value, row, flat.field("c").to_numpy()[:, None] * gains[flat.field("cell").to_numpy()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.argmax(value, 1).astype(np.int32))], names=["symbol", "class"])
+            for symbol, table in context_tables(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(symbol), pa.array(np.argmax(table[:, :-1] @ gains, 1).astype(np.int32))], names=["symbol", "class"])
+
+    at = np.arange(len(model.of))
+    take(model.of, context_counts(stream, model.of, (at >= first) & (at < model.words)).mapInArrow(best, "symbol int, class int"))
+
 
-    words = context_counts(texts, model, first).groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("cell", "c"))).alias("cells"))
-    chosen = words.mapInArrow(best, "symbol int, class int").toArrow()
-    model.of[chosen["symbol"].to_numpy()] = chosen["class"].to_numpy()
+def exchanged(stream: DataFrame, model: ClassModel, joint: np.ndarray, half: int) -> np.ndarray:
+    """Classes after half a sweep of the exchange among all symbols but the end.
+
+    All symbols of a half move at once, each to the class that raises the likelihood most while the others stay, so
+    the work is spread over the symbols.  Moving halves in turn keeps them from changing places with each other.
+    """
+
+    def best(batches):
+        for batch in batches:
+            for symbol, table in context_tables(batch):
+                now = model.of[symbol]
+                left, right = table[:, : CLASSES + 1], table[:, CLASSES + 1 : -1]
+                gain = exchange_gains(joint, right, left, table[:, -1], now)
+                to = np.argmax(gain, 1)
+                to = np.where(gain[np.arange(len(to)), to] > gain[np.arange(len(to)), now] + 1e-9, to, now)
+                yield pa.RecordBatch.from_arrays([pa.array(symbol), pa.array(to.astype(np.int32))], names=["symbol", "class"])
+
+    at = np.arange(len(model.of))
+    chosen = (mix(at.astype(np.uint64) + np.uint64(17)) % np.uint64(2) == half) & (at < len(at) - 1)
+    return take(model.of.copy(), context_counts(stream, model.of, chosen).mapInArrow(best, "symbol int, class int"))
+
+
+def take(of: np.ndarray, chosen: DataFrame) -> np.ndarray:
+    """Puts the chosen (symbol, class) rows, a number for each word that executors hold anyway, into ``of``."""
+    table = chosen.toArrow()
+    of[table["symbol"].to_numpy()] = table["class"].to_numpy()
+    return of
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
@@ -287,11 +362,13 @@ def score_texts(docs: DataFrame) -> DataFrame:
     A token's probability is P(class | class before) * P(symbol | class) * P(word | symbol).  Words
     seen CLASSED_COUNT times are symbols of their own; any rarer word is one of its kind, a hash of its first and
     last two bytes, with an absolutely discounted share of it by its exact count; what is discounted is the share
-    of unknown words.  Exchange clustering assigns the OWN_WORDS commonest and the kinds to classes; each other
-    symbol then takes the class that its own class bigrams favour.  Counts of all words are kept; those of the
-    commoner HELD_WORDS and of all symbols travel to the executors, tokens of others are joined with the table.
+    of unknown words.  Exchange clustering starts on the driver with the OWN_WORDS commonest and the kinds, each
+    other symbol takes the class that its own class bigrams favour, and half sweeps of the exchange then go over all
+    symbols, spread over the cluster.  Counts of all words are kept; those of the commoner HELD_WORDS and of all
+    symbols travel to the executors, tokens of others are joined with the table.
 
-    A null text is empty: its end alone is scored.  Without training texts every word is unknown.
+    A null text is empty: its end alone is scored.  Without training texts every word is unknown.  Repeated rows
+    each count and are scored each.  Empty table: no rows.
     """
     model, counts = train(docs)
     base_unknown = -np.log10(model.n + model.v + 1)

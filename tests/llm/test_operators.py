@@ -146,6 +146,78 @@ def test_exchange_never_lowers_the_likelihood():
     assert value(end) > value(start) and end[-1] == 3
 
 
+def test_exchange_gains_are_differences_of_the_likelihood():
+    rng = np.random.default_rng(3)
+    pairs = rng.poisson(2.0, (12, 12)).astype(float)
+    of = np.append(rng.integers(0, 4, 11), 4)
+    hot = np.eye(5)[of]
+    value = lambda x: brown_lm.likelihood(np.eye(5)[x].T @ pairs @ np.eye(5)[x])
+    gain = brown_lm.exchange_gains(hot.T @ pairs @ hot, (pairs @ hot)[:11], (pairs.T @ hot)[:11], np.diag(pairs)[:11], of[:11])
+    for w in range(11):
+        for k in range(4):
+            moved = of.copy()
+            moved[w] = k
+            assert math.isclose(gain[w, k] - gain[w, of[w]], value(moved) - value(of), abs_tol=1e-6)
+
+
+def plain_model(texts, classes):
+    """Scores by the definition: counts in dictionaries, the classes given by word, kind or end."""
+    key = lambda w: tuple(int(x[0]) for x in brown_lm.tokens(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))[:2])
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", lower(t))
+    train = [split(t) for k, t in texts.items() if zlib.crc32(str(k).encode()) % 7 != 2]
+    count = collections.Counter(w for t in train for w in t)
+    kind = {w: key(w)[1] for t in texts.values() for w in split(t)}
+    symbol = lambda w: w if count[w] >= brown_lm.CLASSED_COUNT else ("kind", kind[w])
+    rare = [(w, c) for w, c in count.items() if c < brown_lm.CLASSED_COUNT]
+    n1, n2 = (sum(c == x for _, c in rare) for x in (1, 2))
+    discount = min(0.9, max(0.1, n1 / max(1, n1 + 2 * n2)))
+    mass, kinds = collections.Counter(), collections.Counter()
+    for w, c in rare:
+        mass[kind[w]] += c
+        kinds[kind[w]] += 1
+    freq = collections.Counter(symbol(w) for t in train for w in t) + collections.Counter(end=len(train))
+    joint = np.zeros((brown_lm.CLASSES + 1,) * 2)
+    for t in train:
+        row = ["end", *map(symbol, t), "end"]
+        for a, b in zip(row, row[1:], strict=False):
+            joint[classes[a], classes[b]] += 1
+    prior = (joint.sum(0) + 1) / (joint.sum() + brown_lm.CLASSES + 1)
+    members = collections.Counter(classes.values())
+    total = collections.Counter()
+    for s, c in freq.items():
+        total[classes[s]] += c
+
+    def score(text):
+        out, before = 0.0, "end"
+        for w in [*split(text), "\n"]:
+            s = "end" if w == "\n" else symbol(w)
+            a, b = classes[before], classes[s]
+            p = (joint[a, b] + 5 * prior[b]) / (joint[a].sum() + 5) * (freq[s] + 0.1) / (total[b] + 0.1 * members[b])
+            if s == ("kind", kind.get(w)):
+                k = kind[w]
+                p *= (count[w] - discount if count[w] else discount * kinds[k] + 1) / (mass[k] + 1)
+            out += math.log10(p)
+            before = s
+        return out
+
+    return score
+
+
+def test_score_equals_the_definition(small, texts):
+    model, counts = brown_lm.train(small)
+    symbol = dict(zip(model.held.tolist(), model.held_symbol.tolist(), strict=True))
+    classes = {("kind", k): int(model.of[model.words + k]) for k in range(brown_lm.KINDS)} | {"end": int(model.of[-1])}
+    for t in texts.values():
+        raw = np.frombuffer(lower(t).encode(), np.uint8)
+        for w, h in zip(re.findall(r"[^\x20\x09-\x0D]+", lower(t)), brown_lm.tokens(raw, np.array([0, len(raw)]))[0].tolist(), strict=False):
+            if symbol.get(h, -1) >= 0:
+                classes[w] = int(model.of[symbol[h]])
+    assert len(classes) > brown_lm.KINDS + 100
+    score = plain_model(texts, classes)
+    for r in brown_lm.score_texts(small).collect():
+        assert math.isclose(r["score"], score(texts[r["doc_id"]]), rel_tol=1e-9), r["doc_id"]
+
+
 def test_words_beyond_the_exchange_take_the_class_of_their_neighbours(spark, monkeypatch):
     monkeypatch.setattr(brown_lm, "OWN_WORDS", 8)
     monkeypatch.setattr(brown_lm, "CLASSES", 6)
@@ -153,6 +225,7 @@ def test_words_beyond_the_exchange_take_the_class_of_their_neighbours(spark, mon
     size = [400] * 4 + [20] * 30
     sides = [rng.permutation(np.repeat([f"{x}{k}" for k in range(34)], size)) for x in "ab"]
     rows = [(k, f"{x} {y}") for k, (x, y) in enumerate(zip(*sides, strict=True))] + [(k, "seldom seen") for k in range(9000, 9003)]
+    monkeypatch.setattr(brown_lm, "HALF_SWEEPS", 0)
     model, counts = brown_lm.train(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     key = lambda w: int(brown_lm.tokens(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0][0])
     symbol = dict(zip(model.held.tolist(), model.held_symbol.tolist(), strict=True))
