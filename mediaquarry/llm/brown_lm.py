@@ -273,22 +273,30 @@ def context_counts(stream: DataFrame, of: np.ndarray, chosen: np.ndarray, gather
     (CLASSES + 1 + class) it, and how often it follows itself (the last cell)."""
     span, end = 2 * (CLASSES + 1) + 1, len(of) - 1
 
-    def counted(held):
-        keys, n = np.unique(np.concatenate(held), return_counts=True)
+    def summed(held):
+        keys, back = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+        return keys, np.bincount(back, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64)
+
+    def sent(keys, n):
         return pa.RecordBatch.from_arrays([pa.array((keys // span).astype(np.int32)), pa.array((keys % span).astype(np.int32)), pa.array(n)], names=["symbol", "cell", "c"])
 
     def run(batches):
-        held, size = [], 0
+        raw, held = [], []
         for batch in batches:
             for symbol, before in read_stream(batch, end):
                 at, prior, twice = chosen[symbol], chosen[before], chosen[symbol] & (symbol == before)
-                held += [symbol[at] * span + of[before[at]], before[prior] * span + CLASSES + 1 + of[symbol[prior]], symbol[twice] * span + span - 1]
-                size += sum(map(len, held[-3:]))
-                if size > gathered:
-                    yield counted(held)
-                    held, size = [], 0
-        if size:
-            yield counted(held)
+                raw += [symbol[at] * span + of[before[at]], before[prior] * span + CLASSES + 1 + of[symbol[prior]], symbol[twice] * span + span - 1]
+                if sum(map(len, raw)) > gathered:
+                    held.append(np.unique(np.concatenate(raw), return_counts=True))
+                    raw = []
+                if sum(len(k) for k, _ in held) > 2 * gathered:
+                    held = [summed(held)]
+                    if len(held[0][0]) > gathered:
+                        yield sent(*held.pop())
+        if raw:
+            held.append(np.unique(np.concatenate(raw), return_counts=True))
+        if held:
+            yield sent(*summed(held))
 
     rows = stream.mapInArrow(run, "symbol int, cell int, c long").groupBy("symbol", "cell").agg(F.sum("c").alias("c"))
     return rows.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("cell", "c"))).alias("cells"))
