@@ -110,6 +110,11 @@ def loudness(frames: DataFrame, column: str, half: int) -> DataFrame:
     return frames.select("media_id", "frame", F.round(F.greatest(F.least(db, F.lit(0.0)), F.lit(-80.0)), 6).alias("db"))
 
 
+def silence_runs(levels: DataFrame, floor: float, least: int) -> DataFrame:
+    """Runs [lo, hi) of frames whose level is measured and under the floor, of ``least`` frames and more.  levels: media_id, frame, db."""
+    return runs(levels, F.col("db") < floor).filter(F.col("hi") - F.col("lo") >= least)
+
+
 def rises(frames: DataFrame, column: str, least: float) -> DataFrame:
     step = F.col(column) - F.lag(column).over(by_frame())
     return frames.withColumn("step", step).groupBy("media_id").agg(F.count_if(F.col("step") >= least).alias("rises"))

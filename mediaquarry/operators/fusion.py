@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import numbered
+
 #: The default weights.
 WEIGHTS = {"sharpness": 0.22, "exposure": 0.18, "noise": 0.06, "contrast": 0.06, "technical_iqa": 0.14, "aesthetic": 0.08, "composition": 0.08, "face_quality": 0.18}
 
@@ -84,10 +86,12 @@ def mid_rank(rows: DataFrame, klass: str, value: str) -> DataFrame:
 
 def rank_best(rows: DataFrame, klass: str, value: str, rejected: Column) -> DataFrame:
     """Place of each row, rejected last, ties by id; more than one measurement class is an error."""
-    kinds = F.size(F.collect_set(klass).over(Window.partitionBy()))
-    w = Window.orderBy(rejected, F.desc(value), "media_id")
-    place = F.row_number().over(w)
-    return rows.withColumn("place", F.when(kinds > 1, F.raise_error(F.lit("measurement classes differ")).cast("int")).otherwise(place))
+    kinds = rows.agg((F.min(klass) < F.max(klass)).alias("classes_differ"))
+    # rejected rows lie behind all values, rows without a value behind the others of their sort
+    key = F.when(rejected, F.lit(2.0)).otherwise(0.0) + F.when(F.col(value).isNull(), 1.0).otherwise(0.5 - F.atan(F.col(value)) / 4)
+    out = numbered(rows, key, [rejected.asc(), F.desc(value), F.col("media_id").asc()], "place").crossJoin(F.broadcast(kinds))
+    differ = F.coalesce("classes_differ", F.lit(False))
+    return out.withColumn("place", F.when(differ, F.raise_error(F.lit("measurement classes differ")).cast("int")).otherwise(F.col("place").cast("int"))).drop("classes_differ")
 
 
 def primary_of_group(rows: DataFrame) -> DataFrame:

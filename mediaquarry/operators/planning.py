@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
+from .ordered import with_previous
 from .vectors import band_pairs, cosine_distance, hamming
 
 
@@ -77,23 +78,21 @@ def greedy_selection(candidates: DataFrame, size: int, cap: int, decay: float =
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("media_id").reset_index(drop=True)
-        free, places, people, chosen = set(pdf.index), {}, {}, []
-        while free and len(chosen) < size:
-            best = None
-            for i in sorted(free):
-                r = pdf.loc[i]
-                if people.get(r.person, 0) >= cap:
-                    continue
-                gain = round(r.score + decay ** places.get(r.place, 0), 9)
-                if best is None or gain > best[0]:
-                    best = (gain, i)
-            if best is None:
+        score = pdf["score"].to_numpy(float)
+        _, place = np.unique(pdf["place"].to_numpy(), return_inverse=True)
+        _, person = np.unique(pdf["person"].to_numpy(), return_inverse=True)
+        places, people = np.zeros(place.max() + 1), np.zeros(person.max() + 1, int)
+        free, chosen = np.ones(len(pdf), bool), []
+        while len(chosen) < size:
+            open_ = np.flatnonzero(free & (people[person] < cap))
+            if not len(open_):
                 break
-            i = best[1]
-            free.discard(i)
-            places[pdf.place[i]] = places.get(pdf.place[i], 0) + 1
-            people[pdf.person[i]] = people.get(pdf.person[i], 0) + 1
-            chosen.append((pdf.event[i], pdf.media_id[i], len(chosen) + 1, best[0]))
+            gain = np.round(score[open_] + decay ** places[place[open_]], 9)
+            i = open_[np.argmax(gain)]
+            free[i] = False
+            places[place[i]] += 1
+            people[person[i]] += 1
+            chosen.append((pdf["event"].iat[i], pdf["media_id"].iat[i], len(chosen) + 1, gain.max()))
         return pd.DataFrame(chosen, columns=["event", "media_id", "rank", "gain"])
 
     return candidates.groupBy("event").applyInPandas(run, "event long, media_id long, rank int, gain double")
@@ -133,12 +132,11 @@ def act_bounds(moments: DataFrame, first: float = 0.25, last: float = 0.20) -> D
 
 def constraint_report(chosen: DataFrame, cap: int) -> DataFrame:
     """Measured constraints of a selection, one row each: duplicates, person cap, chronology, adjacent scenes."""
-    w = Window.orderBy("rank")
-    seq = chosen.withColumn("before", F.lag("captured").over(w)).withColumn("scene_before", F.lag("scene").over(w))
+    seq = with_previous(chosen, "rank", ["captured", "scene"])
     one = lambda name, value: value.select(F.lit(name).alias("constraint"), F.col("x").cast("long").alias("measured"))
     dup = chosen.filter("group_id IS NOT NULL").groupBy("group_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("x"))
     person = chosen.filter("person IS NOT NULL").groupBy("person").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > cap).alias("x"))
-    return one("duplicates", dup).union(one("person_cap", person)).union(one("out_of_order", seq.agg(F.count_if(F.col("captured") < F.col("before")).alias("x")))).union(one("adjacent_scene", seq.agg(F.count_if(F.col("scene") == F.col("scene_before")).alias("x"))))
+    return one("duplicates", dup).union(one("person_cap", person)).union(one("out_of_order", seq.agg(F.count_if(F.col("captured") < F.col("before.captured")).alias("x")))).union(one("adjacent_scene", seq.agg(F.count_if(F.col("scene") == F.col("before.scene")).alias("x"))))
 
 
 def greedy_labels(items: DataFrame, threshold: float, most: int = 8) -> DataFrame:
@@ -148,45 +146,50 @@ def greedy_labels(items: DataFrame, threshold: float, most: int = 8) -> DataFram
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        # at most ``most`` rows become representatives; what lies between two of them is labelled at once
         pdf = pdf.sort_values("ord")
-        reps: list[np.ndarray] = []
-        out = []
-        for x in pdf["x"]:
-            x = np.asarray(x, float)
-            d = [float(np.sqrt(np.mean((x - r) ** 2))) for r in reps]
-            k = int(np.argmin(d)) if d else -1
-            if k < 0 or (d[k] > threshold and len(reps) < most):
-                reps.append(x)
-                k = len(reps) - 1
-            out.append(k)
-        return pd.DataFrame({"bucket": pdf["bucket"], "ord": pdf["ord"], "label": out})
+        x = np.stack(pdf["x"].to_numpy()).astype(float)
+        near, label, reps, i = np.full(len(x), np.inf), np.zeros(len(x), int), 0, 0
+        while i < len(x):
+            d = np.sqrt(np.mean((x[i:] - x[i]) ** 2, axis=1))
+            closer = d < near[i:]
+            near[i:][closer], label[i:][closer] = d[closer], reps
+            reps += 1
+            far = np.flatnonzero(near[i:] > threshold)
+            if reps >= most or not len(far):
+                break
+            i += int(far[0])
+        return pd.DataFrame({"bucket": pdf["bucket"], "ord": pdf["ord"], "label": label})
 
     return items.groupBy("bucket").applyInPandas(run, "bucket long, ord long, label int")
 
 
-def platt_fit(scores: DataFrame, least: int) -> DataFrame:
-    """Logistic calibration of each class by Newton steps over grouped moments; classes with too few examples are left out.
+def platt_fit(scores: DataFrame, least: int, steps: int = 30) -> DataFrame:
+    """Logistic calibration of each class by Newton steps; classes with too few examples are left out.
 
-    The data are aggregated to 1,000 score cells first, so a class of any size is fitted from bounded rows.
+    Each step adds up gradient and curvature over all samples of every class; only these sums, five numbers for a
+    class, reach the driver.  Slopes are held by a penalty of 0.001.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, n, y = (pdf[c].to_numpy(float) for c in ("x", "n", "hits"))
-        a, b = 1.0, 0.0
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-(a * x + b)))
-            g = np.array([((n * p - y) * x).sum() + 1e-3 * a, (n * p - y).sum()])
-            q = n * p * (1 - p)
-            h = np.array([[(q * x * x).sum() + 1e-3, (q * x).sum()], [(q * x).sum(), q.sum() + 1e-9]])
-            step = np.linalg.solve(h, g)
-            a, b = a - step[0], b - step[1]
-            if np.abs(step).max() < 1e-10:
-                break
-        return pd.DataFrame({"klass": [pdf["klass"].iloc[0]], "examples": [int(n.sum())], "a": [round(float(a), 6)], "b": [round(float(b), 6)]})
-
-    cells = scores.withColumn("cell", F.floor(F.col("x") * 1000)).groupBy("klass", "cell").agg(F.avg("x").alias("x"), F.count("*").alias("n"), F.sum("y").alias("hits"))
-    total = cells.groupBy("klass").agg(F.sum("n").alias("t")).filter(F.col("t") >= least).select("klass")
-    return cells.join(total, "klass", "left_semi").groupBy("klass").applyInPandas(run, "klass string, examples long, a double, b double")
+    from .graph import stage
+
+    rows = stage(scores.select("klass", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), "scores")
+    sizes = {r["klass"]: r["n"] for r in rows.groupBy("klass").agg(F.count("*").alias("n")).filter(F.col("n") >= least).collect()}
+    fitted = {k: np.array([1.0, 0.0]) for k in sizes}
+    kinds = "klass string, examples long, a double, b double"
+    table = lambda: rows.sparkSession.createDataFrame([(k, n, float(fitted[k][0]), float(fitted[k][1])) for k, n in sizes.items()], kinds)
+    p = 1 / (1 + F.exp(-(F.col("a") * F.col("x") + F.col("b"))))
+    for _ in range(steps if sizes else 0):
+        now = rows.join(F.broadcast(table()), "klass").withColumn("e", p - F.col("y")).withColumn("q", p * (1 - p))
+        sums = now.groupBy("klass").agg(*[F.sum(x).alias(n) for n, x in {"ga": F.col("e") * F.col("x"), "gb": F.col("e"), "aa": F.col("q") * F.col("x") * F.col("x"), "ab": F.col("q") * F.col("x"), "bb": F.col("q")}.items()])
+        moved = 0.0
+        for r in sums.collect():
+            h = np.array([[r["aa"] + 1e-3, r["ab"]], [r["ab"], r["bb"] + 1e-9]])
+            step = np.linalg.solve(h, np.array([r["ga"] + 1e-3 * fitted[r["klass"]][0], r["gb"]]))
+            fitted[r["klass"]] -= step
+            moved = max(moved, float(np.abs(step).max()))
+        if moved < 1e-9:
+            break
+    return table().select("klass", "examples", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"))
 
 
 def word_safe(points: DataFrame, words: DataFrame, later: bool) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,13 +104,23 @@ def bleed_findings(placements: DataFrame, bleed: float) -> DataFrame:
     return rows.select("id", "edge", finding.alias("finding")).filter("finding IS NOT NULL")
 
 
-def decayed_novelty(frames: DataFrame, column: str, decay: float, reach: int) -> DataFrame:
-    """Distance of each frame from an exponentially decayed mean of those before it, by terms down to ``reach`` frames back."""
-    w = Window.partitionBy("media_id").orderBy("frame")
-    total, mass = F.lit(0.0), F.lit(0.0)
-    for k in range(1, reach + 1):
-        x = F.lag(column, k).over(w)
-        total = total + F.coalesce(x * decay**k, F.lit(0.0))
-        mass = mass + F.when(x.isNotNull(), decay**k).otherwise(0.0)
-    rows = frames.withColumn("t", total).withColumn("m", mass)
-    return rows.select("media_id", "frame", F.when(F.col("m") > 0, F.round(F.abs(F.col(column) - F.col("t") / F.col("m")), 6)).alias("novelty"))
+def decayed_novelty(frames: DataFrame, column: str, decay: float) -> DataFrame:
+    """Distance of each frame from the exponentially decayed mean of all frames before it in its media.
+
+    Frames come sorted to a task, which carries the mean from row to row, so a media of any length needs no group in memory.
+    """
+
+    def run(batches):
+        media, total, mass = None, 0.0, 0.0
+        for batch in batches:
+            out = []
+            for m, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if m != media:
+                    media, total, mass = m, 0.0, 0.0
+                out.append(abs(x - total / mass) if mass > 0 and x is not None else None)
+                total, mass = (total + (x or 0.0)) * decay, (mass + (x is not None)) * decay
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["media_id", "frame", "novelty"])
+
+    rows = frames.select(F.col("media_id").cast("long").alias("media_id"), F.col("frame").cast("long").alias("frame"), F.col(column).cast("double").alias("x"))
+    out = rows.repartition("media_id").sortWithinPartitions("media_id", "frame").mapInArrow(run, "media_id long, frame long, novelty double")
+    return out.select("media_id", "frame", F.round("novelty", 6).alias("novelty"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import numbered
+
 
 def rare_moments(items: DataFrame, seconds: float) -> DataFrame:
     """Items with no neighbour within the time; the ends count as far apart."""
@@ -34,10 +36,10 @@ def calibrated_redundancy(vectors: DataFrame, sample: int) -> DataFrame:
     from .vectors import dot, norm
 
     n = vectors.agg(F.count("*").alias("n"))
-    w = Window.orderBy("vec_id")
-    rows = vectors.select("vec_id", "embedding").withColumn("i", F.row_number().over(w) - 1).crossJoin(F.broadcast(n))
+    rows = numbered(vectors.select("vec_id"), F.col("vec_id"), [], "i").withColumn("i", F.col("i") - 1).crossJoin(F.broadcast(n))
     stride = F.greatest(F.floor(F.col("n") / sample), F.lit(1))
-    picked = rows.filter((F.col("i") % stride == 0) & (F.col("i") / stride < sample)).select("vec_id", "embedding")
+    ids = rows.filter((F.col("i") % stride == 0) & (F.col("i") / stride < sample)).select("vec_id")
+    picked = vectors.select("vec_id", "embedding").join(F.broadcast(ids), "vec_id")
     b = picked.select(F.col("vec_id").alias("other"), F.col("embedding").alias("oe"))
     sims = picked.join(b, F.col("vec_id") < F.col("other")).select((dot(F.col("embedding"), F.col("oe")) / (norm(F.col("embedding")) * norm(F.col("oe")))).alias("s"))
     ranked = sims.withColumn("rn", F.row_number().over(Window.orderBy("s"))).withColumn("m", F.count("*").over(Window.partitionBy()))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,15 +58,53 @@ def centroids(vectors: DataFrame, group: str) -> DataFrame:
     return means.select(group, "pos", F.round(value, 6).alias("value"))
 
 
-def gallery_similarity(probes: DataFrame, gallery: DataFrame, k: int, keep: int | None = None) -> DataFrame:
-    """For each probe and person the mean of the k best similarities, and the best ``keep`` persons of each probe.
+def block_scores(probes: DataFrame, gallery: DataFrame, group: str, k: int, block: int = 4096) -> DataFrame:
+    """(probe, group, vec_id, s): the k stored vectors of each group most alike to each probe, by cosine similarity.
 
-    The gallery holds a few confirmed faces of each person; it is the small side of the join.
+    Probes are a stated query set; they go out in blocks of about ``block`` vectors, each met by the whole gallery
+    as a matrix product.  A task keeps the k best of each probe and group before anything is shuffled.
     """
-    rows = probes.select(F.col("vec_id").alias("probe"), F.col("embedding").alias("pe")).join(gallery.select("vec_id", "label", "embedding"), F.col("probe") != F.col("vec_id"))
-    rows = rows.select("probe", "label", "vec_id", (1 - cosine_distance(F.col("pe"), F.col("embedding"))).alias("s"))
-    best = Window.partitionBy("probe", "label").orderBy(F.desc("s"), "vec_id")
-    out = rows.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= k).groupBy("probe", "label").agg(F.round(F.avg("s"), 6).alias("similarity"))
+    n = probes.count()
+    blocks = max(1, -(-n // block))
+    numbers = probes.sparkSession.createDataFrame([], "probe long, grp long, vec_id long, s double")
+    for at in range(blocks):
+        part = probes.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == at).select("vec_id", "embedding").toArrow()
+        if part.num_rows:
+            numbers = numbers.union(_scored(part["vec_id"].to_numpy(), np.stack(part["embedding"].to_numpy(zero_copy_only=False)).astype(float), gallery, group, k))
+    w = Window.partitionBy("probe", "grp").orderBy(F.desc("s"), "vec_id")
+    return numbers.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k).drop("rn")
+
+
+def _scored(ids: np.ndarray, asked: np.ndarray, gallery: DataFrame, group: str, k: int) -> DataFrame:
+    length = np.linalg.norm(asked, axis=1)
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own, grp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            v = np.stack(batch.column(2).to_numpy(zero_copy_only=False)).astype(float)
+            s = asked @ v.T / (length[:, None] * np.linalg.norm(v, axis=1))
+            probe, at = np.nonzero(ids[:, None] != own[None])
+            new = probe, grp[at], own[at], s[probe, at]
+            probe, grp, own, s = new if held is None else tuple(map(np.concatenate, zip(held, new, strict=True)))
+            order = np.lexsort((own, -s, grp, probe))
+            probe, grp, own, s = probe[order], grp[order], own[order], s[order]
+            first = np.flatnonzero((np.diff(probe, prepend=-1) != 0) | (np.diff(grp, prepend=grp[:1] - 1) != 0))
+            rank = np.arange(len(s)) - np.repeat(first, np.diff(np.append(first, len(s))))
+            held = tuple(x[rank < k] for x in (probe, grp, own, s))
+        if held is not None:
+            probe, grp, own, s = held
+            yield pa.RecordBatch.from_arrays([pa.array(ids[probe]), pa.array(grp), pa.array(own), pa.array(s)], names=["probe", "grp", "vec_id", "s"])
+
+    rows = gallery.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(group).cast("long").alias("grp"), "embedding")
+    return rows.mapInArrow(run, "probe long, grp long, vec_id long, s double")
+
+
+def gallery_similarity(probes: DataFrame, gallery: DataFrame, k: int, keep: int | None = None) -> DataFrame:
+    """For each probe and person the mean of the k best similarities, and the best ``keep`` persons of each probe."""
+    out = block_scores(probes, gallery, "label", k).groupBy("probe", F.col("grp").cast(gallery.schema["label"].dataType).alias("label")).agg(F.round(F.avg("s"), 6).alias("similarity"))
     if keep is None:
         return out
     top = Window.partitionBy("probe").orderBy(F.desc("similarity"), "label")

@@ -113,6 +113,14 @@ def win22(spark, d):
     return N.loudness(frames(spark, d), "sharpness", 3)
 
 
+LOUD = f"(SELECT media_id, frame, CASE WHEN q IS NOT NULL THEN greatest(least(CASE WHEN q > 0 THEN 10 * log10(q) ELSE -80 END, 0), -80) END AS db FROM (SELECT media_id, frame, avg(sharpness * sharpness) OVER (PARTITION BY media_id ORDER BY frame ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS q FROM {FRAMES_SQL} f))"
+
+
+@query("win23_silence_runs", f"SELECT media_id, min(frame) AS lo, max(frame) + 1 AS hi FROM (SELECT media_id, frame, frame - row_number() OVER (PARTITION BY media_id ORDER BY frame) AS g FROM {LOUD} l WHERE round(db, 6) < -7) GROUP BY media_id, g HAVING max(frame) + 1 - min(frame) >= 2")
+def win23_silence(spark, d):
+    return N.silence_runs(N.loudness(frames(spark, d), "sharpness", 1), -7.0, 2)
+
+
 @query("win23_loudness_rises", f"SELECT media_id, count(*) FILTER (WHERE sharpness - p >= 0.25::DOUBLE) AS rises FROM (SELECT *, lag(sharpness) OVER (PARTITION BY media_id ORDER BY frame) AS p FROM {FRAMES_SQL} f) GROUP BY media_id")
 def win23(spark, d):
     return N.rises(frames(spark, d), "sharpness", 0.25)

@@ -72,10 +72,14 @@ def sc32(spark, d):
     return table(spark, d, "pages").select("page_id", R.leaks(F.create_map(F.lit("url"), F.col("url"), F.lit("v"), value)).alias("leaks"))
 
 
-@query("sc08_vector_bytes", "SELECT vec_id, 256 AS bytes, true AS same FROM embeddings")
+FLOAT_HEX = """SELECT vec_id, pos, s * 2147483648 + CASE WHEN a = 0 THEN 0 ELSE (e + 127) * 8388608 + CAST((a / power(2::DOUBLE, e) - 1) * 8388608 AS BIGINT) END AS n
+    FROM (SELECT *, CASE WHEN a > 0 THEN CAST(floor(log2(a) + 1e-12) AS BIGINT) END AS e FROM (SELECT vec_id, pos, CASE WHEN x < 0 THEN 1 ELSE 0 END AS s, abs(CAST(x AS DOUBLE)) AS a FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings)))"""
+
+
+@query("sc08_vector_bytes", f"""SELECT vec_id, 256 AS bytes, true AS same, string_agg(format('{{:02x}}{{:02x}}{{:02x}}{{:02x}}', n % 256, n // 256 % 256, n // 65536 % 256, n // 16777216), '' ORDER BY pos) AS hexed FROM ({FLOAT_HEX}) GROUP BY vec_id""")
 def sc08(spark, d):
     rows = table(spark, d, "embeddings").withColumn("b", R.pack_vector("embedding"))
-    return rows.select("vec_id", F.octet_length("b").alias("bytes"), (R.unpack_vector("b") == F.col("embedding")).alias("same"))
+    return rows.select("vec_id", F.octet_length("b").alias("bytes"), (R.unpack_vector("b") == F.col("embedding")).alias("same"), F.lower(F.hex("b")).alias("hexed"))
 
 
 @query("sc24_lenient_json", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'repaired' ELSE 'no_object' END AS status, CASE WHEN event_id % 3 < 2 THEN props END AS payload FROM events")
@@ -109,18 +113,13 @@ def src14(spark, d):
     return S2.frame_index(rows)
 
 
-@query("jn19_box_relations", "SELECT a.id AS a, b.id AS b FROM (SELECT l_orderkey AS g, l_orderkey * 10 + l_linenumber AS id, l_discount AS x, l_quantity AS w FROM lineitem WHERE l_orderkey < 500) a JOIN (SELECT l_orderkey AS g, l_orderkey * 10 + l_linenumber AS id, l_discount AS x, l_quantity AS w FROM lineitem WHERE l_orderkey < 500) b ON a.g = b.g AND a.id <> b.id AND a.x <= b.x AND a.x + a.w >= b.x + b.w")
-def jn19(spark, d, which="l_orderkey < 500"):
-    rows = table(spark, d, "lineitem").filter(which).selectExpr("l_orderkey AS g", "l_orderkey * 10 + l_linenumber AS id", "l_discount AS x", "l_quantity AS w")
+@query("jn19_box_relations", "SELECT a.id AS a, b.id AS b FROM (SELECT l_orderkey AS g, l_orderkey * 10 + l_linenumber AS id, l_discount AS x, l_quantity AS w FROM lineitem) a JOIN (SELECT l_orderkey AS g, l_orderkey * 10 + l_linenumber AS id, l_discount AS x, l_quantity AS w FROM lineitem) b ON a.g = b.g AND a.id <> b.id AND a.x <= b.x AND a.x + a.w >= b.x + b.w")
+def jn19(spark, d):
+    rows = table(spark, d, "lineitem").selectExpr("l_orderkey AS g", "l_orderkey * 10 + l_linenumber AS id", "l_discount AS x", "l_quantity AS w")
     b = rows.selectExpr("g AS g2", "id AS b", "x AS bx", "w AS bw")
     return rows.join(b, (F.col("g") == F.col("g2")) & (F.col("id") != F.col("b")) & (F.col("x") <= F.col("bx")) & (F.col("x") + F.col("w") >= F.col("bx") + F.col("bw"))).select(F.col("id").alias("a"), "b")
 
 
-@query("jn19_box_relations_all")
-def jn19_all(spark, d):
-    return jn19(spark, d, "true")
-
-
 @query("top06_capacity", "SELECT l_orderkey AS plan, l_linenumber AS n, l_partkey AS part FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_partkey) AS rn FROM lineitem) WHERE rn <= 3")
 def top06(spark, d):
     from pyspark.sql import Window

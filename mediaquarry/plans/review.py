@@ -57,13 +57,11 @@ def vr05(spark, d):
     return R.bleed_findings(rows, 3.0)
 
 
-TERMS = [f"lag(luma, {k}) OVER (PARTITION BY media_id ORDER BY frame)" for k in range(1, 7)]
-
-
+# a frame 60 and more back weighs under 1e-18
 @query(
     "win25_decayed_novelty",
-    f"""SELECT media_id, frame, CASE WHEN m > 0 THEN round(abs(luma - t / m), 6) END AS novelty FROM (SELECT media_id, frame, luma, {' + '.join(f'coalesce({x} * {0.5 ** k}::DOUBLE, 0)' for k, x in enumerate(TERMS, 1))} AS t,
-    {' + '.join(f'CASE WHEN {x} IS NOT NULL THEN {0.5 ** k}::DOUBLE ELSE 0 END' for k, x in enumerate(TERMS, 1))} AS m FROM {FRAMES_SQL} f)""",
+    f"""SELECT f.media_id, f.frame, CASE WHEN count(g.luma) > 0 AND any_value(f.luma) IS NOT NULL THEN round(abs(any_value(f.luma) - sum(g.luma * power(0.5::DOUBLE, f.frame - g.frame)) / sum(CASE WHEN g.luma IS NOT NULL THEN power(0.5::DOUBLE, f.frame - g.frame) END)), 6) END AS novelty
+    FROM {FRAMES_SQL} f LEFT JOIN {FRAMES_SQL} g ON g.media_id = f.media_id AND g.frame < f.frame AND g.frame >= f.frame - 60 GROUP BY 1, 2""",
 )
 def win25(spark, d):
-    return R.decayed_novelty(frames(spark, d), "luma", 0.5, 6)
+    return R.decayed_novelty(frames(spark, d), "luma", 0.5)

@@ -92,17 +92,12 @@ def src16(spark, d):
     return rows.filter("kind = 'video'").select("media_id", "proxy_id")
 
 
-@query("flt04_proxies_of_record", "SELECT o_orderkey AS media_id, ['p' || CAST(o_orderkey AS VARCHAR)] AS proxies FROM orders WHERE o_orderkey < 500")
-def flt04(spark, d, which="o_orderkey < 500"):
-    rows = orders(spark, d, which).selectExpr("o_orderkey AS media_id", f"from_json({RECORD}, 'struct<proxies:array<struct<proxy_id:string,kind:string>>>').proxies AS p")
+@query("flt04_proxies_of_record", "SELECT o_orderkey AS media_id, ['p' || CAST(o_orderkey AS VARCHAR)] AS proxies FROM orders")
+def flt04(spark, d):
+    rows = table(spark, d, "orders").selectExpr("o_orderkey AS media_id", f"from_json({RECORD}, 'struct<proxies:array<struct<proxy_id:string,kind:string>>>').proxies AS p")
     return rows.select("media_id", F.transform(F.filter("p", lambda x: x["kind"] == "thumb"), lambda x: x["proxy_id"]).alias("proxies"))
 
 
-@query("flt04_proxies_of_record_all")
-def flt04_all(spark, d):
-    return flt04(spark, d, "true")
-
-
 @query(
     "src10_inventory_diff",
     """SELECT o_orderkey AS path, CASE WHEN o_orderkey % 2 <> 0 THEN 'added' WHEN o_orderkey % 3 <> 0 THEN 'removed' ELSE 'changed' END AS status FROM orders
@@ -135,12 +130,12 @@ def src06(spark, d):
 
 @query(
     "src08_chapters",
-    """WITH f AS (SELECT l_orderkey % 2 AS fam, l_orderkey AS rec, l_linenumber AS ch FROM lineitem WHERE l_orderkey < 9000)
+    """WITH f AS (SELECT l_orderkey % 2 AS fam, l_orderkey % 10000 AS rec, l_linenumber AS ch FROM lineitem)
     SELECT CASE fam WHEN 0 THEN 'GX' ELSE 'GH' END AS family, lpad(CAST(rec AS VARCHAR), 4, '0') AS recording, count(*) AS files, count(*) > count(DISTINCT ch) AS conflict, max(ch) - min(ch) + 1 = count(DISTINCT ch) AS complete FROM f GROUP BY fam, rec HAVING count(*) > 1""",
 )
 def src08(spark, d):
-    name = "concat(CASE l_orderkey % 2 WHEN 0 THEN 'GX' ELSE 'GH' END, lpad(CAST(l_linenumber AS STRING), 2, '0'), lpad(CAST(l_orderkey AS STRING), 4, '0'), '.MP4')"
-    return S.chapters(table(spark, d, "lineitem").filter("l_orderkey < 9000").selectExpr(f"{name} AS name"))
+    name = "concat(CASE l_orderkey % 2 WHEN 0 THEN 'GX' ELSE 'GH' END, lpad(CAST(l_linenumber AS STRING), 2, '0'), lpad(CAST(l_orderkey % 10000 AS STRING), 4, '0'), '.MP4')"
+    return S.chapters(table(spark, d, "lineitem").selectExpr(f"{name} AS name"))
 
 
 TIMELINE = "(SELECT l_orderkey AS span_id, l_linenumber AS member, max(CASE WHEN l_partkey % 50 <> 0 THEN l_partkey END) AS duration FROM lineitem GROUP BY 1, 2)"
