@@ -173,16 +173,3 @@ def lenient(text: str | None) -> tuple[str, str | None]:
 @F.pandas_udf(T.StructType([T.StructField("status", T.StringType()), T.StructField("payload", T.StringType())]))
 def lenient_json(s: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([lenient(x) for x in s], columns=["status", "payload"])
-
-
-@F.pandas_udf(T.DoubleType())
-def pose_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Root mean square of joint angle differences, the smaller of a pose and its mirror image; a pose lists left then right joints."""
-
-    def one(x, y):
-        x, y = np.asarray(x, float), np.asarray(y, float)
-        half = len(y) // 2
-        turned = np.concatenate([y[half:], y[:half]])
-        return float(min(np.sqrt(np.mean((x - y) ** 2)), np.sqrt(np.mean((x - turned) ** 2))))
-
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])

@@ -113,3 +113,30 @@ def uuid5(namespace_hex: str, name: Column) -> Column:
 
 def people_category(n: Column) -> Column:
     return F.when(n == 0, "detail").when(n == 1, "portrait").when(n == 2, "couple").otherwise("group")
+
+
+def unit_dot(a: Column, b: Column, space_a: Column, space_b: Column) -> Column:
+    """Dot product of two unit vectors within -1 and 1; vectors of two spaces are an error."""
+    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return F.when(space_a.eqNullSafe(space_b), F.least(F.greatest(dot, F.lit(-1.0)), F.lit(1.0))).otherwise(F.raise_error(F.lit("two vector spaces")).cast("double"))
+
+
+def joint_angle(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column) -> Column:
+    """Angle at b in degrees; null where an arm has no length."""
+    ux, uy, vx, vy = ax - bx, ay - by, cx - bx, cy - by
+    nu, nv = F.sqrt(ux * ux + uy * uy), F.sqrt(vx * vx + vy * vy)
+    cos = F.greatest(F.least((ux * vx + uy * vy) / (nu * nv), F.lit(1.0)), F.lit(-1.0))
+    return F.when((nu >= 1e-6) & (nv >= 1e-6), F.degrees(F.acos(cos)))
+
+
+def pose_distance(a: Column, b: Column, mirrored_b: Column, least: int = 3, none: float = 999.0) -> Column:
+    """Root mean square of joint angle differences, to the pose or its mirror image, whichever is less.
+
+    Poses are arrays of angles, null where not seen; under ``least`` angles seen in both, nothing can be said (``none``).
+    """
+
+    def rms(x: Column, y: Column) -> Column:
+        square = F.filter(F.zip_with(x, y, lambda p, q: (p - q) * (p - q)), lambda s: s.isNotNull())
+        return F.when(F.size(square) >= least, F.sqrt(F.aggregate(square, F.lit(0.0), lambda s, v: s + v) / F.size(square)))
+
+    return F.coalesce(F.least(rms(a, b), rms(a, mirrored_b)), F.lit(none))

@@ -182,3 +182,23 @@ def suppress(windows: DataFrame, radius: float) -> DataFrame:
         return pdf.iloc[kept]
 
     return windows.groupBy("media_id").applyInPandas(keep, windows.schema)
+
+
+def plan_moments(frames: DataFrame, width: int, hop: int, apart: float, pull: int, score: str = "sharpness") -> DataFrame:
+    """Moments of each media from its frames, end to end, and what was eliminated: media_id, lo, hi, status, score, reasons.
+
+    Frames that are black, shaky or still fall out; runs of the rest are cut into hopping windows, the best windows
+    are kept far enough apart, and their ends are pulled to a shot boundary within ``pull`` frames.  Runs of frames
+    that fell out are listed with all their reasons.
+    """
+    out = elimination(frames)
+    marked = frames.join(out, ["media_id", "frame"])
+    bad = F.size("reasons") > 0
+    best = suppress(covered_aggregate(frames, hopping(runs(marked, ~bad), width, hop), score).filter("mean IS NOT NULL").selectExpr("media_id", "lo", "hi", "mean AS score"), apart)
+    shots = frames.filter("boundary").select(F.col("media_id").alias("m"), F.col("frame").alias("cut"))
+    near = best.join(shots, (F.col("media_id") == F.col("m")) & (F.abs(F.col("cut") - F.col("lo")) <= pull), "left")
+    near = near.groupBy("media_id", "lo", "hi", "score").agg(F.min(F.struct(F.abs(F.col("cut") - F.col("lo")).alias("d"), "cut")).alias("near"))
+    kept = near.select("media_id", F.coalesce(F.when(F.col("near.d").isNotNull(), F.col("near.cut")), F.col("lo")).alias("lo"), "hi", F.lit("kept").alias("status"), F.round("score", 6).alias("score"), F.array().cast("array<string>").alias("reasons"))
+    gone = runs(marked, bad).alias("r").join(marked.alias("f"), (F.col("r.media_id") == F.col("f.media_id")) & (F.col("f.frame") >= F.col("r.lo")) & (F.col("f.frame") < F.col("r.hi")))
+    gone = gone.groupBy(F.col("r.media_id").alias("media_id"), "lo", "hi").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("reasons")))).alias("reasons"))
+    return kept.unionByName(gone.select("media_id", "lo", "hi", F.lit("eliminated").alias("status"), F.lit(None).cast("double").alias("score"), "reasons"))

@@ -240,3 +240,13 @@ def timeline_findings(clips: DataFrame) -> DataFrame:
     rows = clips.withColumn("expected", F.coalesce(F.lag(F.col("start") + F.col("length")).over(w), F.lit(0)))
     found = F.array_compact(F.array(F.when(F.col("start") != F.col("expected"), "gap_or_overlap"), F.when(F.col("offset") + F.col("length") > F.col("available"), "beyond_source")))
     return rows.select("plan", "place", F.explode(found).alias("finding"))
+
+
+def composed_report(placements: DataFrame, rules: dict[str, Column], required: list[str]) -> DataFrame:
+    """One line for each required rule: how often it ran, failed, and whether it passed.  A rule that never ran does not pass.
+
+    All rules are judged in one pass over the placements; a test that is null fails.
+    """
+    counts = placements.agg(F.count("*").alias("ran"), *[F.count_if(~F.coalesce(test, F.lit(False))).alias(f"failed {name}") for name, test in rules.items()])
+    lines = [F.struct(F.lit(name).alias("rule"), (F.col("ran") if name in rules else F.lit(0).cast("long")).alias("ran"), (F.col(f"failed {name}") if name in rules else F.lit(0).cast("long")).alias("failures")) for name in required]
+    return counts.select(F.explode(F.array(*lines)).alias("x")).select("x.*", ((F.col("x.ran") > 0) & (F.col("x.failures") == 0)).alias("passed"))

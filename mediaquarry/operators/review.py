@@ -124,3 +124,19 @@ def decayed_novelty(frames: DataFrame, column: str, decay: float) -> DataFrame:
     rows = frames.select(F.col("media_id").cast("long").alias("media_id"), F.col("frame").cast("long").alias("frame"), F.col(column).cast("double").alias("x"))
     out = rows.repartition("media_id").sortWithinPartitions("media_id", "frame").mapInArrow(run, "media_id long, frame long, novelty double")
     return out.select("media_id", "frame", F.round("novelty", 6).alias("novelty"))
+
+
+def merge_questions(reps: DataFrame, near: DataFrame, apart: DataFrame, threshold: float, window: float) -> DataFrame:
+    """Pairs of clusters that nearly merged: every pair of their representatives lies within the window, the farthest beyond the threshold.
+
+    reps: vec_id, cluster; near: a, b, distance, the pairs within threshold + window, from a similarity join, so no two
+    clusters meet that are not near; apart: pairs said to be different people, whose clusters are not asked about again.
+    """
+    size = reps.groupBy("cluster").agg(F.count("*").alias("n"))
+    of = lambda side: reps.select(F.col("vec_id").alias(side), F.col("cluster").alias(f"c{side}"))
+    said = apart.select("a", "b", F.lit(True).alias("said"))
+    rows = near.join(said, ["a", "b"], "left").join(of("a"), "a").join(of("b"), "b").filter("ca <> cb")
+    rows = rows.groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.max("distance").alias("linkage"), F.count("*").alias("pairs"), F.max("said").alias("said"))
+    rows = rows.join(size.select(F.col("cluster").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("cluster").alias("b"), F.col("n").alias("nb")), "b")
+    asked = rows.filter((F.col("pairs") == F.col("na") * F.col("nb")) & F.col("said").isNull() & (F.col("linkage") > threshold) & (F.col("linkage") <= threshold + window))
+    return asked.select("a", "b", "linkage", F.round(1 - (F.col("linkage") - threshold) / window, 6).alias("proximity"))

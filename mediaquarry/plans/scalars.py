@@ -136,3 +136,42 @@ def vr01(spark, d):
     x = table(spark, d, "lineitem")
     dpi = C.effective_dpi(F.lit(0.8), F.lit(0.9), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_quantity") * 10, F.col("l_quantity") * 8)
     return x.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), dpi.alias("dpi"))
+
+
+UNIT = "list_transform(embedding, lambda e: CAST(e AS DOUBLE) / sqrt(list_dot_product(list_transform(embedding, lambda f: CAST(f AS DOUBLE)), list_transform(embedding, lambda f: CAST(f AS DOUBLE)))))"
+
+
+@query("sc07_unit_dot", f"WITH u AS (SELECT vec_id, {UNIT} AS v FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, round(least(greatest(list_dot_product(a.v, b.v), -1), 1), 6) AS similarity FROM u a JOIN u b ON b.vec_id = a.vec_id - a.vec_id % 2")
+def sc07(spark, d):
+    length = F.sqrt(F.aggregate(F.transform("embedding", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda s, x: s + x))
+    u = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") / length).alias("v"))
+    other = u.toDF("b", "w")
+    rows = u.withColumn("b", F.expr("vec_id - vec_id % 2")).join(other, "b")
+    return rows.select(F.col("vec_id").alias("a"), "b", F.round(C.unit_dot(F.col("v"), F.col("w"), F.lit("face"), F.lit("face")), 6).alias("similarity"))
+
+
+@query(
+    "sc20_joint_angle",
+    """SELECT vec_id, CASE WHEN sqrt(ux * ux + uy * uy) >= 1e-6 AND sqrt(vx * vx + vy * vy) >= 1e-6 THEN round(degrees(acos(greatest(least((ux * vx + uy * vy) / (sqrt(ux * ux + uy * uy) * sqrt(vx * vx + vy * vy)), 1), -1))), 6) END AS angle
+    FROM (SELECT vec_id, e[1] - e[3] AS ux, e[2] - e[4] AS uy, e[5] - e[3] AS vx, e[6] - e[4] AS vy FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(round(x * 4) AS DOUBLE)) AS e FROM embeddings))""",
+)
+def sc20_angle(spark, d):
+    e = lambda i: F.round(F.get("embedding", i) * 4).cast("double")
+    return table(spark, d, "embeddings").select("vec_id", F.round(C.joint_angle(*[e(i) for i in range(6)]), 6).alias("angle"))
+
+
+POSE = "list_transform(embedding[1:8], lambda x: CASE WHEN x > -0.1 THEN 90 + CAST(x AS DOUBLE) * 90 END)"
+
+
+@query(
+    "sc20_pose_distance",
+    f"""WITH p AS (SELECT vec_id, {POSE} AS s FROM embeddings), q AS (SELECT a.vec_id, list_filter(list_transform(list_zip(a.s, b.s), lambda t: (t[1] - t[2]) * (t[1] - t[2])), lambda x: x IS NOT NULL) AS d,
+    list_filter(list_transform(list_zip(a.s, list_concat(b.s[5:8], b.s[1:4])), lambda t: (t[1] - t[2]) * (t[1] - t[2])), lambda x: x IS NOT NULL) AS m FROM p a JOIN p b ON b.vec_id = a.vec_id - a.vec_id % 5)
+    SELECT vec_id, round(coalesce(least(CASE WHEN len(d) >= 3 THEN sqrt(list_sum(d) / len(d)) END, CASE WHEN len(m) >= 3 THEN sqrt(list_sum(m) / len(m)) END), 999), 6) AS distance FROM q""",
+)
+def sc20_distance(spark, d):
+    pose = F.transform(F.slice("embedding", 1, 8), lambda x: F.when(x > F.lit(-0.1).cast("float"), 90 + x.cast("double") * 90))
+    p = table(spark, d, "embeddings").select("vec_id", pose.alias("s"))
+    rows = p.withColumn("o", F.expr("vec_id - vec_id % 5")).join(p.toDF("o", "t"), "o")
+    mirrored = F.concat(F.slice("t", 5, 4), F.slice("t", 1, 4))
+    return rows.select("vec_id", F.round(C.pose_distance(F.col("s"), F.col("t"), mirrored), 6).alias("distance"))

@@ -15,10 +15,6 @@ def docs(spark, d):
     return table(spark, d, "documents").select("doc_id", "text")
 
 
-def lengths(spark, d):
-    return docs(spark, d).select("doc_id", F.size(S.tokens(F.col("text"))).alias("dl"))
-
-
 @query("fts01_assemble", "SELECT page_id, array_to_string(list_filter([url, CASE WHEN page_id % 2 = 0 THEN '' ELSE 'tag' END, ' ', CAST(page_id AS VARCHAR)], lambda x: trim(x) <> ''), ' ') AS body FROM pages")
 def fts01(spark, d):
     body = S.assemble(F.array("url"), F.array(F.when(F.col("page_id") % 2 == 0, "").otherwise("tag"), F.lit(" ")), F.array(F.col("page_id").cast("string")))
@@ -32,7 +28,19 @@ def fts02(spark, d):
 
 @query("fts03_search", f"WITH {BM25} SELECT doc_id, score FROM r WHERE k = 2 ORDER BY score DESC, doc_id LIMIT 50")
 def fts03(spark, d):
-    return S.search(S.postings(docs(spark, d)), lengths(spark, d), TERMS, 50)
+    return S.match(docs(spark, d), " ".join(TERMS), ["text"], 50)
+
+
+BOOLEAN = f"""t AS (SELECT doc_id, {TOK} AS w, regexp_extract_all(lower(source), '[\\p{{L}}\\p{{N}}]+') AS u FROM documents), c AS (SELECT doc_id, len(w) + len(u) AS dl, len(list_filter(list_concat(w, u), lambda x: x = 'idiot')) AS n0, len(list_filter(list_concat(w, u), lambda x: starts_with(x, 'thei'))) AS n1,
+    len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the')) AS n2, len(list_filter(u, lambda x: x = 'src1')) AS n3 FROM t),
+    s AS (SELECT count(*) AS n, avg(dl) AS a, count(*) FILTER (n0 > 0) AS d0, count(*) FILTER (n1 > 0) AS d1, count(*) FILTER (n2 > 0) AS d2, count(*) FILTER (n3 > 0) AS d3 FROM c)"""
+WEIGHED = " + ".join(f"greatest(ln((n - d{i} + 0.5) / (d{i} + 0.5)), 1e-6) * n{i} * 2.2 / (n{i} + 1.2 * (0.25 + 0.75 * dl / a))" for i in range(4))
+
+
+@query("fts03_boolean", f"WITH {BOOLEAN} SELECT doc_id, round({WEIGHED}, 6) AS score FROM c, s WHERE (n0 > 0 OR (n1 > 0 AND NOT n2 > 0) OR n3 > 0) AND doc_id % 7 <> 0 AND doc_id % 11 <> 0 ORDER BY score DESC, doc_id LIMIT 100")
+def fts03_boolean(spark, d):
+    rows = table(spark, d, "documents").selectExpr("doc_id", "text", "source", "doc_id % 7 = 0 AS hidden", "doc_id % 11 = 0 AS excluded")
+    return S.match(rows, 'idiot OR thei* NOT "of the" OR source:src1', ["text", "source"], 100)
 
 
 @query("fts03_phrase", f"SELECT doc_id FROM (SELECT doc_id, {TOK} AS w FROM documents) WHERE array_to_string(w, ' ') = 'of the' OR (' ' || array_to_string(w, ' ') || ' ') LIKE '% of the %'")
@@ -53,6 +61,6 @@ def fts04(spark, d):
 
 @query("jn03_search_with_media", f"WITH {BM25} SELECT r.doc_id, score, lang FROM r JOIN documents d ON d.doc_id = r.doc_id WHERE k = 2 AND source <> 'src0' ORDER BY score DESC, r.doc_id LIMIT 20")
 def jn03(spark, d):
-    hits = S.search(S.postings(docs(spark, d)), lengths(spark, d), TERMS, 1 << 30)
+    hits = S.match(docs(spark, d), " ".join(TERMS), ["text"], 1 << 30)
     meta = table(spark, d, "documents").filter("source <> 'src0'").select("doc_id", "lang")
     return hits.join(meta, "doc_id").orderBy(F.desc("score"), "doc_id").limit(20).select("doc_id", "score", "lang")

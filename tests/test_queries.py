@@ -10,8 +10,11 @@ import duckdb
 import pytest
 
 from mediaquarry import registry
+from mediaquarry.operators import album as album_operators
 from mediaquarry.operators import events as events_operators
 from mediaquarry.operators import frames as frame_operators
+from mediaquarry.operators import search as search_operators
+from mediaquarry.plans import album as album_plan
 from mediaquarry.plans import events as events_plan
 from mediaquarry.plans import frames as frames_plan
 from mediaquarry.plans import planning
@@ -49,7 +52,7 @@ def test_query_equals_sql(spark, sf_dir, sql, name):
     assert table(got.columns, got.collect()) == table(want.columns, want.fetchall())
 
 
-BRUTE_FORCE = {"agg22_platt", "clu01_duplicate_groups", "clu03_shot_groups", "clu05_complete_linkage", "clu09_decision_fold", "clu12_greedy_selection", "clu18_box_suppression", "win04_max_span_split", "win15_suppress", "win32_greedy_labels"}
+BRUTE_FORCE = {"clu12_constrained_selection", "clu19_moment_records", "agg22_platt", "clu01_duplicate_groups", "clu03_shot_groups", "clu05_complete_linkage", "clu09_decision_fold", "clu12_greedy_selection", "clu18_box_suppression", "win04_max_span_split", "win15_suppress", "win32_greedy_labels"}
 
 
 def test_every_query_has_sql_or_a_plain_version():
@@ -230,6 +233,119 @@ def test_platt_fit_minimises_the_loss_over_all_samples(spark, sf_dir, sql):
         assert r["examples"] == len(rows[k]) and all(loss(r["a"] + p, r["b"] + q) >= here for p, q in ((0.02, 0), (-0.02, 0), (0, 0.02), (0, -0.02)))
 
 
+def plain_selection(rows, p):
+    """One event by the definition: pins, people, then the best gain under caps that open one by one."""
+    rows = {r["media_id"]: r for r in rows}
+    people = {i: sorted(set(r["people"] or [])) for i, r in rows.items()}
+    key = {i: {"time": r["time"], "place": r["place"], "moment": r["moment"], "shot": r["shot"], "family": r["family"], "pose": ("none", i) if r["pose"] is None else r["pose"]} for i, r in rows.items()}
+    count, shown, chosen = collections.Counter(), collections.Counter(), []
+    alike = lambda a, b: 0.0 if rows[a]["embedding"] is None or rows[b]["embedding"] is None else round(1 - cosine(rows[a]["embedding"], rows[b]["embedding"]), 9)
+    closest = lambda i: max([0.0, *[alike(i, j) for j, _ in chosen]])
+
+    def gain(i):
+        k = key[i]
+        value = p.quality * rows[i]["score"] + sum(w * 0.5 ** count[c, k[c]] for c, w in (("time", p.time), ("place", p.place), ("moment", p.moment), ("pose", p.pose)))
+        who = people[i] or [None]
+        value += p.person * sum(0.5 ** shown[x] for x in who) / len(who)
+        return round(value - p.redundancy * min(1, max(0, (closest(i) - p.free_similarity) / (p.shot_similarity - p.free_similarity))), 9)
+
+    def take(i, why):
+        chosen.append((i, why))
+        count.update((c, v) for c, v in key[i].items())
+        shown.update(people[i] or [None])
+
+    left = lambda: [i for i in sorted(rows) if i not in {j for j, _ in chosen}]
+    for i in sorted(rows):
+        if rows[i]["pinned"]:
+            take(i, "pinned")
+    while len(chosen) < p.size:
+        new = {i: sum(shown[x] < p.least_per_person for x in people[i]) for i in left()}
+        if not any(new.values()):
+            break
+        take(min(left(), key=lambda i: (-new[i], -gain(i), i)), "person")
+    reserve = min(int(p.size * p.no_people_share), sum(not x for x in people.values()), p.size)
+    shot_cap, family_cap, pose_cap = 1, p.family_cap, p.pose_cap
+    while len(chosen) < p.size:
+        only_empty = reserve - sum(not people[i] for i, _ in chosen) >= p.size - len(chosen)
+        asleep = sum(rows[i]["sleeping"] for i, _ in chosen) >= max(1, int(p.size * p.sleeping_share))
+        fits = [i for i in left() if not rows[i]["dominated"] and all(shown[x] < p.person_cap for x in people[i]) and not (only_empty and people[i]) and not (asleep and rows[i]["sleeping"])]
+        if not fits:
+            break
+        shot = [i for i in fits if count["shot", key[i]["shot"]] < shot_cap]
+        reachable = [i for i in fits if count["pose", key[i]["pose"]] < pose_cap]
+        fresh = [i for i in reachable if i in shot and count["family", key[i]["family"]] < family_cap]
+        if fresh:
+            distinct = [i for i in fresh if closest(i) < p.distinct_similarity]
+            if distinct:
+                take(min(distinct, key=lambda i: (-gain(i), i)), "gain")
+            else:
+                take(min(fresh, key=lambda i: (round(closest(i), 2), -gain(i), i)), "repeat")
+        elif not reachable:
+            pose_cap += 1
+        elif set(reachable) & set(shot):
+            family_cap += 1
+        else:
+            shot_cap += 1
+    return [(i, k, why) for k, (i, why) in enumerate(chosen, 1)]
+
+
+@pytest.mark.parametrize("policy", [album_plan.POLICY, album_operators.Policy(size=30, person_cap=5, distinct_similarity=0.3, free_similarity=0.0, shot_similarity=0.4, sleeping_share=0.05, no_people_share=0.5, family_cap=1)])
+def test_constrained_selection_equals_a_plain_version(spark, sf_dir, policy):
+    rows = album_plan.candidates(spark, sf_dir).filter("event < 12")
+    events = collections.defaultdict(list)
+    for r in rows.collect():
+        events[r["event"]].append(r)
+    want = {(e, *x) for e, items in events.items() for x in plain_selection(items, policy)}
+    got = album_operators.constrained_selection(rows, policy).collect()
+    assert {(r["event"], r["media_id"], r["rank"], r["why"]) for r in got} == want and len(got) == len(want)
+    assert {r["why"] for r in got} >= {"pinned", "person", "gain"}
+
+
+def test_moment_records_equal_a_plain_version(spark, sf_dir):
+    media = collections.defaultdict(dict)
+    for r in frames(spark, sf_dir).collect():
+        media[r["media_id"]][r["frame"]] = r
+    want = set()
+    for m, rows in media.items():
+        why = {f: [n for n, x in (("black", r["luma"] <= 0.02), ("shaky", r["shake"] is not None and r["shake"] >= 0.55), ("still", r["motion"] is not None and r["motion"] <= 0.02)) if x] for f, r in rows.items()}
+        spans = []
+        for bad in (False, True):
+            run = []
+            for f in [*sorted(rows), None]:
+                if run and (f is None or f != run[-1] + 1 or bool(why[f]) != bad):
+                    spans.append((bad, run[0], run[-1] + 1))
+                    run = []
+                if f is not None and bool(why[f]) == bad:
+                    run.append(f)
+        want |= {(m, lo, hi, "eliminated", None, tuple(sorted({x for f in range(lo, hi) for x in why[f]}))) for bad, lo, hi in spans if bad}
+        windows = {(s, s + 4) for bad, lo, hi in spans if not bad and hi - lo >= 4 for s in [*range(lo, hi - 3, 2), hi - 4]}
+        scored = []
+        for lo, hi in windows:
+            x = [rows[f]["sharpness"] for f in range(lo, hi) if rows[f]["sharpness"] is not None]
+            if len(x) >= 2:
+                scored.append((-round(sum(x) / len(x), 6), lo, hi))
+        kept = []
+        for s, lo, hi in sorted(scored):
+            if all(abs((lo + hi) / 2 - c) > 6 for c in kept):
+                kept.append((lo + hi) / 2)
+                cuts = [(abs(f - lo), f) for f, r in rows.items() if r["boundary"] and abs(f - lo) <= 2]
+                want.add((m, min(cuts)[1] if cuts else lo, hi, "kept", -s, ()))
+    got = [(r["media_id"], r["lo"], r["hi"], r["status"], r["score"], tuple(r["reasons"])) for r in registry.queries()["clu19_moment_records"](spark, sf_dir).collect()]
+    assert set(got) == want and {x[3] for x in got} == {"kept", "eliminated"}
+
+
+@pytest.mark.parametrize("text", ["(a", "a OR", "NOT a", "a )", "x:(a b)", "*"])
+def test_searches_that_make_no_sense_are_refused(text):
+    with pytest.raises(ValueError):
+        search_operators.parse(text)
+
+
+def test_search_binds_not_before_and_before_or():
+    word = lambda x, prefix=False, column=None: ("words", x, prefix, column)
+    assert search_operators.parse("  ") is None
+    assert search_operators.parse('a b OR c NOT "d e" AND t:f*') == ("or", ("and", word("a"), word("b")), ("and", ("not", word("c"), word("d e")), word("f", True, "t")))
+
+
 def test_greedy_selection_sees_all_orders(spark, sf_dir, sql):
     rows = sql.sql("SELECT o_custkey % 50, o_orderkey, o_totalprice / 500000, o_orderkey % 5, o_custkey % 7 FROM orders").fetchall()
     want = set()
