@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import crc_mod, dense_counts, lower_table, mix, owners, prefix_hash, runs, space_table, span_hash, staged, text_slices
+from .textkit import binary_runs, crc_mod, dense_counts, edges, lower_table, mix, owners, prefix_hash, runs, space_table, span_hash, staged, text_slices
 
 #: Rows with this remainder of crc32(doc_id) modulo FOLDS are held out.
 FOLDS, HELD_OUT = 7, 2
@@ -22,6 +22,8 @@ CLASSED_COUNT = 10
 CLASSES, HELD_WORDS, SWEEPS, HALF_SWEEPS = 48, 1 << 18, 8, 2
 #: Key of the end of a text.
 END = 1
+#: A packed count of a class beside a symbol.
+CELL = np.dtype([("cell", "u1"), ("c", "<u4")])
 
 
 def held_out():
@@ -269,8 +271,8 @@ def symbol_pairs(stream: DataFrame, label: np.ndarray) -> np.ndarray:
 
 
 def context_counts(stream: DataFrame, of: np.ndarray, chosen: np.ndarray, gathered: int = 4_000_000) -> DataFrame:
-    """symbol and cells (cell, c) of the chosen symbols: how often each class stands before (cell = class) and after
-    (CLASSES + 1 + class) it, and how often it follows itself (the last cell)."""
+    """symbol and cells of the chosen symbols: how often each class stands before (cell = class) and after
+    (CLASSES + 1 + class) it, and how often it follows itself (the last cell).  A task sends one packed row for each symbol."""
     span, end = 2 * (CLASSES + 1) + 1, len(of) - 1
 
     def summed(held):
@@ -278,7 +280,11 @@ def context_counts(stream: DataFrame, of: np.ndarray, chosen: np.ndarray, gather
         return keys, np.bincount(back, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64)
 
     def sent(keys, n):
-        return pa.RecordBatch.from_arrays([pa.array((keys // span).astype(np.int32)), pa.array((keys % span).astype(np.int32)), pa.array(n)], names=["symbol", "cell", "c"])
+        symbol = keys // span
+        own = edges(symbol)
+        cells = np.zeros(len(keys), CELL)
+        cells["cell"], cells["c"] = keys % span, n
+        return pa.RecordBatch.from_arrays([pa.array(symbol[own[:-1]].astype(np.int32)), binary_runs(cells.view(np.uint8).reshape(-1, CELL.itemsize), own)], names=["symbol", "cells"])
 
     def run(batches):
         raw, held = [], []
@@ -298,19 +304,19 @@ def context_counts(stream: DataFrame, of: np.ndarray, chosen: np.ndarray, gather
         if held:
             yield sent(*summed(held))
 
-    rows = stream.mapInArrow(run, "symbol int, cell int, c long").groupBy("symbol", "cell").agg(F.sum("c").alias("c"))
-    return rows.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("cell", "c"))).alias("cells"))
+    return stream.mapInArrow(run, "symbol int, cells binary").groupBy("symbol").agg(F.collect_list("cells").alias("cells"))
 
 
 def context_tables(batch: pa.RecordBatch, rows: int = 256):
     """Yields symbols and their (symbol x cell) tables, a few at a time."""
+    span = 2 * (CLASSES + 1) + 1
     for i in range(0, batch.num_rows, rows):
         part = batch.slice(i, rows)
         lists = part.column(1)
-        flat = lists.flatten()
-        table = np.zeros((part.num_rows, 2 * (CLASSES + 1) + 1))
-        table[np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy()), flat.field("cell").to_numpy()] = flat.field("c").to_numpy()
-        yield part.column(0).to_numpy(), table
+        blobs = lists.flatten().to_pylist()
+        cells = np.frombuffer(b"".join(blobs), CELL)
+        row = np.repeat(np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy()), [len(x) // CELL.itemsize for x in blobs])
+        yield part.column(0).to_numpy(), np.bincount(row * span + cells["cell"], cells["c"], part.num_rows * span).reshape(-1, span)
 
 
 def assign(stream: DataFrame, model: ClassModel, first: int, joint: np.ndarray) -> None:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import doc_sums, edges, map_rows, mix, owners, powers, prefix_hash, runs, shuffle_width, span_hash, staged, text_slices
+from .textkit import binary_runs, doc_sums, edges, map_rows, mix, owners, powers, prefix_hash, runs, shuffle_width, span_hash, staged, text_slices
 
 #: Length of a repeated string in bytes, of a gram, grams in such a string, and bytes of the longest segment.
 SPAN, GRAM = 50, 20
@@ -64,13 +64,6 @@ def segment_hash(p: np.ndarray, s0: np.ndarray, count: np.ndarray, a: np.ndarray
     return span_hash(p, s0, s0 + count + SPAN - 1) ^ mix((count | ((a - s0) << 8)).astype(np.uint64))
 
 
-def binary_runs(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """A binary array whose elements are values[bounds[i]:bounds[i + 1]], without a copy for each."""
-    values = np.ascontiguousarray(values)
-    offsets = (bounds * (values.itemsize if values.ndim == 1 else values.shape[1])).astype(np.int64)
-    return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)]).cast(pa.binary())
-
-
 def joined(column, kind) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_py() or b"" for x in column), kind)
 
