@@ -49,7 +49,10 @@ def labelled(labels: DataFrame, column: str) -> DataFrame:
 
 
 def collect_features(docs: DataFrame, chosen: DataFrame, features: Features) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Features of the chosen rows (doc_id, y), a bounded number, sorted by doc_id and text hash."""
+    """Features of the chosen rows (doc_id, y), a bounded number, sorted by doc_id.
+
+    Of the rows of one doc_id the text with the smallest hash counts, so a repeated id brings one row to the driver.
+    """
 
     def run(batches):
         for batch in batches:
@@ -60,6 +63,7 @@ def collect_features(docs: DataFrame, chosen: DataFrame, features: Features) ->
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), batch.column(1).slice(i, n), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["doc_id", "y", "i", "v"])
 
     picked = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "y")), "doc_id").select("doc_id", "y", "text")
+    picked = picked.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "y", "text")
     rows = picked.mapInArrow(run, "doc_id long, y int, i binary, v binary").toLocalIterator(prefetchPartitions=True)
     out = [(r["doc_id"], r["y"], np.frombuffer(bytes(r["i"]), np.uint32).astype(np.int64), np.frombuffer(bytes(r["v"]), np.float32)) for r in rows]
     return sorted(out, key=lambda r: (r[0], r[1], r[2].tobytes()))

@@ -111,7 +111,7 @@ def classify(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Dat
     """Adds the probability that the text is of good quality, as ``score``, to every row.
 
     Null and empty texts have no features and get the bias's probability.  Without labels all scores are 0.5.
-    Other columns of the tables are not looked at.
+    Other columns of the tables are not looked at.  Repeated rows are scored each.  Empty table: no rows.
     """
     weights, bias = fit(docs, labels, limit)
     return score(docs, weights, bias, features)

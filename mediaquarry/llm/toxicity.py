@@ -159,7 +159,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, positives: int = POSITIVE
     """Adds the probability that the text is toxic, as ``score``, to every row.
 
     Null and empty texts have no features and get the bias's probability, as do all texts where no toxic
-    example is known.
+    example is known.  Repeated rows are scored each.  Empty table: no rows.
     """
     weights, bias = fit(docs, labels, positives, unlabelled)
     return score(docs, weights, bias, scaled_features(weights))

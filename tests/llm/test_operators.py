@@ -88,6 +88,31 @@ def test_classifiers_hold_out_accuracy(spark, name, column, least):
     assert all((zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) == r["held_out"] for r in got)
 
 
+@pytest.mark.parametrize("name,column,recall,precision", [("op1_quality_classifier", "quality", 0.95, 0.95), ("op9_toxicity", "toxic", 0.8, 0.85)])
+def test_classifiers_find_the_held_out_label(spark, name, column, recall, precision):
+    where = "/root/testdata/sf0.1"
+    rows = queries.queries()[name](spark, where).join(spark.read.parquet(f"{where}/labels.parquet"), "doc_id").filter("held_out").select("predicted", column).collect()
+    both = sum(r["predicted"] and r[column] for r in rows)
+    assert both >= recall * sum(r[column] for r in rows) > 20 and both >= precision * sum(r["predicted"] for r in rows)
+
+
+@pytest.mark.parametrize("module,added,fit", [(quality_classifier, quality_classifier.classify, quality_classifier.fit), (toxicity, toxicity.score_toxicity, toxicity.fit)])
+def test_scores_are_sums_of_weights(spark, module, added, fit):
+    docs, known = documents(spark, "/root/testdata/sf0.01").select("doc_id", "text"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    weights, bias = fit(docs, known)
+    got = {r["doc_id"]: r["score"] for r in added(docs, known).collect()}
+    used = 0
+    for k, t in texts.items():
+        raw = np.frombuffer(t.encode(), np.uint8)
+        _, index, value = module.features(raw, np.array([0, len(raw)]))
+        live = [(float(weights[i]), float(v)) for i, v in zip(index.tolist(), value.tolist(), strict=True) if weights[i] != 0]
+        total = sum(w * v for w, v in live) if module is quality_classifier else sum(w for w, _ in live) / math.sqrt(max(1, len(live)))
+        used += bool(live)
+        assert math.isclose(got[k], 1 / (1 + math.exp(-min(40, max(-40, total + bias)))), rel_tol=1e-6)
+    assert used > 10
+
+
 @pytest.mark.parametrize("run", [quality_classifier.classify, toxicity.score_toxicity])
 def test_classifiers_on_awkward_tables(messy, empty, labels, run):
     got = run(messy, labels)
