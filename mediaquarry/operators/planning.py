@@ -250,3 +250,112 @@ def composed_report(placements: DataFrame, rules: dict[str, Column], required: l
     counts = placements.agg(F.count("*").alias("ran"), *[F.count_if(~F.coalesce(test, F.lit(False))).alias(f"failed {name}") for name, test in rules.items()])
     lines = [F.struct(F.lit(name).alias("rule"), (F.col("ran") if name in rules else F.lit(0).cast("long")).alias("ran"), (F.col(f"failed {name}") if name in rules else F.lit(0).cast("long")).alias("failures")) for name in required]
     return counts.select(F.explode(F.array(*lines)).alias("x")).select("x.*", ((F.col("x.ran") > 0) & (F.col("x.failures") == 0)).alias("passed"))
+
+
+def constrained_clusters(faces: DataFrame, links: DataFrame, must: DataFrame, cannot: DataFrame, threshold: float) -> DataFrame:
+    """face_id and cluster (its smallest voting face) of every face with a vote, under pairs that a person decided.
+
+    faces: face_id, track (null: a still), declared, quality, embedding.  One face of a track votes for all of it: the
+    declared one, else that of highest quality, unmeasured last, ties by id; only those with a vector can.  Pairs of
+    ``must`` (a, b) start together, however far apart; pairs of ``cannot`` never meet, unless ``must`` joined them.
+    Then the two clusters whose furthest faces are nearest join, ties by smallest id, up to the threshold.  ``links``
+    are the pairs of faces within the threshold: no cluster crosses a component of links and decided pairs.
+    """
+    votes = Window.partitionBy("track").orderBy(F.desc(F.coalesce("declared", F.lit(False))), F.desc(F.coalesce("quality", F.lit(-1.0))), "face_id")
+    able = faces.filter("embedding IS NOT NULL")
+    first = able.filter("track IS NOT NULL").withColumn("rn", F.row_number().over(votes)).filter("rn = 1").drop("rn")
+    voters = first.unionByName(able.filter("track IS NULL")).select(F.col("face_id").alias("id"), "track", "embedding")
+    voting = lambda pairs: pairs.select("a", "b").join(voters.select(F.col("id").alias("a")), "a", "left_semi").join(voters.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b")
+    kept = voting(must)
+    both = lambda pairs: pairs.select(F.col("a").alias("id"), F.col("b").alias("other")).union(pairs.select("b", "a"))
+    decided = [both(p).groupBy("id").agg(F.sort_array(F.collect_set("other")).alias(n)) for n, p in (("with", kept), ("apart", voting(cannot)))]
+    blocks = components(voting(links).union(kept)).join(voters, "id")
+    for more in decided:
+        blocks = blocks.join(more, "id", "left")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id").reset_index(drop=True)
+        place = {x: i for i, x in enumerate(pdf["id"].tolist())}
+        v = np.stack([np.asarray(x, float) for x in pdf["embedding"]])
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        d = np.round(1 - v @ v.T, 9)
+        for i, others in enumerate(pdf["apart"]):
+            d[i, [place[x] for x in ([] if others is None else others) if x in place]] = np.inf
+        np.fill_diagonal(d, np.inf)
+        of, live = np.arange(len(pdf)), np.ones(len(pdf), bool)
+
+        def join(a: int, b: int) -> None:
+            d[a] = d[:, a] = np.maximum(d[a], d[b])
+            d[b] = d[:, b] = d[a, a] = np.inf
+            of[of == b] = a
+            live[b] = False
+
+        for i, others in enumerate(pdf["with"]):
+            for x in [] if others is None else others:
+                a, b = sorted((of[i], of[place[x]]))
+                if a != b:
+                    join(a, b)
+        while live.sum() > 1:
+            a, b = divmod(int(np.argmin(d)), len(d))
+            if not d[a, b] <= threshold:
+                break
+            join(a, b)
+        return pd.DataFrame({"id": pdf["id"], "cluster": pdf["id"].to_numpy()[of]})
+
+    joined = blocks.groupBy("label").applyInPandas(run, "id long, cluster long")
+    votes_of = voters.select("id", "track").join(joined, "id", "left").select("id", "track", F.coalesce("cluster", "id").alias("cluster"))
+    still = votes_of.filter("track IS NULL").select(F.col("id").alias("face_id"), "cluster")
+    return still.union(faces.filter("track IS NOT NULL").join(votes_of.filter("track IS NOT NULL").select("track", "cluster"), "track").select("face_id", "cluster"))
+
+
+def detect_cuts(frames: DataFrame, high: float, low: float, ratio: float, floor: float, back: float, radius: int, near: int, merge: int, least: int, flash: int) -> DataFrame:
+    """media_id, frame and kind (cut or flash) of the shot bounds of each clip.
+
+    frames: media_id, frame, signature (triples of L*a*b* values, one for each block).  The distance of a frame is the
+    mean over blocks of the Euclidean distance to the frame before.  A peak is at least ``high``, at least ``ratio``
+    times the median within ``radius`` frames (``floor`` at least), above all within ``near`` frames before it and not
+    below those after.  A peak whose picture comes back (within ``back``) in ``flash`` frames is a flash; one under
+    ``least`` frames after the last cut is none; frames over ``low`` within ``merge`` frames of a cut belong to it.
+    The frames of a clip go to one task.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("frame")
+        sig = np.stack(pdf["signature"].to_numpy()).astype(float).reshape(len(pdf), -1, 3)
+        away = lambda i, js: np.sqrt(((sig[js] - sig[i]) ** 2).sum(2)).mean(1)
+        n, out = len(pdf), []
+        d = np.zeros(n)
+        d[1:] = np.sqrt(((sig[1:] - sig[:-1]) ** 2).sum(2)).mean(1)
+
+        def peak(i: int) -> bool:
+            around = np.delete(d[max(1, i - radius) : i + radius + 1], min(i - 1, radius))
+            mid = float(np.median(around)) if len(around) else 0.0
+            return d[i] >= ratio * max(mid, floor) and bool((d[max(1, i - near) : i] < d[i]).all()) and bool((d[i + 1 : i + near + 1] <= d[i]).all())
+
+        def returned(i: int) -> tuple[int, int] | None:
+            """Where the picture before a transient is back, and where the transient began: at the peak, or before it."""
+            starts = [(i, i + 1)] + [(s, i) for s in range(i - 1, max(0, i - flash - 1), -1)]
+            for start, first in starts:
+                later = np.arange(first, min(n, start + flash + 1))
+                settled = later[away(start - 1, later) <= back] if len(later) else later
+                if len(settled):
+                    return int(settled[0]), start
+            return None
+
+        free, last = 0, None
+        for i in (np.flatnonzero(d[1:] >= high) + 1).tolist():
+            if i < free or not peak(i):
+                continue
+            settled = returned(i)
+            if settled is not None:
+                out.append((settled[1], "flash"))
+                free = settled[0] + 1
+            elif last is None or i - last >= least:
+                out.append((i, "cut"))
+                last = i
+                tail = np.flatnonzero(d[i + 1 : i + merge + 1] >= low)
+                free = i + 2 + int(tail[-1]) if len(tail) else i + 1
+        at = pdf["frame"].to_numpy()
+        return pd.DataFrame({"media_id": pdf["media_id"].iat[0], "frame": [int(at[i]) for i, _ in out], "kind": [k for _, k in out]})
+
+    return frames.groupBy("media_id").applyInPandas(run, "media_id long, frame long, kind string")

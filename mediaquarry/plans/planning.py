@@ -37,6 +37,22 @@ def clu05(spark, d):
     return P.complete_linkage(v, V.pairs_within(v, 0.75, "label"), 0.75)
 
 
+def faces(spark, d):
+    """Vectors as faces, some on tracks, some without a vector, with pairs that a person joined or parted."""
+    rows = table(spark, d, "embeddings").selectExpr(
+        "vec_id AS face_id", "label", "CASE WHEN vec_id % 4 = 0 THEN vec_id div 12 END AS track", "vec_id % 36 = 4 AS declared",
+        "CASE WHEN vec_id % 5 <> 0 THEN (vec_id % 13) / 13 END AS quality", "CASE WHEN vec_id % 17 <> 3 THEN embedding END AS embedding",
+    )
+    must = rows.filter("vec_id % 19 = 1".replace("vec_id", "face_id")).selectExpr("face_id AS a", "face_id + 1 AS b")
+    near = V.pairs_within(table(spark, d, "embeddings"), 0.75, "label")
+    return rows.drop("label"), near, must, near.filter("(a + b) % 5 = 0")
+
+
+@query("clu05_constrained_clusters")
+def clu05_constrained(spark, d):
+    return P.constrained_clusters(*faces(spark, d), 0.75)
+
+
 @query("clu12_greedy_selection")
 def clu12(spark, d):
     rows = table(spark, d, "orders").selectExpr("o_custkey % 50 AS event", "o_orderkey AS media_id", "o_totalprice / 500000 AS score", "o_orderkey % 5 AS place", "o_custkey % 7 AS person")
@@ -122,6 +138,22 @@ def win21(spark, d):
     return P.classical_cuts(frames(spark, d), "luma", 0.5, 1.5, 0.1, 4)
 
 
+def signatures(spark, d):
+    """Two blocks of a picture for each frame: scenes that change now and then, with flashes, ringing and noise."""
+    scene = "CAST(frame div 9 + media_id AS INT)"
+    white = "CASE WHEN (frame + media_id) % 31 = 3 OR (frame + media_id) % 47 IN (5, 6) THEN 60.0D WHEN (frame + media_id) % 31 = 4 THEN 5.0D ELSE 0.0D END"
+    parts = [f"CAST({scene} * {k} % 23 AS DOUBLE) + {white} + luma * {k} / 4" for k in (3, 5, 7, 2, 11, 13)]
+    return frames(spark, d).selectExpr("media_id", "frame", f"array({', '.join(parts)}) AS signature")
+
+
+CUTS = dict(high=8.0, low=5.0, ratio=3.0, floor=1.0, back=6.0, radius=5, near=1, merge=1, least=2, flash=2)
+
+
+@query("win21_detect_cuts")
+def win21_detect(spark, d):
+    return P.detect_cuts(signatures(spark, d), **CUTS)
+
+
 BOX = ("l_orderkey * 10 + l_linenumber AS id", "l_discount * 9 AS x", "l_tax * 10 AS y", "l_quantity / 200 AS w", "l_quantity / 100 AS h")
 
 

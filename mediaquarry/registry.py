@@ -10,7 +10,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLE: dict[str, str] = {}
 #: Operator modules that register queries when imported.
-MODULES: tuple[str, ...] = tuple(f"mediaquarry.plans.{m}" for m in ("listing", "vectors", "search", "store", "scalars", "fusion", "events", "frames", "selection", "planning", "records", "review", "album"))
+MODULES: tuple[str, ...] = tuple(f"mediaquarry.plans.{m}" for m in ("listing", "vectors", "search", "store", "scalars", "fusion", "events", "frames", "selection", "planning", "records", "review", "album", "verify"))
 
 
 def query(name: str, sql: str | None = None):

@@ -13,6 +13,7 @@ from mediaquarry import registry
 from mediaquarry.operators import album as album_operators
 from mediaquarry.operators import events as events_operators
 from mediaquarry.operators import frames as frame_operators
+from mediaquarry.operators import planning as planning_operators
 from mediaquarry.operators import search as search_operators
 from mediaquarry.plans import album as album_plan
 from mediaquarry.plans import events as events_plan
@@ -52,7 +53,7 @@ def test_query_equals_sql(spark, sf_dir, sql, name):
     assert table(got.columns, got.collect()) == table(want.columns, want.fetchall())
 
 
-BRUTE_FORCE = {"clu12_constrained_selection", "clu19_moment_records", "agg22_platt", "clu01_duplicate_groups", "clu03_shot_groups", "clu05_complete_linkage", "clu09_decision_fold", "clu12_greedy_selection", "clu18_box_suppression", "win04_max_span_split", "win15_suppress", "win32_greedy_labels"}
+BRUTE_FORCE = {"clu05_constrained_clusters", "win21_detect_cuts", "clu12_constrained_selection", "clu19_moment_records", "agg22_platt", "clu01_duplicate_groups", "clu03_shot_groups", "clu05_complete_linkage", "clu09_decision_fold", "clu12_greedy_selection", "clu18_box_suppression", "win04_max_span_split", "win15_suppress", "win32_greedy_labels"}
 
 
 def test_every_query_has_sql_or_a_plain_version():
@@ -370,3 +371,81 @@ def test_listing_pushes_filters_to_the_scan(spark, sf_dir):
     plan = read(spark, sf_dir, "orders").filter("o_orderkey = 7").select("o_orderkey")
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(o_orderkey,7)" in text and "o_totalprice" not in text
+
+
+def test_constrained_clusters_equal_a_plain_version(spark, sf_dir):
+    rows, links, must, cannot = (x.collect() for x in planning.faces(spark, sf_dir))
+    vector = {r["face_id"]: r["embedding"] for r in rows if r["embedding"] is not None}
+    tracks = collections.defaultdict(list)
+    for r in rows:
+        if r["track"] is not None and r["face_id"] in vector:
+            tracks[r["track"]].append(r)
+    votes = {t: min(m, key=lambda r: (not r["declared"], -(r["quality"] if r["quality"] is not None else -1), r["face_id"]))["face_id"] for t, m in tracks.items()}
+    voters = sorted([r["face_id"] for r in rows if r["track"] is None and r["face_id"] in vector] + list(votes.values()))
+    together = [(r["a"], r["b"]) for r in must if r["a"] in voters and r["b"] in voters]
+    apart = {(r["a"], r["b"]) for r in cannot}
+    far = {(a, b): round(cosine(vector[a], vector[b]), 9) for a in voters for b in voters if a < b}
+    of = plain_components([(r["a"], r["b"]) for r in links if r["a"] in voters and r["b"] in voters] + together)
+    seeds = plain_components(together)
+    want = {x: x for x in voters}
+    for block in set(of.values()):
+        clusters = collections.defaultdict(list)
+        for x in sorted(x for x in of if of[x] == block):
+            clusters[seeds.get(x, x)].append(x)
+        while True:
+            options = []
+            for a in clusters:
+                for b in clusters:
+                    pairs = [(min(x, y), max(x, y)) for x in clusters[a] for y in clusters[b]]
+                    if a < b and not any(p in apart for p in pairs):
+                        options.append((max(far[p] for p in pairs), a, b))
+            if not options or min(options)[0] > 0.75:
+                break
+            _, a, b = min(options)
+            clusters[a] += clusters.pop(b)
+        want |= {x: c for c, members in clusters.items() for x in members}
+    for r in rows:
+        if r["track"] in votes:
+            want[r["face_id"]] = want[votes[r["track"]]]
+    got = registry.queries()["clu05_constrained_clusters"](spark, sf_dir).collect()
+    assert {r["face_id"]: r["cluster"] for r in got} == want and len(got) == len(want) > len(set(want.values())) > 5
+    assert together and any(want[a] == want[b] and far[a, b] > 0.75 for a, b in together if (a, b) in far)
+
+
+def plain_cuts(sig, p):
+    """Frame by frame: every frame is asked in turn whether it starts a shot."""
+    far = lambda i, j: sum(math.dist(sig[i][k : k + 3], sig[j][k : k + 3]) for k in range(0, len(sig[i]), 3)) / (len(sig[i]) // 3)
+    d = [0.0] + [far(i - 1, i) for i in range(1, len(sig))]
+    free, cuts, out = 0, [], []
+    for i in range(1, len(sig)):
+        others = sorted(d[j] for j in range(1, len(sig)) if 0 < abs(j - i) <= p["radius"])
+        half = len(others) // 2
+        mid = 0.0 if not others else others[half] if len(others) % 2 else (others[half - 1] + others[half]) / 2
+        close = [(j, d[j]) for j in range(1, len(sig)) if 0 < abs(j - i) <= p["near"]]
+        if i < free or d[i] < p["high"] or d[i] < p["ratio"] * max(mid, p["floor"]) or any(x >= d[i] if j < i else x > d[i] for j, x in close):
+            continue
+        # the transient may begin at the peak, or the peak may be its end
+        spans = [(j, i) for j in range(i + 1, len(sig)) if j <= i + p["flash"] and far(i - 1, j) <= p["back"]]
+        for start in range(i - 1, 0, -1):
+            if start >= i - p["flash"]:
+                spans += [(j, start) for j in range(i, len(sig)) if j <= start + p["flash"] and far(start - 1, j) <= p["back"]]
+        if spans:
+            out.append((spans[0][1], "flash"))
+            free = spans[0][0] + 1
+        elif not cuts or i - cuts[-1] >= p["least"]:
+            cuts.append(i)
+            out.append((i, "cut"))
+            free = max([i + 1] + [j + 1 for j in range(i + 1, len(sig)) if j <= i + p["merge"] and d[j] >= p["low"]])
+    return out
+
+
+@pytest.mark.parametrize("change", [{}, {"near": 3, "merge": 4, "least": 6, "flash": 4}, {"ratio": 1.0, "near": 2, "radius": 2, "back": 2.0}])
+def test_detected_cuts_equal_a_plain_version(spark, sf_dir, change):
+    clips = collections.defaultdict(dict)
+    rows = planning.signatures(spark, sf_dir)
+    for r in rows.collect():
+        clips[r["media_id"]][r["frame"]] = r["signature"]
+    p = planning.CUTS | change
+    want = {(m, i, kind) for m, f in clips.items() for i, kind in plain_cuts([f[k] for k in sorted(f)], p)}
+    got = [tuple(r) for r in planning_operators.detect_cuts(rows, **p).collect()]
+    assert set(got) == want and len(got) == len(want) and {k for _, _, k in want} == {"cut", "flash"}
