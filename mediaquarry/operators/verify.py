@@ -187,3 +187,122 @@ def selection_constraints(survivors: DataFrame, size: int, cap: int, share: floa
         line("min_hero_quality", F.col("best"), F.lit(hero), F.col("best") >= hero),
     )
     return rows.select("album", "uncovered", short.cast("long").alias("short_by"), F.explode(lines).alias("x")).select("album", "x.*", "uncovered", "short_by")
+
+
+def plan_checks(plans: DataFrame, items: DataFrame, sources: DataFrame, beats: DataFrame, cues: DataFrame, claims: DataFrame, music: DataFrame, tolerance_ms: float) -> DataFrame:
+    """plan, name, severity, failures and passed of each check of a reel or film; a check without subject has no row.
+
+    plans: plan, film, most (frames, null: any), lufs, wanted_lufs (null: any), digest.  items: plan, place, kind (clip,
+    gap or transition), source, start, length, offset, tail, out_offset, in_offset, lock_error_ms (null: not locked),
+    words (null: none heard; else how many hold an edge of the clip).  sources: source, lo, hi.  beats: plan, required,
+    clips.  cues: plan, cue, source, cleared.  claims: plan, cue, clip.  music: plan, clip, source.
+    """
+    order = Window.partitionBy("plan").orderBy("place")
+    past = order.rowsBetween(Window.unboundedPreceding, -1)
+    clip, step = F.col("kind") == "clip", F.col("kind") == "transition"
+    end = F.col("offset") + F.col("length")
+    rows = items.join(sources, "source", "left").withColumn("gaps", F.coalesce(F.sum(F.when(F.col("kind") == "gap", F.col("length"))).over(past), F.lit(0)))
+    rows = rows.withColumn("cursor", F.coalesce(F.last(F.when(clip, F.col("start") + F.col("length") - F.col("gaps")), True).over(past), F.lit(0)) + F.col("gaps"))
+    beside = lambda f: f(F.struct(clip.alias("clip"), (F.col("hi") - end).alias("after"), (F.col("offset") - F.col("lo")).alias("before"))).over(order)
+    rows = rows.withColumn("out", beside(F.lag)).withColumn("into", beside(F.lead))
+    between = F.coalesce(F.col("out.clip") & F.col("into.clip") & F.col("out.after").isNotNull() & F.col("into.before").isNotNull(), F.lit(False))
+    handles = F.when(~between, 1).otherwise((F.col("out_offset") > F.col("out.after")).cast("int") + (F.col("in_offset") > F.col("into.before")).cast("int"))
+    sums = rows.groupBy("plan").agg(
+        F.count_if(clip & F.col("hi").isNull()).alias("unknown"),
+        F.count_if(clip & ((F.col("offset") < F.col("lo")) | (end + F.coalesce("tail", F.lit(0)) > F.col("hi")))).alias("escapes"),
+        F.count_if(clip & (F.col("start") != F.col("cursor"))).alias("moved"),
+        F.count_if(step).alias("steps"),
+        F.sum(F.when(step, handles).otherwise(0)).alias("handles"),
+        F.count(F.when(clip, F.col("lock_error_ms"))).alias("locks"),
+        F.count_if(clip & (F.abs("lock_error_ms") > tolerance_ms)).alias("off_beat"),
+        F.count(F.when(clip, F.col("words"))).alias("heard"),
+        F.sum(F.when(clip, F.col("words")).otherwise(0)).alias("in_word"),
+        F.max(F.when(clip, F.col("start") + F.col("length")).otherwise(0)).alias("frames"),
+    )
+    open_beats = beats.groupBy("plan").agg(F.count_if(F.col("required") & (F.coalesce("clips", F.lit(0)) == 0)).alias("open_beats"))
+    claimed = claims.join(cues.withColumnRenamed("source", "licensed"), ["plan", "cue"]).groupBy("plan", "clip").agg(F.count("*").alias("n"), F.collect_set("licensed").alias("licensed"))
+    met = music.join(claimed, ["plan", "clip"], "full")
+    misplaced = met.groupBy("plan").agg(F.count_if(F.col("n").isNull() | F.col("source").isNull() | (F.col("n") > 1) | ~F.array_contains("licensed", F.col("source"))).alias("misplaced"))
+    idle = cues.join(claims.select("plan", "cue").distinct().withColumn("used", F.lit(True)), ["plan", "cue"], "left")
+    idle = idle.groupBy("plan").agg(F.count("*").alias("cues"), F.count_if(~F.coalesce("cleared", F.lit(False))).alias("uncleared"), F.count_if(F.col("used").isNull()).alias("idle"))
+    out = plans
+    for more in (sums, open_beats, misplaced, idle):
+        out = out.join(more, "plan", "left")
+    out = out.na.fill(0, [c for c in out.columns if c not in plans.columns])
+    film, one = F.coalesce("film", F.lit(False)), lambda bad: F.coalesce(bad, F.lit(False)).cast("long")
+    check = lambda name, failures, applies=F.lit(True), severity="error": F.when(applies, F.struct(F.lit(name).alias("name"), F.lit(severity).alias("severity"), failures.cast("long").alias("failures")))
+    checks = F.array_compact(F.array(
+        check("references", F.col("unknown")),
+        check("source_range", F.col("escapes")),
+        check("contiguous", F.col("moved")),
+        check("handles", F.col("handles"), F.col("steps") > 0),
+        check("beat_tolerance", F.col("off_beat"), ~film & (F.col("locks") > 0)),
+        check("mid_word", F.col("in_word"), F.col("heard") > 0, "warning"),
+        check("max_duration", one(F.col("frames") > F.col("most")), F.col("most").isNotNull()),
+        check("licence", F.col("uncleared"), F.col("cues") > 0),
+        check("cues_placed_once", F.col("misplaced") + F.col("idle"), film & (F.col("cues") > 0)),
+        check("story_beats", F.col("open_beats")),
+        check("loudness", one(F.col("wanted_lufs").isNotNull() & ~F.col("lufs").eqNullSafe(F.col("wanted_lufs"))), severity="warning"),
+        check("digest", one(~F.coalesce(F.col("digest").rlike("^[0-9a-f]{64}$"), F.lit(False)))),
+    ))
+    return out.select("plan", F.explode(checks).alias("x")).select("plan", "x.*", (F.col("x.failures") == 0).alias("passed"))
+
+
+def plan_status(checks: DataFrame) -> DataFrame:
+    """fail where an error check failed, warn where only a warning did, else pass."""
+    lost = checks.groupBy("plan").agg(F.count_if(~F.col("passed") & (F.col("severity") == "error")).alias("errors"), F.count_if(~F.col("passed")).alias("all"))
+    return lost.select("plan", F.when(F.col("errors") > 0, "fail").when(F.col("all") > 0, "warn").otherwise("pass").alias("status"))
+
+
+def clearance_problems(manifests: DataFrame, items: DataFrame) -> DataFrame:
+    """pub, problem: what disagrees within a clearance record itself.
+
+    manifests: pub, sink, load_mode, decided (struct of items, cleared, blocked, indeterminate, publish).  items: pub,
+    media_id, verdict, overridden.
+    """
+    of = lambda v: F.count_if(F.col("verdict") == v)
+    unresolved = (F.col("verdict") == "indeterminate") | ((F.col("verdict") == "blocked") & ~F.col("overridden"))
+    sums = items.groupBy("pub").agg(F.count("*").alias("n"), F.count_distinct("media_id").alias("different"), of("cleared").alias("n_cleared"), of("blocked").alias("n_blocked"), of("indeterminate").alias("n_indeterminate"), F.count_if(unresolved).alias("unresolved"))
+    rows = manifests.join(sums, "pub", "left").na.fill(0, [c for c in sums.columns if c != "pub"])
+    told, out = F.col("decided"), F.col("decided.publish")
+    found = F.array_compact(F.array(
+        F.when(told["items"] != F.col("n"), "item_count"),
+        *[F.when(told[v] != F.col(f"n_{v}"), f"{v}_count") for v in ("cleared", "blocked", "indeterminate")],
+        F.when(F.col("different") < F.col("n"), "duplicate_media"),
+        F.when(out & (F.col("unresolved") > 0), "cleared_while_unresolved"),
+        F.when(~out & (F.col("unresolved") == 0), "denied_without_cause"),
+        F.when(out & (F.col("load_mode") == "development") & F.col("sink").isin("print", "share", "frontier_egress"), "development_cleared"),
+    ))
+    return rows.select("pub", F.explode(found).alias("problem"))
+
+
+def preference_problems(events: DataFrame, alternatives: DataFrame) -> DataFrame:
+    """event, problem: cross-field rules of a recorded preference.
+
+    events: event, subject, kind, pixels, shareable, consent, local_ids (null: unknown, so held), anonymised, people,
+    instruction, features, crop_before, crop_after, n_dense (null: none), n_named.  alternatives: event, subject,
+    chosen, rank, features.
+    """
+    picked = F.when(F.col("chosen"), F.col("subject"))
+    sums = alternatives.groupBy("event").agg(
+        F.count("*").alias("n"), F.count(picked).alias("n_chosen"), F.min(picked).alias("picked"), (F.count("rank") > F.count_distinct("rank")).alias("same_rank"),
+        F.collect_set("features").alias("spaces"),
+    )
+    rows = events.join(sums, "event", "left")
+    shared, n = F.coalesce("shareable", F.lit(False)), F.coalesce("n", F.lit(0))
+    found = F.array_compact(F.array(
+        F.when(F.col("pixels"), "pixels"),
+        F.when(shared & F.col("consent").isNull(), "no_consent"),
+        F.when(shared & F.coalesce("local_ids", F.lit(True)), "local_identifiers"),
+        F.when(shared & (F.coalesce("anonymised", F.lit("")) == ""), "not_anonymised"),
+        F.when(shared & (F.coalesce("people", F.lit(0)) > 0), "names_people"),
+        F.when(shared & (F.coalesce("instruction", F.lit("")) != ""), "free_text"),
+        F.when((n > 0) & (F.col("n_chosen") != 1), "not_one_chosen"),
+        F.when((F.col("n_chosen") == 1) & (F.col("picked") != F.col("subject")), "chosen_is_not_subject"),
+        F.when(F.col("same_rank"), "shared_rank"),
+        F.when(F.size(F.array_except("spaces", F.array("features"))) > 0, "other_feature_set"),
+        F.when((F.col("kind") == "variant_picked") & (n == 0), "no_alternatives"),
+        F.when((F.col("kind") == "recropped") & (F.col("crop_before").isNull() | F.col("crop_after").isNull()), "no_crop"),
+        F.when(F.col("n_dense") != F.col("n_named"), "dense_length"),
+    ))
+    return rows.select("event", F.explode(found).alias("problem"))

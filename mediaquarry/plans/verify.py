@@ -114,3 +114,75 @@ SURVIVORS, SURVIVORS_SQL = both(
 def agg10_constraints(spark, d):
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey").distinct()
     return Y.selection_constraints(spark.sql(SURVIVORS.format(t="{x}"), x=orders), 4, 2, 0.25, 0.98)
+
+
+PLANS, PLANS_SQL = both("SELECT o_orderkey AS plan, o_custkey % 2 = 0 AS film, CASE WHEN o_custkey % 5 <> 0 THEN 48 END AS most, -14 AS lufs, CASE WHEN o_custkey % 7 = 0 THEN -16 WHEN o_custkey % 3 = 0 THEN -14 END AS wanted_lufs, CASE WHEN o_custkey % 31 = 1 THEN 'x' ELSE sha2(CAST(o_orderkey AS STRING), 256) END AS digest FROM {t}")
+DENSE = "SELECT pub, CAST(row_number() OVER (PARTITION BY pub ORDER BY place) AS INTEGER) AS place, k, s FROM {t}"
+STEPS = """SELECT pub AS plan, place, CASE WHEN place = 3 AND pub % 3 = 0 THEN 'transition' WHEN place = 2 AND pub % 5 = 1 THEN 'gap' ELSE 'clip' END AS kind, CASE WHEN NOT (place = 3 AND pub % 3 = 0) THEN k END AS source,
+    CASE WHEN place > 3 AND pub % 3 = 0 THEN 10 * (place - 2) ELSE 10 * (place - 1) END AS start, CASE WHEN s % 29 = 5 THEN 9 ELSE 10 END AS length, k % 23 AS "offset", CASE WHEN s % 19 = 2 THEN 8 END AS tail, k % 9 AS out_offset, s % 5 AS in_offset,
+    CASE WHEN k % 3 = 1 THEN (s % 13 - 6) * 9.5 END AS lock_error_ms, CASE WHEN pub % 2 = 0 THEN CASE WHEN k % 61 = 1 THEN 1 ELSE 0 END END AS words FROM {t}"""
+SOURCES = "SELECT p_partkey AS source, CASE WHEN p_partkey % 17 = 0 THEN 3 ELSE 0 END AS lo, 30 + p_size AS hi FROM {t} WHERE p_partkey % 53 <> 0"
+ARC = "SELECT pub AS plan, s % 2 = 0 AS required, CASE WHEN k % 67 = 1 THEN 0 ELSE 1 END AS clips FROM {t}"
+CUES = "SELECT pub AS plan, place - 4 AS cue, k % 50 AS source, k % 47 <> 3 AS cleared FROM {t} WHERE place IN (5, 6)"
+CLAIMS = "SELECT pub AS plan, CASE WHEN k % 43 = 5 AND place = 6 THEN 1 ELSE place - 4 END AS cue, CASE WHEN k % 59 = 4 THEN place - 1 ELSE place END AS clip FROM {t} WHERE place IN (5, 6) AND k % 53 <> 2"
+MUSIC = "SELECT pub AS plan, place AS clip, CASE WHEN s % 41 = 1 THEN 99 ELSE k % 50 END AS source FROM {t} WHERE place IN (5, 6)"
+CHECKS_SQL = f"""WITH l0 AS ({LINES.format(t='lineitem')}), l AS ({DENSE.format(t='l0')}), p AS ({PLANS_SQL.format(t='orders')}), i AS (SELECT x.*, lo, hi FROM ({STEPS.format(t='l')}) x LEFT JOIN ({SOURCES.format(t='part')}) y ON y.source = x.source), q AS ({CUES.format(t='l')}), w AS ({CLAIMS.format(t='l')}), u AS ({MUSIC.format(t='l')}),
+    g AS (SELECT *, coalesce(sum(CASE WHEN kind = 'gap' THEN length END) OVER (PARTITION BY plan ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gaps FROM i),
+    c AS (SELECT *, coalesce(last_value(CASE WHEN kind = 'clip' THEN start + length - gaps END IGNORE NULLS) OVER (PARTITION BY plan ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + gaps AS cursor FROM g),
+    t AS (SELECT t.plan, CASE WHEN coalesce(a.kind = 'clip' AND b.kind = 'clip' AND a.hi IS NOT NULL AND b.hi IS NOT NULL, false) THEN CAST(a."offset" + a.length + t.out_offset > a.hi AS INTEGER) + CAST(b."offset" - t.in_offset < b.lo AS INTEGER) ELSE 1 END AS bad FROM i t LEFT JOIN i a ON a.plan = t.plan AND a.place = t.place - 1 LEFT JOIN i b ON b.plan = t.plan AND b.place = t.place + 1 WHERE t.kind = 'transition'),
+    s AS (SELECT plan, count(*) FILTER (WHERE hi IS NULL) AS unknown, count(*) FILTER (WHERE "offset" < lo OR "offset" + length + coalesce(tail, 0) > hi) AS escapes, count(*) FILTER (WHERE start <> cursor) AS moved, count(lock_error_ms) AS locks, count(*) FILTER (WHERE abs(lock_error_ms) > 50) AS off_beat, count(words) AS heard, sum(coalesce(words, 0)) AS in_word, max(start + length) AS frames FROM c WHERE kind = 'clip' GROUP BY plan),
+    m AS (SELECT coalesce(u.plan, k.plan) AS plan, count(*) AS n FROM u FULL JOIN (SELECT w.plan, w.clip, count(*) AS n, list(q.source) AS licensed FROM w JOIN q ON q.plan = w.plan AND q.cue = w.cue GROUP BY 1, 2) k ON k.plan = u.plan AND k.clip = u.clip WHERE k.n IS NULL OR u.source IS NULL OR k.n > 1 OR NOT list_contains(licensed, u.source) GROUP BY 1),
+    z AS (SELECT p.*, s.* EXCLUDE (plan), (SELECT count(*) FROM t WHERE t.plan = p.plan) AS steps, (SELECT sum(bad) FROM t WHERE t.plan = p.plan) AS handles, (SELECT count(*) FROM q WHERE q.plan = p.plan) AS cues, (SELECT count(*) FROM q WHERE q.plan = p.plan AND NOT cleared) AS uncleared,
+        (SELECT count(*) FROM q WHERE q.plan = p.plan AND NOT EXISTS (SELECT 1 FROM w WHERE w.plan = q.plan AND w.cue = q.cue)) AS idle, coalesce(m.n, 0) AS misplaced, (SELECT count(*) FROM ({ARC.format(t='l')}) a WHERE a.plan = p.plan AND required AND clips = 0) AS open_beats FROM p LEFT JOIN s ON s.plan = p.plan LEFT JOIN m ON m.plan = p.plan),
+    f AS (SELECT plan, 'references' AS name, 'error' AS severity, coalesce(unknown, 0) AS failures FROM z UNION ALL SELECT plan, 'source_range', 'error', coalesce(escapes, 0) FROM z UNION ALL SELECT plan, 'contiguous', 'error', coalesce(moved, 0) FROM z UNION ALL SELECT plan, 'handles', 'error', handles FROM z WHERE steps > 0
+        UNION ALL SELECT plan, 'beat_tolerance', 'error', off_beat FROM z WHERE NOT film AND locks > 0 UNION ALL SELECT plan, 'mid_word', 'warning', in_word FROM z WHERE heard > 0 UNION ALL SELECT plan, 'max_duration', 'error', CAST(coalesce(frames, 0) > most AS INTEGER) FROM z WHERE most IS NOT NULL
+        UNION ALL SELECT plan, 'licence', 'error', uncleared FROM z WHERE cues > 0 UNION ALL SELECT plan, 'cues_placed_once', 'error', misplaced + idle FROM z WHERE film AND cues > 0 UNION ALL SELECT plan, 'story_beats', 'error', open_beats FROM z
+        UNION ALL SELECT plan, 'loudness', 'warning', CAST(coalesce(lufs <> wanted_lufs, false) AS INTEGER) FROM z UNION ALL SELECT plan, 'digest', 'error', CAST(length(digest) <> 64 AS INTEGER) FROM z)"""
+
+
+def checks(spark, d):
+    lines = spark.sql(LINES.format(t="{x}"), x=table(spark, d, "lineitem"))
+    lines = spark.sql(DENSE.format(t="{x}"), x=lines)
+    of = lambda text, rows: spark.sql(text.replace('"', "`").format(t="{x}"), x=rows)
+    parts = [of(PLANS, table(spark, d, "orders")), of(STEPS, lines), of(SOURCES, table(spark, d, "part")), *[of(x, lines) for x in (ARC, CUES, CLAIMS, MUSIC)]]
+    return Y.plan_checks(*parts, 50.0)
+
+
+@query("vr09_plan_checks", f"{CHECKS_SQL} SELECT plan, name, severity, CAST(failures AS BIGINT) AS failures, failures = 0 AS passed FROM f")
+def vr09(spark, d):
+    return checks(spark, d)
+
+
+@query("vr08_plan_status", f"{CHECKS_SQL} SELECT plan, CASE WHEN count(*) FILTER (WHERE failures > 0 AND severity = 'error') > 0 THEN 'fail' WHEN count(*) FILTER (WHERE failures > 0) > 0 THEN 'warn' ELSE 'pass' END AS status FROM f GROUP BY plan")
+def vr08_status(spark, d):
+    return Y.plan_status(checks(spark, d))
+
+
+@query(
+    "vr15_clearance_problems",
+    f"""WITH l AS ({LINES.format(t='lineitem')}), i AS ({ITEMS_SQL.format(t='l')}), m AS ({MANIFESTS_SQL.format(t='orders')}), c AS (SELECT pub, count(*) AS n, count(DISTINCT media_id) AS different, count(*) FILTER (WHERE verdict = 'cleared') AS a, count(*) FILTER (WHERE verdict = 'blocked') AS b, count(*) FILTER (WHERE verdict = 'indeterminate') AS x,
+    count(*) FILTER (WHERE verdict = 'indeterminate' OR verdict = 'blocked' AND scope IS NULL) AS u FROM i GROUP BY pub), j AS (SELECT m.pub, sink, load_mode, wrong, told, coalesce(n, 0) AS n, coalesce(different, 0) AS different, coalesce(u, 0) AS u FROM m LEFT JOIN c ON c.pub = m.pub)
+    SELECT pub, problem FROM (SELECT pub, unnest([CASE WHEN wrong THEN 'item_count' END, CASE WHEN wrong THEN 'blocked_count' END, CASE WHEN different < n THEN 'duplicate_media' END, CASE WHEN told AND u > 0 THEN 'cleared_while_unresolved' END, CASE WHEN NOT told AND u = 0 THEN 'denied_without_cause' END, CASE WHEN told AND load_mode = 'development' THEN 'development_cleared' END]) AS problem FROM j) WHERE problem IS NOT NULL""",
+)
+def vr15_clearance(spark, d):
+    items = spark.sql(ITEMS.format(t="{x}"), x=spark.sql(LINES.format(t="{x}"), x=table(spark, d, "lineitem")))
+    more, zero = F.col("wrong").cast("int"), F.lit(0)
+    rows = spark.sql(MANIFESTS.format(t="{x}"), x=table(spark, d, "orders")).join(spark.sql(COUNTS.format(t="{x}"), x=items), "pub", "left")
+    decided = F.struct((F.coalesce("items", zero) + more).alias("items"), F.coalesce("cleared", zero).alias("cleared"), (F.coalesce("blocked", zero) + more).alias("blocked"), F.coalesce("indeterminate", zero).alias("indeterminate"), F.col("told").alias("publish"))
+    return Y.clearance_problems(rows.select("pub", "sink", "load_mode", decided.alias("decided")), items.select("pub", "media_id", "verdict", F.col("scope").isNotNull().alias("overridden")))
+
+
+PREFERENCES = """SELECT o_orderkey AS event, o_custkey % 5 AS subject, CASE o_custkey % 3 WHEN 0 THEN 'variant_picked' WHEN 1 THEN 'recropped' ELSE 'kept' END AS kind, o_orderkey % 37 = 1 AS pixels, o_orderkey % 2 = 0 AS shareable, CASE WHEN o_custkey % 11 <> 2 THEN 'c' END AS consent, CASE WHEN o_custkey % 13 <> 3 THEN o_custkey % 7 = 4 END AS local_ids,
+    CASE o_custkey % 17 WHEN 5 THEN '' WHEN 6 THEN NULL ELSE 'v' END AS anonymised, CASE WHEN o_custkey % 19 = 7 THEN 2 END AS people, CASE WHEN o_custkey % 23 = 8 THEN 't' END AS instruction, 'f' AS features, CASE WHEN o_orderkey % 5 <> 1 THEN 1 END AS crop_before, CASE WHEN o_orderkey % 7 <> 2 THEN 1 END AS crop_after, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey % 9 END AS n_dense, 4 AS n_named FROM {t}"""
+ALTERNATIVES = "SELECT l_orderkey AS event, l_partkey % 5 AS subject, l_linenumber = 1 OR l_partkey % 29 = 1 AS chosen, CASE WHEN l_suppkey % 4 <> 0 THEN l_suppkey % 50 END AS rank, CASE WHEN l_partkey % 31 = 3 THEN 'g' WHEN l_partkey % 31 <> 4 THEN 'f' END AS features FROM {t}"
+
+
+@query(
+    "vr15_preference_problems",
+    f"""WITH e AS ({PREFERENCES.format(t='orders')}), a AS ({ALTERNATIVES.format(t='lineitem')}), s AS (SELECT event, count(*) AS n, count(*) FILTER (WHERE chosen) AS n_chosen, min(subject) FILTER (WHERE chosen) AS picked, count(rank) > count(DISTINCT rank) AS same_rank, bool_or(features = 'g') AS other FROM a GROUP BY event), j AS (SELECT e.*, coalesce(n, 0) AS n, n_chosen, picked, same_rank, other FROM e LEFT JOIN s ON s.event = e.event)
+    SELECT event, problem FROM (SELECT event, unnest([CASE WHEN pixels THEN 'pixels' END, CASE WHEN shareable AND consent IS NULL THEN 'no_consent' END, CASE WHEN shareable AND coalesce(local_ids, true) THEN 'local_identifiers' END, CASE WHEN shareable AND coalesce(anonymised, '') = '' THEN 'not_anonymised' END, CASE WHEN shareable AND people > 0 THEN 'names_people' END, CASE WHEN shareable AND instruction IS NOT NULL THEN 'free_text' END,
+        CASE WHEN n > 0 AND n_chosen <> 1 THEN 'not_one_chosen' END, CASE WHEN n_chosen = 1 AND picked <> subject THEN 'chosen_is_not_subject' END, CASE WHEN same_rank THEN 'shared_rank' END, CASE WHEN other THEN 'other_feature_set' END, CASE WHEN kind = 'variant_picked' AND n = 0 THEN 'no_alternatives' END, CASE WHEN kind = 'recropped' AND (crop_before IS NULL OR crop_after IS NULL) THEN 'no_crop' END, CASE WHEN n_dense <> n_named THEN 'dense_length' END]) AS problem FROM j) WHERE problem IS NOT NULL""",
+)
+def vr15_preference(spark, d):
+    events = spark.sql(PREFERENCES.format(t="{x}"), x=table(spark, d, "orders"))
+    return Y.preference_problems(events, spark.sql(ALTERNATIVES.format(t="{x}"), x=table(spark, d, "lineitem")))
