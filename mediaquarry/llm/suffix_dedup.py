@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import binary_runs, doc_sums, edges, map_rows, mix, owners, powers, prefix_hash, runs, shuffle_width, span_hash, staged, text_slices
+from .textkit import binary_runs, doc_sums, edges, lean, lean_groups, map_rows, mix, owners, powers, prefix_hash, runs, shuffle_width, span_hash, staged, text_slices
 
 #: Length of a repeated string in bytes, of a gram, grams in such a string, and bytes of the longest segment.
 SPAN, GRAM = 50, 20
@@ -23,6 +23,8 @@ GATHERED = 400_000
 PART_BYTES = 16 << 20
 #: Bytes of text whose anchors are found at once.
 SLICE = 1 << 20
+#: Kinds of segments whose suffixes are sorted at once, and rows of bytes that are compared, marked or filled at once.
+SORTED_KINDS, ROWS = 1 << 14, 1 << 16
 #: Bits of the map of shared anchors that is sent to all executors (16 MB), and shared anchors it is used for;
 #: where there are more, each document gets its own by a join.
 MAP_BITS = 27
@@ -141,7 +143,7 @@ def shared_hashes(docs: DataFrame, parts: int, hot_contexts: int) -> DataFrame:
         found = [fp[shared & ~(contexts > hot_contexts)], fp[shared & (contexts > hot_contexts)]]
         return pa.table({"hot": [False, True], "fps": pa.array([x.tobytes() for x in found], pa.binary())})
 
-    return docs.select("text").mapInArrow(send, "p int, words binary").groupBy("p").applyInArrow(meet, "hot boolean, fps binary")
+    return docs.select("text").mapInArrow(lean(send), "p int, words binary").groupBy("p").applyInArrow(lean_groups(meet), "hot boolean, fps binary")
 
 
 SHARED = "p int, docs binary, keys binary, fps binary, answered boolean"
@@ -211,7 +213,7 @@ def shared_anchors(docs: DataFrame, parts: int) -> DataFrame:
         at = bounds[:-1]
         return pa.table({"doc_id": doc[at], "tkey": key[at], "fps": binary_runs(fp, bounds)})
 
-    return docs.mapInArrow(send, SHARED).groupBy("p").applyInArrow(answer, "doc_id long, tkey long, fps binary")
+    return docs.mapInArrow(lean(send), SHARED).groupBy("p").applyInArrow(lean_groups(answer), "doc_id long, tkey long, fps binary")
 
 
 # --- which strings around them are repeated -----------------------------------------------------------------
@@ -219,6 +221,21 @@ def shared_anchors(docs: DataFrame, parts: int) -> DataFrame:
 SEGMENTS = "p int, docs binary, keys binary, fps binary, hashes binary, starts binary, shapes binary, bytes binary"
 
 
+def chunks(at: np.ndarray) -> list[np.ndarray]:
+    """The places in parts of about ROWS, so that what is made of their bytes stays small."""
+    return np.array_split(at, 1 + len(at) // ROWS)
+
+
+def gathered(held: list[tuple]) -> list[np.ndarray]:
+    """The columns of what was held, one after another; each is let go of once it is copied."""
+    columns = [list(x) for x in zip(*held, strict=True)]
+    held.clear()
+    out = []
+    while columns:
+        out.append(np.concatenate(columns.pop(0)))
+    return out
+
+
 def filled(size: np.ndarray) -> np.ndarray:
     """Which of the WIDE bytes of a row belong to its segment."""
     return np.arange(WIDE) < size[:, None]
@@ -275,8 +292,8 @@ def segment_parts(doc, key, fp, h, s0, shape, rows, parts: int) -> list[pa.Recor
     head = np.empty(len(doc), np.int64)
     head[order] = np.repeat(order[group[:-1]], np.diff(group))
     settled = doc[head] < doc
-    at = np.flatnonzero(settled)
-    settled[at] = (rows[at] == rows[head[at]]).all(1) & (shape[at] == shape[head[at]]) & (fp[at] == fp[head[at]])
+    for at in chunks(np.flatnonzero(settled)):
+        settled[at] = (rows[at] == rows[head[at]]).all(1) & (shape[at] == shape[head[at]]) & (fp[at] == fp[head[at]])
     d, k, s, e = byte_ranges(doc[settled], key[settled], s0[settled], (s0 + (shape & 255) + SPAN - 1)[settled])
     names = ["p", "docs", "keys", "fps", "hashes", "starts", "shapes", "bytes"]
     out = []
@@ -289,7 +306,7 @@ def segment_parts(doc, key, fp, h, s0, shape, rows, parts: int) -> list[pa.Recor
             size = (shape[x] & 255).astype(np.int64) + SPAN - 1
             ends = np.concatenate([[0], np.cumsum(size)])
             cols = [binary_runs(v, bounds) for v in (doc[x], key[x], fp[x], h[x], s0[x].astype(np.uint32), shape[x].astype(np.uint16))]
-            cols.append(binary_runs(rows[x][filled(size)], ends[bounds]))
+            cols.append(binary_runs(np.concatenate([rows[x[:0]].ravel(), *[rows[x[i]][filled(size[i])] for i in chunks(np.arange(len(x)))]]), ends[bounds]))
         else:
             none = pa.array([b""] * (len(bounds) - 1), pa.binary())
             cols = [binary_runs(d[by], bounds), binary_runs(k[by], bounds), none, none, binary_runs(np.stack([s[by], e[by]], 1).astype(np.uint32).ravel().view(np.uint64), bounds), none, none]
@@ -373,14 +390,14 @@ def repeated_strings(doc, fp, h, shape, rows) -> np.ndarray:
     first = order[same[:-1]]
     head = first[kind]
     at = np.flatnonzero(head != np.arange(n))
-    bad = np.concatenate([at[:0], *[x[(rows[x] != rows[head[x]]).any(1) | (shape[x] != shape[head[x]]) | (fp[x] != fp[head[x]])] for x in np.array_split(at, 1 + len(at) // (1 << 18))]])
+    bad = np.concatenate([at[:0], *[x[(rows[x] != rows[head[x]]).any(1) | (shape[x] != shape[head[x]]) | (fp[x] != fp[head[x]])] for x in np.array_split(at, 1 + len(at) // ROWS)]])
     kind[bad] = len(first) + np.arange(len(bad))
     first = np.append(first, bad)
     by = np.argsort(fp[first])
     group = edges(fp[first][by])
     many = by[np.repeat(np.diff(group) > 1, np.diff(group))]
     mask = np.zeros(len(first))
-    for x in anchor_sets(many, fp[first], 1 << 16):
+    for x in anchor_sets(many, fp[first], SORTED_KINDS):
         found = suffix_groups(doc[first[x]], fp[first[x]], shape[first[x]], rows[first[x]])
         mask[x] = found
     every = (np.int64(1) << count) - 1
@@ -425,7 +442,7 @@ def suffix_groups(doc, fp, shape, rows) -> np.ndarray:
     equal = (common_length(p, a, b) >= SPAN) & ~new[1:]
     strings = np.lib.stride_tricks.sliding_window_view(buf, SPAN)
     inner = np.flatnonzero(equal)
-    for x in np.array_split(inner, 1 + len(inner) // (1 << 18)):
+    for x in np.array_split(inner, 1 + len(inner) // ROWS):
         equal[x] = (strings[a[x]] == strings[b[x]]).all(1)
     # hashes of buckets may meet: an equal string is one at the same place around the same anchor
     q, r = row[:-1], row[1:]
@@ -438,11 +455,15 @@ def suffix_groups(doc, fp, shape, rows) -> np.ndarray:
 
 def marked_ranges(start: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Segment, first and last byte (exclusive) of each run of marked strings."""
-    bits = ((mask[:, None] >> np.arange(WINDOW + 1, dtype=np.uint32)) & 1).astype(np.int8)
-    change = np.diff(bits, axis=1, prepend=0)
-    row, at = np.nonzero(change == 1)
-    _, end = np.nonzero(change == -1)
-    return row, start[row] + at, start[row] + end + SPAN - 1
+    out = []
+    for part in chunks(np.arange(len(mask))):
+        bits = ((mask[part, None] >> np.arange(WINDOW + 1, dtype=np.uint32)) & 1).astype(np.int8)
+        change = np.diff(bits, axis=1, prepend=0)
+        row, at = np.nonzero(change == 1)
+        _, end = np.nonzero(change == -1)
+        row = part[row]
+        out.append((row, start[row] + at, start[row] + end + SPAN - 1))
+    return tuple(map(np.concatenate, zip(*out, strict=True)))
 
 
 def repeated_ranges(docs: DataFrame, shared: DataFrame | np.ndarray, hot: np.ndarray, parts: int) -> DataFrame:
@@ -484,10 +505,10 @@ def repeated_ranges(docs: DataFrame, shared: DataFrame | np.ndarray, hot: np.nda
                 held.append((ids[i + doc], keys[i + doc], fp, segment_hash(p, s0, count, a), s0 - offs[doc], count | ((a - s0) << 8), segment_rows(buf, s0, count + SPAN - 1)))
                 size += len(fp)
                 if size > GATHERED:
-                    yield from segment_parts(*map(np.concatenate, zip(*held, strict=True)), parts)
-                    held, size = [], 0
+                    yield from segment_parts(*gathered(held), parts)
+                    size = 0
         if size:
-            yield from segment_parts(*map(np.concatenate, zip(*held, strict=True)), parts)
+            yield from segment_parts(*gathered(held), parts)
 
     def answer(table: pa.Table) -> pa.Table:
         settled = pa.compute.equal(pa.compute.binary_length(table["fps"]), 0)
@@ -496,13 +517,17 @@ def repeated_ranges(docs: DataFrame, shared: DataFrame | np.ndarray, hot: np.nda
         span = span.reshape(-1, 2).astype(np.int64)
         rest = table.filter(pa.compute.invert(settled))
         d, k, f, h, s, c = (joined(rest[x], t) for x, t in (("docs", np.int64), ("keys", np.int64), ("fps", np.uint64), ("hashes", np.uint64), ("starts", np.uint32), ("shapes", np.uint16)))
-        full = filled((c & 255).astype(np.int64) + SPAN - 1)
-        segments = np.zeros(full.shape, np.uint8)
-        segments[full] = joined(rest["bytes"], np.uint8)
+        size = (c & 255).astype(np.int64) + SPAN - 1
+        ends, data = np.concatenate([[0], np.cumsum(size)]), joined(rest["bytes"], np.uint8)
+        segments = np.zeros((len(size), WIDE), np.uint8)
+        for part in chunks(np.arange(len(size))):
+            if len(part):
+                segments[part[0] : part[-1] + 1][filled(size[part])] = data[ends[part[0]] : ends[part[-1] + 1]]
+        del data
         row, start, end = marked_ranges(s.astype(np.int64), repeated_strings(d, f, h, c, segments))
         return pa.Table.from_batches([packed_ranges(np.append(doc, d[row]), np.append(key, k[row]), np.append(span[:, 0], start), np.append(span[:, 1], end))])
 
-    return rows.mapInArrow(send, SEGMENTS).groupBy("p").applyInArrow(answer, "doc_id long, tkey long, range long")
+    return rows.mapInArrow(lean(send), SEGMENTS).groupBy("p").applyInArrow(lean_groups(answer), "doc_id long, tkey long, range long")
 
 
 def removed_mask(buf: np.ndarray, offs: np.ndarray, lists: pa.ListArray) -> np.ndarray:

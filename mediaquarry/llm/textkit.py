@@ -6,6 +6,7 @@ whole arrays, so no Python code runs per word or per character.
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 import uuid
@@ -36,6 +37,41 @@ def worker_cache() -> dict:
     return sys.modules[name].__dict__
 
 
+def give_back() -> None:
+    """Returns memory that is free in this process to the system.
+
+    A worker serves many tasks; what it keeps of each one's peak adds up with the next one's on its executor.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # the C library of Linux
+        trim(0)
+
+
+def lean(run):
+    """The function of record batches, with memory given back once a task is done."""
+
+    def work(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return work
+
+
+def lean_groups(run, least: int = 1 << 20):
+    """The function of one or two tables, with memory given back after tables of ``least`` bytes and more."""
+
+    def work(*tables):
+        out = run(*tables)
+        if sum(t.nbytes for t in tables) >= least:
+            give_back()
+        return out
+
+    return (lambda left, right: work(left, right)) if run.__code__.co_argcount == 2 else (lambda table: work(table))
+
+
 def space_table() -> np.ndarray:
     """True for bytes of words split at white space."""
     table = np.ones(256, bool)
@@ -202,7 +238,7 @@ def map_rows(docs: DataFrame, added: str, run) -> DataFrame:
                 batch = pa.RecordBatch.from_arrays(batch.columns, names=names)
                 yield pa.RecordBatch.from_arrays(batch.columns + run(batch), names=[f"c{i}" for i in range(len(names) + len(new))])
 
-    return docs.mapInArrow(work, kinds).toDF(*names, *new.names)
+    return docs.mapInArrow(lean(work), kinds).toDF(*names, *new.names)
 
 
 def dense_counts(rows: DataFrame, cells: int, count, part: int = 1 << 16, fan_in: int = 128) -> np.ndarray:
@@ -225,7 +261,7 @@ def dense_counts(rows: DataFrame, cells: int, count, part: int = 1 << 16, fan_in
         new = [[table["task"][0].as_py() // fan_in], [table["part"][0].as_py()], [zlib.compress(total.tobytes(), 1)]]
         return pa.table([pa.array(new[0], pa.int32()), pa.array(new[1], pa.int32()), pa.array(new[2], pa.binary())], names=["task", "part", "cells"])
 
-    sums = rows.mapInArrow(fill, kinds)
+    sums = rows.mapInArrow(lean(fill), kinds)
     for _ in range(2):
         sums = sums.groupBy(F.floor(F.col("task") / fan_in), "part").applyInArrow(add, kinds)
     out = np.zeros(cells, np.int64)

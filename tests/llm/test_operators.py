@@ -4,15 +4,17 @@ import collections
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from mediaquarry.llm import brown_lm, decontaminate, line_dedup, minhash, packing, quality_classifier, quality_rules, queries, suffix_dedup, token_counts, toxicity
+from mediaquarry.llm import brown_lm, decontaminate, line_dedup, minhash, packing, quality_classifier, quality_rules, queries, suffix_dedup, textkit, token_counts, toxicity
 from mediaquarry.llm.textkit import documents
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, n_words string, kept_text int, spans string, kept string, c0 int, y int, bands string"
@@ -634,3 +636,35 @@ def test_suffixes_are_sorted_within_groups():
     for a, b in zip(group[:-1], group[1:], strict=True):
         got = [buf[s : s + 50].tobytes() for s in starts[order[a:b]]]
         assert got == sorted(got) and sorted(order[a:b]) == list(range(a, b))
+
+
+def test_suffixes_of_many_kinds_are_sorted_in_little_memory():
+    rng, n = np.random.default_rng(3), 40_000
+    rows = rng.integers(97, 123, (n, suffix_dedup.WIDE), dtype=np.uint8)
+    rows[n // 2 :] = rows[: n // 2]
+    rows[n // 2 :, 0] = 65
+    rows[:, 31 + suffix_dedup.SPAN - 1 :] = 0
+    fp, h = np.tile(np.arange(n // 2), 2).astype(np.uint64) * np.uint64(977), rng.integers(0, 1 << 62, n).astype(np.uint64)
+    tracemalloc.start()
+    mask = suffix_dedup.repeated_strings(np.arange(n), fp, h, np.full(n, 31 | (30 << 8)), rows)
+    row, start, end = suffix_dedup.marked_ranges(np.zeros(n, np.int64), mask)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert row.tolist() == list(range(n // 2, n)) and set(start.tolist()) == {1} and set(end.tolist()) == {80}
+    assert peak < 200 << 20
+
+
+def test_memory_is_given_back_after_a_task():
+    resident = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096
+    size = 0
+
+    def run(batches):
+        nonlocal size
+        held = [bytearray(b"x" * 60_000) for _ in range(4000)]
+        pins.extend(held[::400])
+        size = resident()
+        yield from batches
+
+    pins = []
+    assert list(textkit.lean(run)([1, 2])) == [1, 2] and size - resident() > 100 << 20
+    assert textkit.lean_groups(lambda table: table.num_rows)(pa.table({"x": range(300_000)})) == 300_000
