@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textkit import alnum_table, lower_table, owners, prefix_hash, runs, span_hash, staged, text_slices
+from .textkit import alnum_table, lean, lower_table, owners, prefix_hash, runs, span_hash, staged, text_slices
 
 #: Words of benchmark text in one automaton (107 bytes each, measured on 1.2 million words); a larger benchmark is split
 #: over several, scanned one after another.
@@ -259,7 +259,7 @@ def _scan(state: DataFrame, automaton: Automaton, docs: DataFrame, part: int) ->
             yield pa.RecordBatch.from_arrays(batch.columns[: len(names)] + cols, names=[f"c{i}" for i in range(len(names) + 4)])
 
     kinds = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)] + [T.StructField(f"c{len(names) + i}", f.dataType) for i, f in enumerate(T.StructType.fromDDL(FOUND))])
-    return state.mapInArrow(run, kinds).toDF(*names, "n_words", "n_hit", "item_ids", "spans")
+    return state.mapInArrow(lean(run), kinds).toDF(*names, "n_words", "n_hit", "item_ids", "spans")
 
 
 def hit_words(text: str | None, spans: list[dict]) -> int:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textkit import edges, lower_table, space_table, staged, text_slices
+from .textkit import edges, lean, lean_groups, lower_table, space_table, staged, text_slices
 
 #: Repeated keys that one shard's filter is made for, and postings that are held against a shard at once.
 SHARD_KEYS = 50_000
@@ -171,7 +171,7 @@ def postings(docs: DataFrame, min_chars: int = 10) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids[i + doc[at]]), pa.array(keys[at, 0]), pa.array(keys[at, 1]), lines], names=["doc_id", "k1", "k2", "lines"])
 
     rows = docs.select("doc_id", "text").filter("doc_id is not null")
-    return rows.mapInArrow(run, "doc_id long, k1 long, k2 long, lines array<int>")
+    return rows.mapInArrow(lean(run), "doc_id long, k1 long, k2 long, lines array<int>")
 
 
 def reference_counts(rows: DataFrame) -> DataFrame:
@@ -251,7 +251,7 @@ def updated_filters(filters: DataFrame, added: DataFrame, gone: DataFrame | None
         cuckoo.insert_many(keys[new])
         return pa.table({"shard": [row["shard"]], "slots": [cuckoo.table.tobytes()], "overflow": [sorted(cuckoo.overflow)]}, schema=kinds)
 
-    return filters.groupBy("shard").cogroup(changes.groupBy("shard")).applyInArrow(run, "shard long, slots binary, overflow array<long>")
+    return filters.groupBy("shard").cogroup(changes.groupBy("shard")).applyInArrow(lean_groups(run), "shard long, slots binary, overflow array<long>")
 
 
 def packed_postings(rows: DataFrame, salts: np.ndarray, gathered: int = GATHERED) -> DataFrame:
@@ -286,7 +286,7 @@ def packed_postings(rows: DataFrame, salts: np.ndarray, gathered: int = GATHERED
         if held:
             yield parcels(held)
 
-    return rows.select("doc_id", "k1", "k2", "lines").mapInArrow(run, "shard long, salt long, docs binary, k1s binary, k2s binary, sizes binary, lines binary")
+    return rows.select("doc_id", "k1", "k2", "lines").mapInArrow(lean(run), "shard long, salt long, docs binary, k1s binary, k2s binary, sizes binary, lines binary")
 
 
 def dropped_lines(index: LineIndex) -> DataFrame:
@@ -312,7 +312,7 @@ def dropped_lines(index: LineIndex) -> DataFrame:
         n = int(salts[shard])
         return pa.table([pa.array([shard] * n), pa.array(range(n), pa.int64()), pa.array([keys] * n, pa.binary())], names=["shard", "salt", "keys"])
 
-    exact = repeated.groupBy("shard").applyInArrow(pack, "shard long, salt long, keys binary").join(index.filters, "shard")
+    exact = repeated.groupBy("shard").applyInArrow(lean_groups(pack), "shard long, salt long, keys binary").join(index.filters, "shard")
     out = pa.schema([("doc_id", pa.int64()), ("lines", pa.list_(pa.int32()))])
 
     def decide(rows: pa.Table, shard: pa.Table) -> pa.Table:
@@ -341,7 +341,7 @@ def dropped_lines(index: LineIndex) -> DataFrame:
         return pa.table([pa.array(doc[order][own[:-1]]), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))], schema=out)
 
     packed = packed_postings(index.postings, salts)
-    hits = packed.groupBy("shard", "salt").cogroup(exact.groupBy("shard", "salt")).applyInArrow(decide, "doc_id long, lines array<int>")
+    hits = packed.groupBy("shard", "salt").cogroup(exact.groupBy("shard", "salt")).applyInArrow(lean_groups(decide), "doc_id long, lines array<int>")
     return hits.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("lines"))).alias("drop"))
 
 
@@ -372,7 +372,7 @@ def remove_lines(docs: DataFrame, drops: DataFrame) -> DataFrame:
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     joined = plain.join(drops.select(F.col("doc_id").alias("drop_id"), "drop").hint("shuffle_hash"), F.col(f"c{key}") == F.col("drop_id"), "left").drop("drop_id")
     kinds = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)] + list(T.StructType.fromDDL(f"c{len(names)} long, c{len(names) + 1} long, c{len(names) + 2} string")))
-    return joined.mapInArrow(run, kinds).toDF(*names, "n_lines", "n_dropped", "kept_text")
+    return joined.mapInArrow(lean(run), kinds).toDF(*names, "n_lines", "n_dropped", "kept_text")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:

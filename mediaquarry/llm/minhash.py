@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .linear import count_features
-from .textkit import alnum_table, dense_counts, doc_sums, lower_table, mix, owners, prefix_hash, runs, span_hash, staged, text_slices, worker_cache
+from .textkit import alnum_table, dense_counts, doc_sums, lean, lean_groups, lower_table, mix, owners, prefix_hash, runs, span_hash, staged, text_slices, worker_cache
 
 #: Bits of a shingle's number; cells of the document frequency sketch.
 SHINGLE_BITS = 44
@@ -142,7 +142,7 @@ def signed(docs: DataFrame, idf: np.ndarray, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "tkey", "k1", "k2", "bands", "samples"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("tkey"), "text").filter("doc_id is not null")
-    return rows.mapInArrow(run, "doc_id long, tkey long, k1 long, k2 long, bands array<long>, samples binary")
+    return rows.mapInArrow(lean(run), "doc_id long, tkey long, k1 long, k2 long, bands array<long>, samples binary")
 
 
 def text_key():
@@ -187,7 +187,7 @@ def verified(edges: DataFrame, texts: DataFrame, idf: np.ndarray, size: int, lea
                 i = j
 
     rows = edges.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
-    return rows.mapInArrow(run, "a long, b long, sim double").filter(F.col("sim") >= least)
+    return rows.mapInArrow(lean(run), "a long, b long, sim double").filter(F.col("sim") >= least)
 
 
 def near_members(blocks: DataFrame, least: int = LEAST_SAMPLES) -> DataFrame:
@@ -206,7 +206,7 @@ def near_members(blocks: DataFrame, least: int = LEAST_SAMPLES) -> DataFrame:
             keep[a] = ((samples[near] == samples[a]).sum(1) >= least).any()
         return table.drop_columns(["samples"]).filter(pa.array(keep))
 
-    return blocks.groupBy("band", "hash", "i", "j").applyInArrow(run, "band int, hash long, i int, j int, rep long, label long, x int")
+    return blocks.groupBy("band", "hash", "i", "j").applyInArrow(lean_groups(run), "band int, hash long, i int, j int, rep long, label long, x int")
 
 
 def block_links(members: DataFrame, reps: DataFrame, texts: DataFrame, idf: np.ndarray, size: int, least: float) -> DataFrame:
@@ -252,7 +252,7 @@ def block_links(members: DataFrame, reps: DataFrame, texts: DataFrame, idf: np.n
                     group[group == group[b]] = group[a]
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
-    return rows.groupBy("band", "hash", "i", "j").applyInArrow(run, "a long, b long")
+    return rows.groupBy("band", "hash", "i", "j").applyInArrow(lean_groups(run), "a long, b long")
 
 
 def texts_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:

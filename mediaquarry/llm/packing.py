@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textkit import lean, lean_groups
 from .tokens import token_ids
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -81,7 +82,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, limit: int = 1024, end_id: int
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([] if deal is None else [deal.alias("deal")]))
-    return rows.mapInArrow(run, PIECES + more)
+    return rows.mapInArrow(lean(run), PIECES + more)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, limit: int = 1024, end_id: int = 0, group_docs: int = 4096, seed: int = 7, with_ids: bool = False) -> DataFrame:
@@ -105,4 +106,4 @@ def pack(docs: DataFrame, tokenizer_path: str, limit: int = 1024, end_id: int =
         group = table["pack_group"][0].as_py()
         return table.drop_columns(["pack_group"]).append_column("sequence_id", pa.array((group << 32) + bins)).append_column("offset", pa.array(offsets))
 
-    return dealt.groupBy("pack_group").applyInArrow(run, PIECES + ", ids array<int>" * with_ids + ", sequence_id long, offset long")
+    return dealt.groupBy("pack_group").applyInArrow(lean_groups(run), PIECES + ", ids array<int>" * with_ids + ", sequence_id long, offset long")
